@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from casewright.llm import simhash
+from casewright.llm import langid, quality, simhash
 
 
 def queries() -> dict:
-    return {"op1_simhash": simhash.op1_simhash}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_langid": langid.op2_langid,
+        "op5_quality": quality.op5_quality,
+    }
 
 
 def oracle_sql() -> dict:

@@ -86,3 +86,23 @@ def blocks(array: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np
 def crc32_mod(column: str, n: int):
     """crc32 of the id written as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
+
+
+def appended(df: DataFrame, columns: str, work, helpers: dict | None = None) -> DataFrame:
+    """df with further columns computed by Arrow batch; earlier columns of those names are replaced.
+
+    work takes a RecordBatch (with the helper columns) and returns the new arrays in order.
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(columns)
+    df = df.drop(*new.names)
+    names = df.columns
+    schema = StructType(df.schema.fields + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [batch.column(i) for i in range(len(names))]
+            yield pa.record_batch(kept + work(batch), names + new.names)
+
+    return df.select("*", *(expr.alias(name) for name, expr in (helpers or {}).items())).mapInArrow(run, schema)
