@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from casewright.llm import langid, quality, simhash
+from casewright.llm import langid, mixing, packing, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_langid": langid.op2_langid,
+        "op4_mixing": mixing.op4_mixing,
         "op5_quality": quality.op5_quality,
+        "op7_packing": packing.op7_packing,
     }
 
 
