@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.llm import langid, mixing, packing, quality, simhash
+from casewright.llm import langid, lm, mixing, packing, quality, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_langid": langid.op2_langid,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality": quality.op5_quality,
+        "op6_lm": lm.op6_lm,
         "op7_packing": packing.op7_packing,
     }
 
