@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.llm import embeddings, langid, lm, mixing, packing, quality, simhash
+from casewright.llm import embeddings, iblt, langid, lm, mixing, packing, quality, simhash
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op6_lm": lm.op6_lm,
         "op7_packing": packing.op7_packing,
+        "op8_fingerprints": iblt.op8_fingerprints,
         "op9_embeddings": embeddings.op9_embeddings,
     }
 
