@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from casewright.llm import embeddings, iblt, langid, lm, mixing, packing, quality, simhash
+import corpus_pipeline
+from casewright.llm import embeddings, iblt, langid, licenses, lm, mixing, packing, quality, simhash, urls
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_langid": langid.op2_langid,
+        "op3_licenses": licenses.op3_licenses,
         "op4_mixing": mixing.op4_mixing,
         "op5_quality": quality.op5_quality,
         "op6_lm": lm.op6_lm,
         "op7_packing": packing.op7_packing,
         "op8_fingerprints": iblt.op8_fingerprints,
         "op9_embeddings": embeddings.op9_embeddings,
+        "op10_urls": urls.op10_urls,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op10_urls": urls.ORACLE}
