@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from casewright.plans import decisions
+
+FAMILIES = [decisions]
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
