@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casewright.plans import decisions
+from casewright.plans import answers, decisions, layouts
 
-FAMILIES = [decisions]
+FAMILIES = [decisions, answers, layouts]
 
 
 def queries() -> dict:
