@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casewright.plans import answers, decisions, layouts
+from casewright.plans import answers, decisions, layouts, panels
 
-FAMILIES = [decisions, answers, layouts]
+FAMILIES = [decisions, answers, layouts, panels]
 
 
 def queries() -> dict:
