@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casewright.plans import answers, decisions, layouts, panels
+from casewright.plans import answers, decisions, layouts, panels, texts
 
-FAMILIES = [decisions, answers, layouts, panels]
+FAMILIES = [decisions, answers, layouts, panels, texts]
 
 
 def queries() -> dict:
