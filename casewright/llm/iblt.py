@@ -37,6 +37,8 @@ BUCKET_ROWS = 1000
 BUCKET_CHARS = 4_000_000
 QUANTILES = 256
 NULL_BUCKETS = 64
+#: Bounds the table of buckets, which is broadcast (some 40 bytes each).
+MOST_BUCKETS = 200_000
 
 
 def digests(text: Column) -> Column:
@@ -63,7 +65,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("h", F.xxhash64("text"))
     steps = F.array(*(F.lit((k + 1) / QUANTILES) for k in range(QUANTILES - 1)))
     size = rows.agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", steps, 10_000).alias("cuts")).first()
-    buckets = max(1, -(-size["n"] // BUCKET_ROWS), -(-(size["chars"] or 0) // BUCKET_CHARS))
+    buckets = min(MOST_BUCKETS, max(1, -(-size["n"] // BUCKET_ROWS), -(-(size["chars"] or 0) // BUCKET_CHARS)))
     if size["low"] is None:
         cuts = [0, 1]
     else:
@@ -81,7 +83,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     above = F.coalesce(F.lead("bucket").over(around), F.min("bucket").over(Window.partitionBy()))
     tops = tops.select("bucket", F.col("top.doc_id").alias("top_id"), F.col("top.h").alias("top_h"), above.alias("ghost"))
     first = F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("h") == F.col("top_h"))
-    placed = rows.join(tops, "bucket").withColumn("place", F.explode(F.when(first, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("late")), F.struct(F.col("ghost").alias("bucket"), F.lit(1).alias("late")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("late"))))))
+    placed = rows.join(F.broadcast(tops), "bucket").withColumn("place", F.explode(F.when(first, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("late")), F.struct(F.col("ghost").alias("bucket"), F.lit(1).alias("late")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("late"))))))
     placed = placed.select("place.bucket", "place.late", "doc_id", "h", "n_chars", "text").repartition(int(min(buckets, 20_000)), "bucket")
     order = Window.partitionBy("bucket").orderBy("late", F.desc_nulls_last("doc_id"), F.desc("h"))
     placed = placed.withColumn("found", digests(F.col("text")))
