@@ -5,7 +5,8 @@ embeddings, a text is the average of its subwords' embeddings, and a softmax lay
 average into probabilities. Embeddings and layer are trained together by stochastic gradient
 descent in numpy on a sample of at most SAMPLE labelled documents, balanced over languages. A
 fifth of the sample sets the temperature of the softmax and the acceptance threshold: the score
-under which REJECT of the correctly named documents lie, never above one half.
+under which REJECT of the correctly named documents lie, never above MOST or 1.4 times chance: a text half in one and half
+in another language is accepted.
 
 Scoring needs one small matrix (embeddings times layer) and reads every text wholly, in slices.
 
@@ -32,6 +33,7 @@ WIDTH = 16
 SAMPLE = 4096
 LANGUAGES = 64
 REJECT = 0.001
+MOST = 0.4
 SLICE = 1 << 20
 #: ASCII letters and all non-ASCII bytes stay, anything else is a word boundary.
 KEEP = np.full(256, 32, np.uint8)
@@ -162,7 +164,7 @@ def _descend(ids, share, y, languages, epochs, rate) -> Model:
     t = best[1]
     p = np.exp(z / t - np.logaddexp.reduce(z / t, axis=1, keepdims=True))
     right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-    threshold = min(0.5, float(np.quantile(right, REJECT))) if len(right) else 0.5
+    threshold = min(MOST, 1.4 / len(languages), *([float(np.quantile(right, REJECT))] if len(right) else []))
     return Model(languages, weights, t, threshold)
 
 

@@ -41,6 +41,11 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("~"))
 
 
+def row_key() -> Column:
+    """The doc_id as text; for rows without one, a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("h"), F.xxhash64("text").cast("string")))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = MOST) -> DataFrame:
     """(key, source_size, target) from (key, source_size): weights repeat over the sources in code
     point order, targets stop at most times the size, and the excess goes to the others by weight.
@@ -115,9 +120,9 @@ def settled(cells: DataFrame, single: bool, most: int = MOST) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """(doc_id, size, source_size, target, copies), one row per row of docs."""
-    rows = docs.select("doc_id", source_key(F.col("source")).alias("key"), words(F.col("text")).alias("size"))
-    rows = staged(rows.withColumn("draw", F.xxhash64("doc_id", F.lit("mix"))).withColumn("salt", F.pmod("draw", F.lit(SALTS))), "mix")
+    """(doc_id, row_key, size, source_size, target, copies), one row per row of docs."""
+    rows = docs.select("doc_id", row_key().alias("row_key"), source_key(F.col("source")).alias("key"), words(F.col("text")).alias("size"))
+    rows = staged(rows.withColumn("draw", F.xxhash64("row_key", F.lit("mix"))).withColumn("salt", F.pmod("draw", F.lit(SALTS))), "mix")
     cells = rows.groupBy("key", "size", "salt").agg(F.count("*").alias("n"))
     histogram = staged(cells.groupBy("key", "size").agg(F.sum("n").alias("n")), "mix-histogram")
     sizes = histogram.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -138,18 +143,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     dealt = cells.join(rated, ["key", "size"]).withColumn("seen", F.sum("n").over(share_upto))
     dealt = dealt.withColumn("due", F.expr("extra * seen div all"))
     dealt = dealt.withColumn("due", F.col("due") - F.expr("extra * (seen - n) div all"))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("draw", "doc_id"))
-    ranked = rows.select("doc_id", "key", "size", "salt", rank.alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("draw", "row_key"))
+    ranked = rows.select("doc_id", "row_key", "key", "size", "salt", rank.alias("rank"))
     found = ranked.join(dealt.select("key", "size", "salt", "source_size", "target", "base", "due"), ["key", "size", "salt"])
     copies = F.col("base") + F.when(F.col("rank") <= F.col("due"), 1).otherwise(0)
-    return found.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return found.select("doc_id", "row_key", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as often as the mix takes them (no, one or two rows each); doc_ids are taken to be unique."""
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    """docs as often as the mix takes them (no, one or two rows each). Rows that share a doc_id (or,
+    without one, their text) share their copies evenly, rounded."""
+    taken = mix(docs).groupBy("row_key").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
+    rows = docs.withColumn("_key", row_key()).join(taken.where("_copies > 0"), F.col("_key") == F.col("row_key"))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
