@@ -32,6 +32,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the (23, 12) Golay code; a fixed value.
 GOLAY = 0xC75
 BLOCK = 1 << 16
+#: A fingerprint of at least one in HOT documents is frequent; there are at most HOT of those.
+HOT = 1000
 
 
 def fingerprint(text: bytes, shingle_words: int = 3) -> int:
@@ -148,13 +150,17 @@ def links(distinct: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id reachable by links of two bits or fewer."""
     found = staged(fingerprints(docs, shingle_words), "simhash")
-    classes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    classes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-classes")
     roots = connected_components(links(classes.select("fp")))
     members = roots.join(classes, roots.node == classes.fp).select("fp", "root", "rep")
     heads = members.groupBy("root").agg(F.min("rep").alias("head"))
     linked = members.join(heads, "root").select("fp", "head")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("head", "rep").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("head", "rep").alias("component_id"), F.col("n") * HOT >= found.count())
+    named = staged(named.toDF("fp", "component_id", "hot"), "simhash-named")
+    # Frequent fingerprints are told in a broadcast of at most HOT rows, the others by a join.
+    told = found.join(F.broadcast(named.where("hot").select("fp", "component_id", "hot")), "fp", "left")
+    rest = told.where("hot IS NULL").select("doc_id", "fp").join(named.where("NOT hot").select("fp", "component_id"), "fp")
+    return told.where("hot").select("doc_id", "fp", "component_id").union(rest.select("doc_id", "fp", "component_id"))
 
 
 def near_dedup(docs: DataFrame, shingle_words: int = 3) -> DataFrame:

@@ -288,8 +288,8 @@ def test_examples_keep_all_limits(spark):
         if g["sequence_id"] is not None:
             bins.setdefault(g["sequence_id"], []).append(g)
     for own in bins.values():
-        assert sum(g["tokens"] for g in own) <= 1024 and len(own) <= 4 and sum(g["loss_tokens"] for g in own) <= 600
-    least = max(sum(g["tokens"] for g in got if g["sequence_id"] is not None) / 1024, sum(g["loss_tokens"] for g in got if g["sequence_id"] is not None) / 600, 301 / 4)
+        assert sum(g["tokens"] or 0 for g in own) <= 1024 and len(own) <= 4 and sum(g["loss_tokens"] or 0 for g in own) <= 600
+    least = max(*(sum(g[c] or 0 for own in bins.values() for g in own) / most for c, most in (("tokens", 1024), ("loss_tokens", 600))), 301 / 4)
     assert len(bins) <= 1.35 * least + 4
 
 
