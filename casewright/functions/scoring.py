@@ -32,16 +32,6 @@ def code_f1(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / total)
 
 
-def core(got: Column) -> Column:
-    """The scored part of an answer's fields."""
-    return F.struct(
-        textjson.as_text(got["decision"]).alias("decision"),
-        textjson.as_text(got["risk_level"]).alias("risk_level"),
-        textjson.as_flag(got["need_human"]).alias("need_human"),
-        textjson.as_codes(got["reason_codes"]).alias("reason_codes"),
-    )
-
-
 def similarity(a: Column, b: Column) -> Column:
     same = lambda f: a[f].eqNullSafe(b[f]).cast("double")
     return 0.45 * same("decision") + 0.20 * same("need_human") + 0.15 * same("risk_level") + 0.20 * code_f1(a["reason_codes"], b["reason_codes"])
@@ -50,10 +40,12 @@ def similarity(a: Column, b: Column) -> Column:
 def read_answers(df: DataFrame, mode: str = "offline") -> DataFrame:
     """df(prediction, ...) with json_valid, errors, schema_valid and got; online reading tries braces first."""
     json = textjson.lenient(F.col("prediction")) if mode == "offline" else textjson.braces_first(F.col("prediction"))
-    out = df.withColumn("_json", json).withColumn("_fields", textjson.fields(F.col("_json")))
-    out = out.withColumn("errors", textjson.contract_errors(F.col("_json"), F.col("_fields")))
+    # One step a column: what is read more than once must not be computed more than once.
+    out = df.withColumn("_json", json).withColumn("_fields", textjson.fields(F.col("_json"))).withColumn("_typed", textjson.values(F.col("_fields")))
+    out = out.withColumn("errors", textjson.contract_errors(F.col("_json"), F.col("_fields"), F.col("_typed")))
     out = out.withColumn("json_valid", F.col("_json").isNotNull()).withColumn("schema_valid", F.size("errors") == 0)
-    return out.withColumn("got", core(F.col("_fields"))).drop("_json", "_fields")
+    got = F.struct(*(F.col(f"_typed.{name}") for name in ("decision", "risk_level", "need_human", "reason_codes")))
+    return out.withColumn("got", got).drop("_json", "_fields", "_typed")
 
 
 def score_answers(df: DataFrame) -> DataFrame:

@@ -19,13 +19,14 @@ REASON_CODES = [
     "high_value_order", "frequent_refund_user", "evidence_conflict", "order_info_conflict", "logistics_issue", "manual_review_required",
 ]
 FIELDS = ["intent", "decision", "risk_level", "need_human", "reason_codes", "explanation"]
-BLANK = r"(?U)^\s+|(?U)\s+$"
+#: White space of any kind, ASCII and other.
+BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 THINKING = "<think>\n\n</think>\n\n"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, BLANK, "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def strip_fence(text: Column, always: bool = False) -> Column:
@@ -46,14 +47,21 @@ def braces(text: Column) -> Column:
 
 def lenient(text: Column) -> Column:
     """JSON text of an answer: the whole of it, else what its braces enclose; null if neither parses."""
-    bare = strip_fence(text)
-    return F.when(is_json(bare), bare).when(is_json(braces(bare)), braces(bare))
+    return _first_json(strip_fence(text), lambda bare: [bare, braces(bare)])
+
+
+def _first_json(bare: Column, candidates) -> Column:
+    """The first candidate that is JSON; each is made and parsed once."""
+    return F.element_at(F.transform(F.array(bare), lambda b: F.coalesce(*(_parsed(c) for c in candidates(b)))), 1)
+
+
+def _parsed(text: Column) -> Column:
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(is_json(t), t)), 1)
 
 
 def braces_first(text: Column) -> Column:
     """As lenient, but the braces are tried first and fences always removed."""
-    bare = strip_fence(text, always=True)
-    return F.when(is_json(braces(bare)), braces(bare)).when(is_json(bare), bare)
+    return _first_json(strip_fence(text, always=True), lambda bare: [braces(bare), bare])
 
 
 def strict_object(text: Column) -> Column:
@@ -87,26 +95,36 @@ def as_codes(value: Column) -> Column:
     return F.when(_kind(value).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(value, "$", "array<string>"))
 
 
-def contract_errors(json: Column, got: Column | None = None) -> Column:
+def contract_errors(json: Column, got: Column | None = None, typed: Column | None = None) -> Column:
     """What an answer lacks, in order; empty if it is valid. Missing fields hide all other errors.
 
-    got: the answer's fields where they are a column already, so that they are parsed once.
+    got and typed: the answer's fields() and values() where they are columns already, so that they
+    are read once. A field that is there as JSON null is a VARIANT, a missing one is NULL.
     """
-    has = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
     got = fields(json) if got is None else got
-    codes = as_codes(got["reason_codes"])
-    allowed = lambda name, values: ~F.coalesce(as_text(got[name]).isin(values), F.lit(False))
+    typed = values(got) if typed is None else typed
+    allowed = lambda name, known: ~F.coalesce(typed[name].isin(known), F.lit(False))
+    missing = got[FIELDS[0]].isNull()
+    for name in FIELDS[1:]:
+        missing |= got[name].isNull()
+    codes = typed["reason_codes"]
     checks = [
         F.when(allowed("intent", INTENTS), "invalid_intent"),
         F.when(allowed("decision", DECISIONS), "invalid_decision"),
         F.when(allowed("risk_level", RISK_LEVELS), "invalid_risk_level"),
-        F.when(as_flag(got["need_human"]).isNull(), "need_human_not_boolean"),
+        F.when(typed["need_human"].isNull(), "need_human_not_boolean"),
         F.when(codes.isNull(), "reason_codes_not_strings").when(F.size(F.array_except(codes, F.array(*map(F.lit, REASON_CODES)))) > 0, "invalid_reason_codes"),
-        F.when(F.coalesce(as_text(got["explanation"]), F.lit("")) == "", "explanation_empty"),
+        F.when(F.coalesce(typed["explanation"], F.lit("")) == "", "explanation_empty"),
     ]
     return (
         F.when(json.isNull(), F.array(F.lit("not_json")))
         .when(~F.startswith(json, F.lit("{")), F.array(F.lit("not_an_object")))
-        .when(F.size(F.array_except(F.array(*map(F.lit, FIELDS)), has)) > 0, F.array(F.lit("missing_fields")))
+        .when(missing, F.array(F.lit("missing_fields")))
         .otherwise(F.array_compact(F.array(*checks)))
     )
+
+
+def values(got: Column) -> Column:
+    """struct of the contract's fields with their types; null where the type is another."""
+    read = {"need_human": as_flag, "reason_codes": as_codes}
+    return F.struct(*(read.get(name, as_text)(got[name]).alias(name) for name in FIELDS))

@@ -37,9 +37,14 @@ def gold_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample_id, prompt_exposure, position, gold, hard_tags, ablation_type, mutation_type, prediction)."""
+    """(sample_id, prompt_exposure, position, gold, hard_tags, ablation_type, mutation_type, prediction).
+
+    Rows are few bytes but costly to parse, so samples are dealt to all shuffle partitions before
+    their answers are made; grouping and joining by sample_id later needs no further exchange.
+    """
     dim = F.broadcast(spark.createDataFrame([(e, i) for i, e in enumerate(EXPOSURES)], "prompt_exposure string, position int"))
-    rows = gold_samples(spark, sf_dir).select("sample_id", "gold", "intent", "user_claim").crossJoin(dim)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = gold_samples(spark, sf_dir).select("sample_id", "gold", "intent", "user_claim").repartition(parts, "sample_id").crossJoin(dim)
     rows = rows.selectExpr("*", f"{_form(Spark)} AS form", f"{_ablation(Spark)} AS ablation_type")
     text = lambda decision, human="need_human": F.to_json(F.struct(F.col("intent"), decision.alias("decision"), F.col("gold.risk_level"), F.col(f"gold.{human}"), F.col("gold.reason_codes"), F.lit("按规则处理").alias("explanation")))
     right = text(F.col("gold.decision"))
