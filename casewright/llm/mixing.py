@@ -97,26 +97,27 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame
 
 
 def settled(cells: DataFrame, single: bool, most: int = MOST) -> DataFrame:
-    """cells with extra changed so that a source's words come nearer to its target.
+    """cells (key, size, target, all, copies) with copies changed so that a source's words come nearer
+    to its target; copies are those of all documents of a (source, size), at most most each.
 
     The distance to the target is filled from the largest size that is not above it downwards,
     or (single) by the one document whose size is nearest to it.
     """
     source = Window.partitionBy("key")
     running = source.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
-    words_taken = F.sum(F.col("size") * (F.col("all") * F.col("base") + F.col("extra"))).over(source)
-    cells = cells.withColumn("_off", F.round(F.col("target")).cast("long") - words_taken)
-    room = F.when(F.col("_off") > 0, F.when(F.col("base") < most, F.col("all") - F.col("extra")).otherwise(0)).otherwise(F.col("extra"))
+    taken = F.sum(F.col("size") * F.col("copies")).over(source)
+    cells = cells.withColumn("_off", F.round(F.col("target")).cast("long") - taken)
+    room = F.when(F.col("_off") > 0, most * F.col("all") - F.col("copies")).otherwise(F.col("copies"))
     reach = (2 * F.abs("_off") - 1) if single else F.abs("_off")
     cells = cells.withColumn("_room", F.when((F.col("size") > 0) & (F.col("size") <= reach), room).otherwise(0))
     if single:
         miss = F.when(F.col("_room") > 0, F.struct(F.abs(F.abs("_off") - F.col("size")), F.col("size")))
-        flip = (miss == F.min(miss).over(source)).cast("long")
-        return cells.withColumn("extra", F.col("extra") + F.signum("_off").cast("long") * F.coalesce(flip, F.lit(0))).drop("_off", "_room")
-    before = F.sum(F.col("_room") * F.col("size")).over(running) - F.col("_room") * F.col("size")
-    cells = cells.withColumn("_left", F.greatest(F.abs("_off") - before, F.lit(0)))
-    flips = F.least(F.col("_room"), F.expr("_left div greatest(size, 1L)"))
-    return cells.withColumn("extra", F.col("extra") + F.signum("_off").cast("long") * flips).drop("_off", "_room", "_left")
+        flips = F.coalesce((miss == F.min(miss).over(source)).cast("long"), F.lit(0))
+    else:
+        before = F.sum(F.col("_room") * F.col("size")).over(running) - F.col("_room") * F.col("size")
+        cells = cells.withColumn("_left", F.greatest(F.abs("_off") - before, F.lit(0)))
+        flips = F.least(F.col("_room"), F.expr("_left div greatest(size, 1L)"))
+    return cells.withColumn("copies", F.col("copies") + F.signum("_off").cast("long") * flips).drop("_off", "_room", "_left")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
@@ -135,9 +136,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     running = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     rated = rated.withColumn("upto", F.round(F.sum("wanted").over(running)).cast("long"))
     extra = F.col("upto") - F.lag("upto", 1, 0).over(Window.partitionBy("key").orderBy("size"))
-    rated = rated.select("key", "size", "source_size", "target", "base", F.col("n").alias("all"), extra.alias("extra"))
+    rated = rated.select("key", "size", "source_size", "target", F.col("n").alias("all"), (F.col("base") * F.col("n") + extra).alias("copies"))
     for single in SETTLING:
         rated = settled(rated, single)
+    rated = rated.withColumn("base", F.expr("copies div all")).withColumn("extra", F.expr("copies % all")).drop("copies")
     # The extra copies of a (source, size) go to its salts in proportion, then to the first draws of a salt.
     share_upto = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)
     dealt = cells.join(rated, ["key", "size"]).withColumn("seen", F.sum("n").over(share_upto))
