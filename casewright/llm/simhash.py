@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.shared import connected_components, staged, table, text_arrays
+from casewright.llm.shared import appended, connected_components, staged, table, text_arrays
 
 MAX_BITS = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -164,12 +164,19 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """docs without the near copies: of each component the row of its smallest doc_id stays, once."""
-    groups = simhash_components(docs, shingle_words)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    """docs without the near copies: of each component the row of its smallest doc_id stays, once.
+
+    Rows without a doc_id stay only where their whole component has none, one of each fingerprint.
+    The texts are shuffled once: joining and counting repeats both go by doc_id.
+    """
+    groups = staged(simhash_components(docs, shingle_words), "simhash-groups")
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1 OR doc_id IS NULL").drop("_copy")
+    rows = docs.join(kept, docs.doc_id == kept["_kept"], "left_semi").withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    nameless = groups.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
+    digest = lambda batch: [pa.array(np.array([fingerprint(x.as_py(), shingle_words) for x in text_arrays(batch, "text")], np.uint64).view(np.int64))]
+    others = appended(docs.where("doc_id IS NULL"), "_fp long", digest).join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+    return rows.unionByName(others)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,7 @@ def test_simhash_against_brute_force(spark):
     assert sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in got), key=repr) == want
     kept = simhash.near_dedup(table(spark, rows))
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({c for c in brute_components(ids, fps) if c is not None})
+    assert kept.where("doc_id IS NULL").count() == 1
 
 
 def test_golay_keys_meet_within_two_bits():
