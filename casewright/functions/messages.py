@@ -57,6 +57,14 @@ def user_prompt(request: Column, facts: Column, evidence: Column) -> Column:
     return F.concat_ws("\n", request, F.concat(F.lit("facts: "), facts), F.concat(F.lit("evidence: "), evidence))
 
 
+def prompt_metadata(text: Column) -> Column:
+    """struct(sample_id, prompt_exposure) named in a prompt; the id of the active order stands in for a
+    missing sample_id."""
+    found = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    sample = F.coalesce(found(r"sample_id:\s*([A-Za-z0-9_\-]+)"), found(r"C-ACTIVE-([A-Za-z0-9_\-]+)"))
+    return F.struct(sample.alias("sample_id"), found(r"prompt_exposure:\s*(full|partial|minimal|no_skill)").alias("prompt_exposure"))
+
+
 def cycled(items: Sequence[str], n: Column) -> Column:
     """The items repeated in turn, n in all."""
     listed = F.array(*map(F.lit, items))

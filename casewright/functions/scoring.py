@@ -5,12 +5,12 @@ Equality is null-safe throughout: two missing values agree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import textjson
 
-#: Exposure pairs whose answers should agree, and their weights.
+#: Fixed values, down to HARD_FRAGMENTS: exposure pairs whose answers should agree, and their weights.
 PAIRS = [("full", "partial", 0.40), ("partial", "minimal", 0.30), ("minimal", "no_skill", 0.20), ("full", "no_skill", 0.10)]
 WEIGHTS = {
     "decision_reward": 0.30, "need_human_reward": 0.15, "risk_level_reward": 0.10, "reason_code_reward": 0.15,
@@ -82,18 +82,20 @@ def hard_case(gold: Column, tags: Column, mode: str = "offline") -> Column:
     return F.coalesce(gold["need_human"], F.lit(False)) | codes | F.coalesce(tagged, F.lit(False))
 
 
-def consistency(df: DataFrame, mode: str = "offline") -> DataFrame:
-    """(sample_id, available_pairs, exposure_consistency_reward, wrong_high_similarity_pairs).
+PAIRED = [p[0] for p in PAIRS[:3]] + ["no_skill"]
 
-    The last answer (by position) of a sample and exposure counts. Offline both sides of a pair
-    are held to the left side's gold, online each to its own.
-    """
-    names = [p[0] for p in PAIRS[:3]] + ["no_skill"]
-    answer = F.struct("position", "got", "gold", "schema_valid")
-    wide = df.where(F.col("prompt_exposure").isin(names)).groupBy("sample_id").agg(*(F.max_by(F.when(F.col("prompt_exposure") == e, answer), F.when(F.col("prompt_exposure") == e, F.col("position"))).alias(e) for e in names))
+
+def _last_answer(exposure: str) -> Column:
+    """Aggregate: the last answer (by position) of an exposure."""
+    here = F.col("prompt_exposure") == exposure
+    return F.max_by(F.when(here, F.struct("position", "got", "gold", "schema_valid")), F.when(here, F.col("position")))
+
+
+def _pair_terms(mode: str) -> dict[str, Column]:
+    """Consistency of the four last answers of a sample, in columns named _full, _partial and so on."""
     total, weight, wrong, pairs = F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0)
     for left, right, w in PAIRS:
-        a, b = F.col(left), F.col(right)
+        a, b = F.col(f"_{left}"), F.col(f"_{right}")
         a_ok = compatible(a["got"], a["gold"], a["schema_valid"])
         b_ok = compatible(b["got"], a["gold"] if mode == "offline" else b["gold"], b["schema_valid"])
         near = similarity(a["got"], b["got"])
@@ -103,13 +105,25 @@ def consistency(df: DataFrame, mode: str = "offline") -> DataFrame:
         weight += F.when(there, w).otherwise(0.0)
         wrong += F.when(there & ~a_ok & ~b_ok & (near > 0.90), 1).otherwise(0)
         pairs += there.cast("int")
-    return wide.select("sample_id", pairs.alias("available_pairs"), F.when(weight > 0, total / weight).otherwise(0.0).alias("exposure_consistency_reward"), wrong.alias("wrong_high_similarity_pairs"))
+    return {"available_pairs": pairs, "exposure_consistency_reward": F.when(weight > 0, total / weight).otherwise(0.0), "wrong_high_similarity_pairs": wrong}
+
+
+def consistency(df: DataFrame, mode: str = "offline") -> DataFrame:
+    """(sample_id, available_pairs, exposure_consistency_reward, wrong_high_similarity_pairs).
+
+    The last answer (by position) of a sample and exposure counts. Offline both sides of a pair
+    are held to the left side's gold, online each to its own.
+    """
+    wide = df.where(F.col("prompt_exposure").isin(PAIRED)).groupBy("sample_id").agg(*(_last_answer(e).alias(f"_{e}") for e in PAIRED))
+    return wide.select("sample_id", *(c.alias(name) for name, c in _pair_terms(mode).items()))
 
 
 def rewards(df: DataFrame, mode: str = "offline") -> DataFrame:
     """df from score_answers (with sample_id, prompt_exposure, position, hard_tags) with reward
-    components and total_reward; one shuffle on sample_id brings in the consistency term."""
-    joined = df.join(consistency(df, mode), "sample_id", "left")
+    components and total_reward. Every answer is read once: a window over its sample brings in the
+    consistency term, in one shuffle on sample_id."""
+    sample = Window.partitionBy("sample_id")
+    joined = df.withColumns({f"_{e}": _last_answer(e).over(sample) for e in PAIRED}).withColumns(_pair_terms(mode)).drop(*(f"_{e}" for e in PAIRED))
     false_review = F.col("schema_valid") & (F.col("got.decision") == "manual_review") & ~F.col("gold.decision").eqNullSafe(F.lit("manual_review"))
     bonus = hard_case(F.col("gold"), F.col("hard_tags"), mode) & compatible(F.col("got"), F.col("gold"), F.col("schema_valid"))
     out = joined.withColumns({

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed values of the output contract, down to FIELDS.
 INTENTS = ["refund_request", "return_refund_request", "exchange_request", "complaint", "unknown"]
 DECISIONS = ["allow_refund", "allow_return_refund", "allow_exchange", "request_more_evidence", "deny", "manual_review"]
 RISK_LEVELS = ["low", "medium", "high"]
@@ -36,8 +37,14 @@ def strip_fence(text: Column, always: bool = False) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """One JSON value and nothing after it; duplicate keys pass."""
-    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+    """One JSON value and nothing after it; duplicate keys pass.
+
+    The text is read as the first of two array elements whose second is the text's own hash: a text
+    that closes the array early, or brings elements of its own, cannot put that hash in its place.
+    """
+    mark = F.hex(F.xxhash64(text))
+    pair = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
+    return F.coalesce(F.get_json_object(pair, "$[1]") == mark, F.lit(False))
 
 
 def braces(text: Column) -> Column:
@@ -68,8 +75,7 @@ def strict_object(text: Column) -> Column:
     """The answer if it is one JSON object without duplicate keys, after at most one empty thinking
     block; else null."""
     bare = strip(F.when(F.startswith(text, F.lit(THINKING)), F.substr(text, F.lit(len(THINKING) + 1))).otherwise(text))
-    unique = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))).isNotNull()
-    return F.when(unique & is_json(bare) & F.startswith(bare, F.lit("{")), bare)
+    return F.when(F.startswith(bare, F.lit("{")) & is_json(bare) & F.try_parse_json(bare).isNotNull(), bare)
 
 
 def fields(json: Column) -> Column:

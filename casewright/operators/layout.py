@@ -28,13 +28,30 @@ def ranked(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def hash_ranked(df: DataFrame, seed: str, key: str, name: str = "position", digits: int = 2) -> DataFrame:
-    """df with its row number over the whole table in the order of hash and key."""
+#: Rows that one task is to sort, hash or list at most (about).
+BLOCK_ROWS = 50_000
+
+
+def bucket_digits(rows: int) -> int:
+    """How many leading hex digits of a hash split this many rows into buckets of BLOCK_ROWS or fewer."""
+    digits = 2
+    while rows > BLOCK_ROWS * 16**digits and digits < 8:
+        digits += 1
+    return digits
+
+
+def hash_ranked(df: DataFrame, seed: str, key: str, name: str = "position", by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+    """df with its row number in the order of hash and key, over the whole table or within by.
+
+    Buckets of the hash's leading digits are ranked in tasks of their own; there are as many as the
+    table's size asks for, and the table of their counts gives the offsets.
+    """
+    digits = bucket_digits(df.count()) if digits is None else digits
     hashed = df.withColumn("_h", hash_key(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, digits))
-    counts = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    return hashed.withColumn("_r", inside).join(F.broadcast(offsets), "_b").withColumn(name, F.col("_before") + F.col("_r")).drop("_h", "_b", "_r", "_before")
+    counts = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    offsets = counts.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
+    return hashed.withColumn("_r", inside).join(offsets, [*by, "_b"]).withColumn(name, F.col("_before") + F.col("_r")).drop("_h", "_b", "_r", "_before")
 
 
 def first_wins(df: DataFrame, key: str, position: str) -> DataFrame:
@@ -94,14 +111,34 @@ def zipped(left: DataFrame, right: DataFrame, position: str = "position") -> Dat
     return joined.where(checked).drop("_l", "_r")
 
 
-def ordered_hash(id_: str, position: str) -> Column:
-    """Aggregate: SHA-256 of the JSON list of ids in the order of position."""
-    return F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(position, id_))), lambda x: x[id_].cast("string"))), 256)
+def block_hash(df: DataFrame, by: Sequence[str], id_: str, order: Column, block: Column, name: str = "h") -> DataFrame:
+    """(by, name): SHA-256 of the list of block hashes of a group, in the order of block; a block's
+    hash is the SHA-256 of the JSON list of its ids in order. block must not fall as order rises.
+
+    Only the ids of a block and the blocks of a group are ever listed in one row.
+    """
+    rows = df.select(*by, block.alias("_block"), F.struct(order.alias("o"), F.col(id_).cast("string").alias("id")).alias("_x"))
+    listed = F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["id"])
+    blocks = rows.groupBy(*by, "_block").agg(F.sha2(F.to_json(listed), 256).alias("_h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_h"))), lambda x: x["_h"]), "")
+    return blocks.groupBy(*by).agg(F.sha2(joined, 256).alias(name))
+
+
+def ordered_hash(df: DataFrame, by: Sequence[str], id_: str, position: str, name: str = "h", rows: int = BLOCK_ROWS) -> DataFrame:
+    """(by, name): a hash of the ids of each group in the order of the 1-based position."""
+    at = F.col(position)
+    return block_hash(df, by, id_, at, F.floor((at - 1) / rows), name)
+
+
+def multiset_hash(df: DataFrame, by: Sequence[str], id_: str, name: str = "h", digits: int = 3) -> DataFrame:
+    """(by, name): a hash of the ids of each group, whatever their order was; blocks go by the ids' hashes."""
+    key = hash_key(F.col(id_))
+    return block_hash(df, by, id_, F.concat(key, F.lit("|"), F.col(id_).cast("string")), F.substring(key, 1, digits), name)
 
 
-def multiset_hash(id_: str) -> Column:
-    """Aggregate: SHA-256 of the JSON list of sorted ids, whatever their order was."""
-    return F.sha2(F.to_json(F.array_sort(F.collect_list(F.col(id_).cast("string")))), 256)
+def token_hash(tokens: Column) -> Column:
+    """SHA-256 of the compact JSON of a token list."""
+    return F.sha2(F.to_json(tokens), 256)
 
 
 def phase_exposure(fraction: Column, draw: Column, phases: Sequence[tuple[float, Sequence[tuple[str, float]]]]) -> Column:

@@ -6,14 +6,17 @@ same within a skill, skills the same in the total.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.operators.layout import hash_key
 
 RANDOM, STAGED = "random_mix_order", "staged_order"
+CONDITIONS = ["full", "partial", "minimal", "no_skill", "no_system", "irrelevant", "paraphrase_a", "paraphrase_b"]
 #: A construct is the mean of its components; a component the mean of its conditions.
 BALANCED = [["no_system"], ["irrelevant"], ["paraphrase_a", "paraphrase_b"]]
 
@@ -46,16 +49,24 @@ def grouped_effects(panel: DataFrame, group: str) -> DataFrame:
     return wide.withColumn("delta", F.col("staged") - F.col("random"))
 
 
-def binomial_tail(k: Column, n: Column) -> Column:
-    """P(X <= k) for X ~ Binomial(n, 1/2), summed in logarithms so that large n do not underflow."""
-    steps = F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(0.0).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("total"))
+def log_factorial(m: Column) -> Column:
+    """ln m! by Stirling's series, sixteen steps above m."""
+    z = m.cast("double") + 17
+    series = (z - 0.5) * F.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return series - sum((F.log(m.cast("double") + j) for j in range(2, 17)), F.log(m.cast("double") + 1))
+
 
-    def step(acc, i):
-        term = acc["term"] + F.log((n - i + 1) / i)
-        return F.struct(term.alias("term"), (acc["total"] + F.exp(term - n * F.log(F.lit(2.0)))).alias("total"))
+def binomial_tail(k: Column, n: Column) -> Column:
+    """P(X <= k) for X ~ Binomial(n, 1/2) and k of at most about n / 2.
 
-    return F.aggregate(steps, start, step)["total"]
+    Summed downwards from the term of k, relative to it; terms more than ten roots of n away are
+    below exp(-200) of the largest, so the list of steps stays short however large n is.
+    """
+    first = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * F.log(F.lit(2.0)))
+    steps = F.sequence(F.lit(0), F.least(k, 10 * F.ceil(F.sqrt(n.cast("double"))) + 50).cast("int"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
+    below = lambda acc, j: F.struct((acc["term"] * (k - j) / (n - k + j + 1)).alias("term"), (acc["total"] + acc["term"]).alias("total"))
+    return first * F.aggregate(steps, start, below)["total"]
 
 
 def mcnemar(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -92,7 +103,8 @@ def cluster_bootstrap(values: DataFrame, draws: int, seed: str, cluster: str) ->
     """(draw, mean): the mean over skills of a resample of each skill's clusters.
 
     values is (skill, cluster, delta), one row a cluster. Every draw takes as many clusters as a
-    skill has, with replacement; a hash of draw, skill and slot picks them.
+    skill has, with replacement; a hash of draw, skill and slot picks them. For few clusters (a
+    row a draw and cluster is made); poisson_bootstrap is for many.
     """
     place = F.row_number().over(Window.partitionBy("skill").orderBy(cluster)) - 1
     numbered = values.select("skill", place.alias("slot"), "delta")
@@ -105,6 +117,53 @@ def cluster_bootstrap(values: DataFrame, draws: int, seed: str, cluster: str) ->
     return per.groupBy("draw").agg(F.avg("v").alias("mean"))
 
 
+#: Running probabilities of a Poisson count of mean one.
+POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(20)])
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def poisson_weights(keys: np.ndarray, draws: int) -> np.ndarray:
+    """How often each draw takes each key: Poisson counts from mixed hashes, (keys, draws)."""
+    x = keys.astype(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(MIX[0])
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[2])
+    return np.searchsorted(POISSON, (x >> np.uint64(11)) / float(1 << 53), side="right")
+
+
+def poisson_bootstrap(values: DataFrame, draws: int, seed: str, cluster: str) -> DataFrame:
+    """(draw, mean): the mean over skills of a resample of each skill's clusters, for any number of them.
+
+    values is (skill, cluster, delta), one row a cluster. A draw takes each cluster a Poisson number
+    of times, as resampling with replacement does in the limit of many clusters; every partition
+    adds up one vector of draws a skill, so no row a draw and cluster is made. A draw without any
+    cluster of a skill takes that skill's plain mean.
+    """
+    key = F.conv(F.substring(hash_key(seed, F.col("skill"), F.col(cluster)), 1, 15), 16, 10).cast("bigint").alias("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            skills = np.array(batch.column(0).to_pylist(), dtype=object)
+            keys, deltas = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            for at in range(0, len(keys), 256):
+                weights = poisson_weights(keys[at : at + 256], draws)
+                for skill in set(skills[at : at + 256]):
+                    here = skills[at : at + 256] == skill
+                    total = sums.setdefault(skill, np.zeros((3, draws)))
+                    total[0] += deltas[at : at + 256][here] @ weights[here]
+                    total[1] += weights[here].sum(axis=0)
+                    total[2, :2] += deltas[at : at + 256][here].sum(), here.sum()
+        for skill, total in sums.items():
+            plain, n = total[2, :2]
+            yield pa.record_batch([pa.array([skill] * draws), pa.array(np.arange(draws), pa.int64()), *map(pa.array, (total[0], total[1], np.full(draws, plain), np.full(draws, n)))], ["skill", "draw", "s", "w", "plain", "n"])
+
+    rows = values.select("skill", key, F.col("delta").cast("double"))
+    parts = rows.mapInArrow(run, "skill string, draw long, s double, w double, plain double, n double")
+    per = parts.groupBy("draw", "skill").agg(*(F.sum(c).alias(c) for c in ("s", "w", "plain", "n")))
+    mean = F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(F.col("plain") / F.col("n"))
+    return per.groupBy("draw").agg(F.avg(mean).alias("mean"))
+
+
 def interval(draws: DataFrame, count: int) -> DataFrame:
     """Mean and the order statistics at 2.5 and 97.5 per cent; values of the draws, not interpolated."""
     place = F.row_number().over(Window.orderBy("mean", "draw")) - 1
@@ -131,6 +190,53 @@ def ladder(primary: DataFrame, canonical: DataFrame, extra: DataFrame) -> DataFr
     return p.crossJoin(c).crossJoin(extra).withColumn("state", state)
 
 
+def wide_cases(panel: DataFrame, conditions: Sequence[str], flag: str = "ok") -> DataFrame:
+    """One row a (skill, case): value v0, v1, ... and flag f0, f1, ... of every cell, conditions in turn,
+    random before staged; family; whether the cells are complete and unique and of one family."""
+    cells = [(F.col("condition") == c) & (F.col("endpoint") == e) for c in conditions for e in (RANDOM, STAGED)]
+    found = [F.max(F.when(cell, F.col("value"))).alias(f"v{i}") for i, cell in enumerate(cells)]
+    flags = [F.max(F.when(cell, F.col(flag).cast("double"))).alias(f"f{i}") for i, cell in enumerate(cells)]
+    rows = panel.groupBy("skill", "case").agg(*found, *flags, F.max("family").alias("family"), F.min("family").alias("_low"), F.count("*").alias("_n"))
+    whole = (F.col("_n") == len(cells)) & F.col("family").eqNullSafe(F.col("_low"))
+    for i in range(len(cells)):
+        whole &= F.col(f"v{i}").isNotNull()
+    return rows.withColumn("complete", whole).drop("_n", "_low")
+
+
+def _delta(conditions: Sequence[str], components: Sequence[Sequence[str]], prefix: str = "v") -> Column:
+    """Staged minus random of a balanced score, from the cells of wide_cases or their means."""
+    def score(side: int) -> Column:
+        at = lambda c: F.col(f"{prefix}{2 * list(conditions).index(c) + side}")
+        parts = [sum((at(c) for c in group[1:]), at(group[0])) / len(group) for group in components]
+        return sum(parts[1:], parts[0]) / len(components)
+
+    return score(1) - score(0)
+
+
+def decision(wide: DataFrame, conditions: Sequence[str], constructs: Sequence[Sequence[Sequence[str]]], draws: int, seed: str, per_endpoint: float, per_condition: float) -> DataFrame:
+    """The ladder's row from wide_cases: every mean comes from one aggregate by skill (scores are linear
+    in the cells), both bootstraps from the cases' deltas. An incomplete panel is DATA_INVALID."""
+    cells = range(2 * len(conditions))
+    means = wide.groupBy("skill").agg(*(F.avg(f"{p}{i}").alias(f"{p}{i}") for p in "vf" for i in cells), F.bool_and("complete").alias("complete"))
+    sides = [[f"f{i}" for i in cells if i % 2 == side] for side in (0, 1)]
+    passed = F.lit(True)
+    for names in sides:
+        passed &= sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names) >= per_endpoint
+    for i in cells:
+        passed &= F.col(f"f{i}") >= per_condition
+    contrast = lambda components: _delta(conditions, components)
+    lists = {"delta": BALANCED, "canonical": [["full"]], "minimal": [["minimal"]], "no_skill": [["no_skill"]], **{f"construct{k}": c for k, c in enumerate(constructs)}}
+    skills = means.select("skill", "complete", F.coalesce(passed, F.lit(False)).alias("passed"), *(contrast(c).alias(n) for n, c in lists.items()))
+    primary, canonical = ((skills.select("skill", F.col(c).alias("delta"))).unionByName(skills.agg(F.lit("macro").alias("skill"), F.avg(c).alias("delta"))) for c in ("delta", "canonical"))
+    deltas = wide.select("skill", "case", "family", contrast(BALANCED).alias("delta")).where("delta IS NOT NULL")
+    by_case = interval(poisson_bootstrap(deltas, draws, seed, "case"), draws).select(F.col("ci95_lower").alias("case_lower"))
+    families = deltas.groupBy("skill", "family").agg(F.avg("delta").alias("delta"))
+    by_family = interval(cluster_bootstrap(families, draws, seed, "family"), draws).select(F.col("ci95_lower").alias("family_lower"))
+    worst = F.least(*(F.avg(f"construct{k}") for k in range(len(constructs)))) if len(constructs) > 1 else F.avg("construct0")
+    extra = skills.agg(worst.alias("construct_min"), F.avg("minimal").alias("minimal_delta"), F.avg("no_skill").alias("no_skill_delta"), F.bool_and("passed").alias("guards_pass"), F.bool_and("complete").alias("data_valid"))
+    return ladder(primary, canonical, extra.crossJoin(by_case).crossJoin(by_family))
+
+
 def gates(panel: DataFrame, conditions: int, endpoints: int = 2) -> DataFrame:
     """Cases whose cells are not complete and unique, or that have several families."""
     per = panel.groupBy("skill", "case").agg(F.count("*").alias("cells"), F.count_distinct("condition", "endpoint").alias("distinct_cells"), F.count_distinct("family").alias("families"))

@@ -41,7 +41,7 @@ def analyse(panel: DataFrame, draws: int = 10_000, per_endpoint: float = 0.95, p
     primary, canonical = P.effects(cases), P.effects(P.by_case(panel, [["full"]]))
     signed = F.sum(F.when(F.col("endpoint") == P.STAGED, F.col("score")).otherwise(-F.col("score"))).alias("delta")
     deltas = cases.groupBy("skill", "case").agg(signed).join(panel.groupBy("skill", "case").agg(F.max_by("family", "condition").alias("family")), ["skill", "case"])
-    by_case = P.interval(P.cluster_bootstrap(deltas.select("skill", "case", "delta"), draws, seed, "case"), draws)
+    by_case = P.interval(P.poisson_bootstrap(deltas.select("skill", "case", "delta"), draws, seed, "case"), draws)
     by_family = P.interval(P.cluster_bootstrap(deltas.groupBy("skill", "family").agg(F.avg("delta").alias("delta")), draws, seed, "family"), draws)
     constructs = None
     for name, parts in CONSTRUCTS.items():
@@ -50,16 +50,14 @@ def analyse(panel: DataFrame, draws: int = 10_000, per_endpoint: float = 0.95, p
     flag = lambda e, n: F.max(F.when(F.col("endpoint") == e, F.col("ok"))).alias(n)
     pairs = panel.groupBy("skill", "condition", "case").agg(flag(P.RANDOM, "random_ok"), flag(P.STAGED, "staged_ok"))
     guards = P.validity(panel, "schema_valid", per_endpoint, per_condition)
-    one = lambda c: P.effects(P.by_case(panel, [[c]])).where("skill = 'macro'").select(F.col("delta").alias(f"{c}_delta"))
-    extra = by_case.select(F.col("ci95_lower").alias("case_lower")).crossJoin(by_family.select(F.col("ci95_lower").alias("family_lower")))
-    extra = extra.crossJoin(constructs.agg(F.min("delta").alias("construct_min"))).crossJoin(one("minimal")).crossJoin(one("no_skill")).crossJoin(guards.agg(F.bool_and("passed").alias("guards_pass")))
-    extra = extra.withColumn("data_valid", F.lit(gate_errors(panel).isEmpty()))
+    wide = P.wide_cases(panel, P.CONDITIONS, "schema_valid")
+    row = P.decision(wide, P.CONDITIONS, list(CONSTRUCTS.values()), draws, seed, per_endpoint, per_condition)
     return {
         "primary": primary, "canonical": canonical, "constructs": constructs, "conditions": P.grouped_effects(panel, "condition"),
         "case_bootstrap": by_case, "family_bootstrap": by_family, "guards": guards,
         "robust_tests": P.holm(P.mcnemar(pairs.where(F.col("condition").isin(ROBUST)), "skill", "condition"), order=["skill", "condition"]),
         "canonical_tests": P.mcnemar(pairs.where("condition = 'full'"), "skill"),
-        "decision": P.ladder(primary, canonical, extra).select("state", "macro", "low", "high", "guards_pass"),
+        "decision": row.select("state", "macro", "low", "high", "case_lower", "family_lower", "guards_pass", "data_valid"),
     }
 
 
@@ -81,5 +79,7 @@ def vector_summary(records: DataFrame) -> dict[str, DataFrame]:
 
 def layout_errors(arms: DataFrame) -> DataFrame:
     """Skills whose staged and mixed orders are not two orders of the same records."""
-    hashes = arms.groupBy("skill_id").agg(layout.multiset_hash("record_id").alias("records"), layout.ordered_hash("record_id", "staged_position").alias("staged"), layout.ordered_hash("record_id", "mixed_position").alias("mixed"), F.count_distinct("staged_position").alias("s"), F.count_distinct("mixed_position").alias("m"), F.count("*").alias("n"))
-    return hashes.where("staged = mixed OR s <> n OR m <> n").select("skill_id")
+    by = ["skill_id"]
+    hashes = layout.ordered_hash(arms, by, "record_id", "staged_position", "staged").join(layout.ordered_hash(arms, by, "record_id", "mixed_position", "mixed"), "skill_id")
+    counts = arms.groupBy("skill_id").agg(F.count_distinct("staged_position").alias("s"), F.count_distinct("mixed_position").alias("m"), F.count("*").alias("n"))
+    return hashes.join(counts, "skill_id").where("staged = mixed OR s <> n OR m <> n").select("skill_id")

@@ -1,7 +1,8 @@
 """Queries that read, score and reward model answers, and their SQL.
 
 Answers are derived from the rule engine's own decisions: a hash of sample and exposure picks one
-of twenty forms (right, fenced, wrapped in prose, wrong, invalid in some way, no JSON at all).
+of twenty-three forms (right, fenced, wrapped in prose, wrong, invalid in some way, stray brackets,
+no JSON at all).
 The oracles know from the form what every score must be.
 """
 
@@ -19,7 +20,7 @@ from casewright.plans.facts import EXPOSURES, Duck, Spark, read, select_sql
 
 def _form(d) -> str:
     number = d.number("concat('answer|', cast(sample_id AS varchar(20)), '|', prompt_exposure)")
-    return f"CASE WHEN prompt_exposure = 'no_skill' AND {number} % 3 = 0 THEN 13 ELSE {number} % 20 END"
+    return f"CASE WHEN prompt_exposure = 'no_skill' AND {number} % 3 = 0 THEN 13 ELSE {number} % 23 END"
 
 
 ABLATIONS = ["original", "rule_deleted_full", "schema_deleted_full", "fact_mutation"]
@@ -61,6 +62,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 17, F.concat(F.lit('{"decision":"deny",'), F.substr(right, F.lit(2))))
         .when(form == 18, F.lit("I cannot decide."))
         .when(form == 19, F.lit("[1]"))
+        .when(form == 20, F.concat(right, F.lit("] x")))
+        .when(form == 21, F.concat(right, F.lit("}")))
+        .when(form == 22, F.concat(right, F.lit("],["), right))
         .otherwise(right)
     )
     tags = F.array_compact(F.array(F.lit("target_case"), F.when(F.col("user_claim") == "logistics_issue", "logistics_issue")))
@@ -126,8 +130,9 @@ def contract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events' properties read as JSON, with a broken tail on every seventh."""
-    text = F.expr("CASE event_id % 7 WHEN 0 THEN concat(props, ' }') WHEN 1 THEN concat('note ', props) WHEN 2 THEN substr(props, 1, length(props) - 1) WHEN 3 THEN concat(props, ' x') ELSE props END")
+    """Events' properties read as JSON, most of them with something before or after."""
+    tails = {0: "concat(props, ' }')", 1: "concat('note ', props)", 2: "substr(props, 1, length(props) - 1)", 3: "concat(props, ' x')", 4: "concat(props, '] x')", 5: "concat(props, '],[', props)", 6: "concat(props, ', 1')", 7: "concat(props, '],[1')"}
+    text = F.expr(f"CASE event_id % 11 {' '.join(f'WHEN {k} THEN {t}' for k, t in tails.items())} ELSE props END")
     rows = read(spark, sf_dir, "events").select("event_id", text.alias("text"))
     json = textjson.lenient(F.col("text"))
     return rows.select("event_id", json.isNotNull().alias("json_valid"), F.get_json_object(json, "$.k").try_cast("bigint").alias("k"))
@@ -173,7 +178,7 @@ QUERIES = {f.__name__: f for f in (eval_by_exposure, retention_curve, ablation_g
 _gold = refund_sql(select_sql(facts.refund_orders, "orders"))
 _forms = f"""SELECT *, {_form(Duck)} AS form, {_ablation(Duck)} AS ablation_type FROM (SELECT * FROM ({_gold}) CROSS JOIN (VALUES ('full'), ('partial'), ('minimal'), ('no_skill')) v(prompt_exposure))"""
 SCORED = f"""SELECT *, CASE WHEN ablation_type = 'fact_mutation' THEN 'amount_raised' ELSE 'none' END AS mutation_type,
- (form <> 18)::INT::DOUBLE AS s_json, (form <= 13 OR form = 17)::INT::DOUBLE AS s_schema, (form <= 12 OR form = 17)::INT::DOUBLE AS s_decision FROM ({_forms})"""
+ (form NOT IN (18, 21, 22))::INT::DOUBLE AS s_json, (form <= 13 OR form IN (17, 20))::INT::DOUBLE AS s_schema, (form <= 12 OR form IN (17, 20))::INT::DOUBLE AS s_decision FROM ({_forms})"""
 _METRICS = """count(*) AS n, round(avg(s_json), 6) AS json_valid_rate, round(avg(s_schema), 6) AS schema_valid_rate, round(avg(s_decision), 6) AS decision_accuracy,
  round(avg(s_schema), 6) AS risk_level_accuracy, round(avg(s_schema), 6) AS need_human_accuracy, round(avg(s_schema), 6) AS reason_code_f1, round(avg(s_decision + 4 * s_schema) / 5, 6) AS overall_score"""
 _overall = "avg(s_decision + 4 * s_schema) / 5"
@@ -192,9 +197,9 @@ _retention = " UNION ALL ".join(
 )
 
 # What an answer's fields hold, by form: its decision, whether they are there at all, and the human flag.
-_parsed = f"""SELECT *, form <> 18 AND form <> 19 AS object,
- CASE WHEN form IN (18, 19) THEN NULL WHEN form = 13 THEN CASE decision WHEN 'deny' THEN 'allow_refund' ELSE 'deny' END WHEN form = 14 THEN 'maybe' ELSE decision END AS p_decision,
- CASE WHEN form IN (16, 18, 19) THEN NULL ELSE need_human END AS p_human FROM ({SCORED})"""
+_parsed = f"""SELECT *, form NOT IN (18, 19, 21, 22) AS object,
+ CASE WHEN form IN (18, 19, 21, 22) THEN NULL WHEN form = 13 THEN CASE decision WHEN 'deny' THEN 'allow_refund' ELSE 'deny' END WHEN form = 14 THEN 'maybe' ELSE decision END AS p_decision,
+ CASE WHEN form IN (16, 18, 19, 21, 22) THEN NULL ELSE need_human END AS p_human FROM ({SCORED})"""
 _pairs = f"""SELECT l.sample_id, w, l.s_decision = 1 AS a_ok, r.s_decision = 1 AS b_ok,
  0.45 * (l.p_decision IS NOT DISTINCT FROM r.p_decision)::INT + 0.20 * (l.p_human IS NOT DISTINCT FROM r.p_human)::INT
  + 0.15 * (l.object = r.object)::INT + 0.20 * (l.object = r.object)::INT AS sim
@@ -216,10 +221,10 @@ ORACLES = {
     "dependency_gaps": f"""SELECT round({_group(_o, 'original/full/none')} - {_group(_o, 'rule_deleted_full/full/none')}, 6) AS rule_dependency_gap,
  round({_group('s_schema', 'original/full/none')} - {_group('s_schema', 'schema_deleted_full/full/none')}, 6) AS schema_dependency_gap,
  round({_group(_o, 'original/full/none')} - {_group(_o, 'original/no_skill/none')}, 6) AS retention_gap FROM ({SCORED})""",
-    "fact_mutation_accuracy": f"SELECT count(*) AS n, round(avg((form <= 12 OR form IN (15, 16, 17))::INT), 6) AS accuracy FROM ({SCORED}) WHERE mutation_type <> 'none'",
-    "contract_errors": f"""SELECT CASE form WHEN 14 THEN 'invalid_decision' WHEN 15 THEN 'missing_fields' WHEN 16 THEN 'need_human_not_boolean' WHEN 18 THEN 'not_json' WHEN 19 THEN 'not_an_object' ELSE '' END AS errors,
+    "fact_mutation_accuracy": f"SELECT count(*) AS n, round(avg((form <= 12 OR form IN (15, 16, 17, 20))::INT), 6) AS accuracy FROM ({SCORED}) WHERE mutation_type <> 'none'",
+    "contract_errors": f"""SELECT CASE form WHEN 14 THEN 'invalid_decision' WHEN 15 THEN 'missing_fields' WHEN 16 THEN 'need_human_not_boolean' WHEN 18 THEN 'not_json' WHEN 21 THEN 'not_json' WHEN 22 THEN 'not_json' WHEN 19 THEN 'not_an_object' ELSE '' END AS errors,
  s_schema = 1 AS schema_valid, count(*) AS n FROM ({SCORED}) GROUP BY ALL""",
-    "json_lenient": """SELECT event_id, event_id % 7 NOT IN (0, 2) AS json_valid, CASE WHEN event_id % 7 NOT IN (0, 2) THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events""",
+    "json_lenient": """SELECT event_id, event_id % 11 NOT IN (0, 2, 5) AS json_valid, CASE WHEN event_id % 11 NOT IN (0, 2, 5) THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events""",
     "json_strict": f"SELECT prompt_exposure, count(*) FILTER (WHERE form < 10 OR form BETWEEN 13 AND 16) AS strict_objects, count(*) AS n FROM ({SCORED}) GROUP BY 1",
     "code_f1": f"""SELECT sample_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS f1 FROM (
  SELECT sample_id, list_distinct(reason_codes) AS a, list_distinct(CASE sample_id % 3 WHEN 0 THEN reason_codes[1:len(reason_codes) - 1] WHEN 1 THEN list_concat(reason_codes, ['extra', 'extra']) ELSE reason_codes END) AS b FROM ({_gold}))""",

@@ -131,8 +131,8 @@ def expense_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _wide_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of all engines in one table; columns of other engines are null."""
-    refund = facts.order_lines(spark, sf_dir).where("l_linenumber = 1").selectExpr("'refund' skill_id", *facts.pilot_lines(Spark))
-    warranty = facts.part_lines(spark, sf_dir).where("l_linenumber = 1").selectExpr("'warranty' skill_id", *facts.warranty_lines(Spark))
+    refund = facts.order_lines(spark, sf_dir).selectExpr("'refund' skill_id", *facts.pilot_lines(Spark))
+    warranty = facts.part_lines(spark, sf_dir).selectExpr("'warranty' skill_id", *facts.warranty_lines(Spark))
     expense = rules.with_expense_amounts(facts.read(spark, sf_dir, "orders").selectExpr("'expense' skill_id", *facts.expense_orders(Spark)).drop("claim_id"))
     return refund.unionByName(warranty, allowMissingColumns=True).unionByName(expense, allowMissingColumns=True)
 
@@ -208,8 +208,8 @@ ORACLES = {
     "warranty_decide": f"SELECT l_orderkey, l_linenumber, code, {outcome_sql('warranty')} FROM ({_warranty})",
     "expense_decide": f"SELECT claim_id, amount_cny, code, {outcome_sql('expense')} FROM ({_expense})",
     "engine_dispatch_union": f"""SELECT skill_id, decision, code, count(*) AS n FROM (
- SELECT 'refund' AS skill_id, code, {outcome_sql('refund')} FROM ({_pilot}) WHERE l_linenumber = 1
- UNION ALL SELECT 'warranty', code, {outcome_sql('warranty')} FROM ({_warranty}) WHERE l_linenumber = 1
+ SELECT 'refund' AS skill_id, code, {outcome_sql('refund')} FROM ({_pilot})
+ UNION ALL SELECT 'warranty', code, {outcome_sql('warranty')} FROM ({_warranty})
  UNION ALL SELECT 'expense', code, {outcome_sql('expense')} FROM ({_expense})) GROUP BY ALL""",
     "domain_violations": f"""SELECT o_orderkey, array_to_string(v, '|') AS violations FROM (SELECT o_orderkey, list_filter([
  CASE WHEN product_type = 'bundle' THEN 'product_type' END, CASE WHEN order_status = 'lost' THEN 'order_status' END,

@@ -32,7 +32,7 @@ def hash_rank_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     records result: staged (segment by segment) and mixed (one hash order over all)."""
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("segment"))
     counts = rows.groupBy("segment").agg(F.count("*").alias("size"))
-    placed = layout.ranked(rows, [layout.hash_key("exposure", F.col("id")), F.col("id")], ["segment"], "place").join(F.broadcast(counts), "segment")
+    placed = layout.hash_ranked(rows, "exposure", "id", "place", ["segment"]).join(F.broadcast(counts), "segment")
     chain = None
     for segment, shares in SEGMENT_SHARES.items():
         upto, pick = 0, None
@@ -43,8 +43,9 @@ def hash_rank_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
         chain = F.when(F.col("segment") == segment, pick) if chain is None else chain.when(F.col("segment") == segment, pick)
     named = placed.withColumn("prompt_exposure", chain)
     named = named.withColumn("record_id", layout.hash_key("v1", F.col("id"), F.col("segment"), F.col("prompt_exposure")))
-    staged = layout.ranked(named, [layout.hash_key("within", F.col("record_id")), F.col("record_id")], ["segment"], "staged_position")
-    return layout.hash_ranked(staged, "mix", "record_id", "mixed_position").select("id", "segment", "prompt_exposure", F.col("staged_position").cast("long"), "mixed_position")
+    digits = layout.bucket_digits(rows.count())
+    staged = layout.hash_ranked(named, "within", "record_id", "staged_position", ["segment"], digits)
+    return layout.hash_ranked(staged, "mix", "record_id", "mixed_position", digits=digits).select("id", "segment", "prompt_exposure", "staged_position", "mixed_position")
 
 
 PHASES = [(0.3, [("full", 0.8), ("partial", 0.2)]), (0.7, [("full", 0.2), ("partial", 0.5), ("minimal", 0.3)]), (1.1, [("partial", 0.2), ("minimal", 0.4), ("no_skill", 0.4)])]
@@ -98,12 +99,12 @@ def sample_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(layout.multiset_hash("o_orderkey").alias("h"))
+    return layout.multiset_hash(read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderkey")
 
 
 def ordered_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", layout.hash_key("order", F.col("o_orderkey")).alias("place"))
-    return rows.groupBy("o_orderpriority").agg(layout.ordered_hash("o_orderkey", "place").alias("h"))
+    placed = layout.hash_ranked(read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "order", "o_orderkey", "place", ["o_orderpriority"])
+    return layout.ordered_hash(placed, ["o_orderpriority"], "o_orderkey", "place", rows=1000)
 
 
 def template_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +150,8 @@ _phase = f"""SELECT o_orderkey, position, CASE WHEN (position - 1) / n < 0.3 THE
  ELSE CASE WHEN u < 0.2 THEN 'partial' WHEN u < 0.6 THEN 'minimal' ELSE 'no_skill' END END AS prompt_exposure
  FROM (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('phase|' || o_orderkey), o_orderkey) AS position, count(*) OVER ()::DOUBLE AS n, {_unit} AS u FROM orders)"""
 
+_blocks = """SELECT o_orderpriority, sha256(string_agg(x, '' ORDER BY b)) AS h FROM (SELECT o_orderpriority, {block} AS b, sha256('["' || string_agg(o_orderkey::VARCHAR, '","' ORDER BY {place}) || '"]') AS x FROM {rows} GROUP BY ALL) GROUP BY 1"""
+
 ORACLES = {
     "exposure_cross_join": "SELECT o_orderstatus, prompt_exposure, count(*) AS n FROM orders CROSS JOIN (VALUES ('full'), ('partial'), ('minimal'), ('no_skill')) v(prompt_exposure) GROUP BY ALL",
     "ablation_expand": """SELECT o_orderkey, ablation_type, prompt_exposure, sha256(o_orderkey || '|' || ablation_type || '|' || prompt_exposure) AS record_id FROM orders
@@ -170,8 +173,8 @@ ORACLES = {
  SELECT a.s AS left_split, b.s AS right_split, count(*) AS shared FROM t a JOIN t b ON a.text = b.text AND a.s < b.s GROUP BY ALL""",
     "sample_topk": "SELECT doc_id, lang FROM documents ORDER BY sha256('sample|' || doc_id), doc_id LIMIT 100",
     "sample_repeats": """SELECT item_id, 2 + (k <= (n * 5 // 2) % n)::INT::BIGINT AS copies FROM (SELECT item_id, row_number() OVER (ORDER BY sha256('repeat|' || item_id), item_id) AS k, count(*) OVER () AS n FROM benchmark)""",
-    "multiset_hash": """SELECT o_orderpriority, sha256('["' || string_agg(o_orderkey::VARCHAR, '","' ORDER BY o_orderkey::VARCHAR) || '"]') AS h FROM orders GROUP BY 1""",
-    "ordered_hash": """SELECT o_orderpriority, sha256('["' || string_agg(o_orderkey::VARCHAR, '","' ORDER BY sha256('order|' || o_orderkey)) || '"]') AS h FROM orders GROUP BY 1""",
+    "multiset_hash": _blocks.format(block="substr(sha256(o_orderkey::VARCHAR), 1, 3)", place="sha256(o_orderkey::VARCHAR)", rows="orders"),
+    "ordered_hash": _blocks.format(block="(place - 1) // 1000", place="place", rows="(SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('order|' || o_orderkey), o_orderkey) AS place FROM orders)"),
     "template_hash": """SELECT o_orderkey, sha256(j) AS facts_hash, sha256('orders|' || j) AS semantic_hash FROM (SELECT o_orderkey,
  '{"customer":' || o_custkey || ',"order":' || o_orderkey || ',"priority":"' || o_orderpriority || '","shipped":' || (o_orderstatus = 'F')::VARCHAR || '}' AS j FROM orders)""",
     "pairing_keys": """SELECT o_orderkey, prompt_condition, endpoint, o_orderstatus || '|' || sha256(o_orderkey::VARCHAR) || '|' || prompt_condition || '|' || endpoint AS pairing_key

@@ -9,9 +9,9 @@ from casewright.operators import panel as P
 from casewright.operators import vectors as V
 from casewright.plans.facts import Duck, Spark, read
 
-CONDITIONS = ["full", "partial", "minimal", "no_skill", "no_system", "irrelevant", "paraphrase_a", "paraphrase_b"]
+CONDITIONS = P.CONDITIONS
 ROBUST = CONDITIONS[4:]
-DRAWS = 40
+DRAWS = 200
 
 
 def _right(d) -> str:
@@ -69,26 +69,20 @@ def _case_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = P.cluster_bootstrap(_case_deltas(spark, sf_dir).select("skill", "case", "delta"), DRAWS, "boot", "case")
+    draws = P.poisson_bootstrap(_case_deltas(spark, sf_dir).select("skill", "case", "delta"), DRAWS, "boot", "case")
     return _rounded(P.interval(draws, DRAWS))
 
 
 def bootstrap_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = _case_deltas(spark, sf_dir).groupBy("skill", "family").agg(F.avg("delta").alias("delta"))
-    return _rounded(P.interval(P.cluster_bootstrap(means, 200, "boot", "family"), 200))
+    return _rounded(P.interval(P.cluster_bootstrap(means, DRAWS, "boot", "family"), DRAWS))
 
 
 def decision_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel(spark, sf_dir)
-    primary = P.effects(P.by_case(rows, P.BALANCED))
-    canonical = P.effects(P.by_case(rows, [["full"]]))
-    one = lambda c: P.effects(P.by_case(rows, [[c]])).where("skill = 'macro'").select("delta")
-    constructs = P.grouped_effects(rows.where(F.col("condition").isin(ROBUST)), "condition").agg(F.min("delta").alias("construct_min"))
-    draws = P.cluster_bootstrap(_case_deltas(spark, sf_dir).groupBy("skill", "family").agg(F.avg("delta").alias("delta")), 200, "boot", "family")
-    bounds = P.interval(draws, 200).select(F.col("ci95_lower").alias("case_lower"), F.col("ci95_lower").alias("family_lower"))
-    guard = P.validity(rows, "ok", 0.5, 0.5).agg(F.bool_and("passed").alias("guards_pass"))
-    extra = constructs.crossJoin(bounds).crossJoin(guard).crossJoin(one("minimal").withColumnRenamed("delta", "minimal_delta")).crossJoin(one("no_skill").withColumnRenamed("delta", "no_skill_delta")).withColumn("data_valid", F.lit(True))
-    return _rounded(P.ladder(primary, canonical, extra).select("state", "macro", "low", "high", F.col("gains").cast("long"), F.col("losses").cast("long"), "c_macro", "minimal_delta", "no_skill_delta", "guards_pass"))
+    """The decision about a panel, its bounds and its parts; a construct is each of the robust conditions."""
+    wide = P.wide_cases(panel(spark, sf_dir), CONDITIONS)
+    row = P.decision(wide, CONDITIONS, [[[c]] for c in ROBUST], DRAWS, "boot", 0.5, 0.5)
+    return _rounded(row.select("state", "macro", "low", "high", F.col("gains").cast("long"), F.col("losses").cast("long"), "c_macro", "minimal_delta", "no_skill_delta", "case_lower", "family_lower", "guards_pass", "data_valid"))
 
 
 def panel_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +126,7 @@ def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Norm of the even minus the odd vector of a pair, by label: paired contexts, both present."""
-    rows = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair"), (F.col("vec_id") % 2).alias("side"), V.norm(F.expr("slice(embedding, 1, 32)")).alias("n"), "label")
+    rows = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair"), (F.col("vec_id") % 2).alias("side"), V.norm(F.col("embedding")).alias("n"), "label")
     pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     both = rows.groupBy("pair").agg(pick(0, "n").alias("a"), pick(1, "n").alias("b"), pick(0, "label").alias("label")).where("a IS NOT NULL AND b IS NOT NULL")
     return _rounded(V.finite_stats(both.withColumn("d", F.col("a") - F.col("b")), "d", "label"), 5)
@@ -166,6 +160,21 @@ def _bootstrap(values: str, cluster: str, draws: int) -> str:
  SELECT avg(mean) AS mean, max(mean) FILTER (WHERE k = {int(.025 * draws)}) AS ci95_lower, max(mean) FILTER (WHERE k = {min(draws - 1, int(.975 * draws))}) AS ci95_upper FROM k"""
 
 
+def _poisson(values: str, cluster: str, draws: int) -> str:
+    """As poisson_bootstrap: the same mixed hashes, reckoned modulo 2 ** 64 in 128 bits."""
+    mixed = "xor({x}, {x} >> {s})::UHUGEINT * {m} % 18446744073709551616"
+    first = f"((key::UHUGEINT + draw::UHUGEINT * {P.MIX[0]}) % 18446744073709551616)::UBIGINT"
+    weight = " ".join(f"WHEN u < {float(t)!r} THEN {k}" for k, t in enumerate(P.POISSON[:-1]))
+    return f"""WITH v AS (SELECT skill, delta, ('0x' || substr(sha256('boot|' || skill || '|' || {cluster}), 1, 15))::BIGINT AS key FROM ({values})),
+ a AS (SELECT skill, delta, draw, {first} AS x FROM v CROSS JOIN (SELECT unnest(range(1, {draws + 1})) AS draw)),
+ b AS (SELECT skill, delta, draw, ({mixed.format(x='x', s=30, m=P.MIX[1])})::UBIGINT AS x FROM a),
+ c AS (SELECT skill, delta, draw, ((({mixed.format(x='x', s=27, m=P.MIX[2])})::UBIGINT) >> 11)::DOUBLE / {float(1 << 53)!r} AS u FROM b),
+ w AS (SELECT skill, delta, draw, CASE {weight} ELSE {len(P.POISSON) - 1} END AS w FROM c),
+ m AS (SELECT draw, avg(x) AS mean FROM (SELECT draw, skill, CASE WHEN sum(w) > 0 THEN sum(w * delta) / sum(w) ELSE avg(delta) END AS x FROM w GROUP BY ALL) GROUP BY draw),
+ k AS (SELECT mean, row_number() OVER (ORDER BY mean, draw) - 1 AS k FROM m)
+ SELECT avg(mean) AS mean, max(mean) FILTER (WHERE k = {int(.025 * draws)}) AS ci95_lower, max(mean) FILTER (WHERE k = {min(draws - 1, int(.975 * draws))}) AS ci95_upper FROM k"""
+
+
 _round3 = "SELECT round(mean, 6) AS mean, round(ci95_lower, 6) AS ci95_lower, round(ci95_upper, 6) AS ci95_upper FROM ({})"
 _family = f"SELECT skill, family, avg(delta) AS delta FROM ({_deltas}) GROUP BY ALL"
 _tail = "list_sum(list_transform(range(0, least(random_only, staged_only) + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))))"
@@ -194,19 +203,19 @@ ORACLES = {
  round(max(least(1, (m - k + 1) * p_value)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 9) AS holm_p FROM (SELECT *, row_number() OVER (ORDER BY p_value, skill, condition) AS k, count(*) OVER () AS m FROM ({_mcnemar(_robust, 'skill, condition')}))""",
     "validity_guards": f"""SELECT skill, endpoint, NULL AS condition, round(avg(value), 6) AS rate, count(*) AS n, avg(value) >= 0.8 AS passed FROM ({_panel}) GROUP BY skill, endpoint
  UNION ALL SELECT skill, endpoint, condition, round(avg(value), 6), count(*), avg(value) >= 0.7 FROM ({_panel}) GROUP BY skill, endpoint, condition""",
-    "bootstrap_case": _round3.format(_bootstrap(_deltas, '"case"', DRAWS)),
-    "bootstrap_family": _round3.format(_bootstrap(_family, "family", 200)),
+    "bootstrap_case": _round3.format(_poisson(_deltas, '"case"', DRAWS)),
+    "bootstrap_family": _round3.format(_bootstrap(_family, "family", DRAWS)),
     "decision_ladder": f"""WITH p AS (SELECT max(delta) FILTER (WHERE skill = 'macro') AS macro, min(delta) FILTER (WHERE skill <> 'macro') AS low, max(delta) FILTER (WHERE skill <> 'macro') AS high,
   count(*) FILTER (WHERE skill <> 'macro' AND delta >= 0.05) AS gains, count(*) FILTER (WHERE skill <> 'macro' AND delta < 0) AS losses FROM ({_effects(_balanced)})),
  c AS (SELECT max(delta) FILTER (WHERE skill = 'macro') AS c_macro, min(delta) FILTER (WHERE skill <> 'macro') AS c_low FROM ({_effects(_single('full'))})),
  z AS (SELECT (SELECT delta FROM ({_effects(_single('minimal'))}) WHERE skill = 'macro') AS minimal_delta, (SELECT delta FROM ({_effects(_single('no_skill'))}) WHERE skill = 'macro') AS no_skill_delta,
   (SELECT min(staged - random) FROM ({_grouped_sql}) WHERE condition IN ({', '.join(f"'{x}'" for x in ROBUST)})) AS construct_min,
-  (SELECT ci95_lower FROM ({_bootstrap(_family, 'family', 200)})) AS lower,
+  (SELECT ci95_lower FROM ({_bootstrap(_family, 'family', DRAWS)})) AS family_lower, (SELECT ci95_lower FROM ({_poisson(_deltas, '"case"', DRAWS)})) AS case_lower,
   (SELECT bool_and(v >= 0.5) FROM (SELECT avg(value) AS v FROM ({_panel}) GROUP BY skill, endpoint, condition)) AND (SELECT bool_and(v >= 0.5) FROM (SELECT avg(value) AS v FROM ({_panel}) GROUP BY skill, endpoint)) AS guards_pass)
- SELECT CASE WHEN macro >= 0.05 AND lower > 0 AND gains >= 2 AND low > -0.05 AND construct_min > -0.05 AND c_macro >= -0.02 AND c_low > -0.05 AND minimal_delta > -0.05 AND no_skill_delta > -0.05 AND guards_pass THEN 'PASS'
+ SELECT CASE WHEN macro >= 0.05 AND case_lower > 0 AND family_lower > 0 AND gains >= 2 AND low > -0.05 AND construct_min > -0.05 AND c_macro >= -0.02 AND c_low > -0.05 AND minimal_delta > -0.05 AND no_skill_delta > -0.05 AND guards_pass THEN 'PASS'
   WHEN macro <= 0 OR losses >= 2 OR least(low, construct_min, c_macro, c_low, minimal_delta, no_skill_delta) <= -0.05 THEN 'FAIL'
   WHEN (gains > 0 AND losses > 0) OR high - low >= 0.10 THEN 'MIXED' ELSE 'INCONCLUSIVE' END AS state,
- round(macro, 6) AS macro, round(low, 6) AS low, round(high, 6) AS high, gains, losses, round(c_macro, 6) AS c_macro, round(minimal_delta, 6) AS minimal_delta, round(no_skill_delta, 6) AS no_skill_delta, guards_pass FROM p, c, z""",
+ round(case_lower, 6) AS case_lower, round(family_lower, 6) AS family_lower, (SELECT count(*) = 0 FROM (SELECT 1 FROM ({_panel}) GROUP BY skill, "case" HAVING count(*) <> 16)) AS data_valid, round(macro, 6) AS macro, round(low, 6) AS low, round(high, 6) AS high, gains, losses, round(c_macro, 6) AS c_macro, round(minimal_delta, 6) AS minimal_delta, round(no_skill_delta, 6) AS no_skill_delta, guards_pass FROM p, c, z""",
     "panel_gates": f"""WITH r AS (SELECT * FROM ({_panel}) WHERE NOT ("case" % 40 = 0 AND condition = 'full')), d AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE "case" % 60 = 7 AND condition = 'minimal' AND endpoint = 'staged_order')
  SELECT skill, "case", count(*) AS cells, count(DISTINCT condition || '|' || endpoint) AS distinct_cells, count(DISTINCT family) AS families FROM d GROUP BY skill, "case" HAVING count(*) <> 16 OR count(DISTINCT condition || '|' || endpoint) <> 16""",
     "vector_gram": f"""SELECT a.grp, a.exposure AS "left", b.exposure AS "right", round(sum(a.v * b.v), 5) AS dot, round(sum(a.v * b.v) / nullif(sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v)), 0), 5) AS cosine
@@ -215,6 +224,6 @@ ORACLES = {
     "vector_norms": f"SELECT vec_id, (i // 16)::INT AS module, round(sqrt(sum(v * v)), 5) AS norm FROM ({_long}) GROUP BY ALL",
     "count_sketch": f"SELECT vec_id, (i::BIGINT * 1103515245 + 20260724) % 16 AS bucket, round(sum(CASE WHEN (i::BIGINT * 214013 + {20260724 // 7}) % 2 = 1 THEN v ELSE -v END), 5) AS value FROM ({_long}) GROUP BY ALL",
     "vector_groups": f"SELECT label, exposure, {_stats('c')} FROM ({_cos}) GROUP BY ALL",
-    "context_delta": f"""SELECT label, {_stats('d')} FROM (SELECT a.label, a.n - b.n AS d FROM (SELECT vec_id, label, sqrt(sum(v * v)) AS n FROM ({_long}) WHERE i < 32 GROUP BY ALL) a
- JOIN (SELECT vec_id, sqrt(sum(v * v)) AS n FROM ({_long}) WHERE i < 32 GROUP BY ALL) b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0) GROUP BY label""",
+    "context_delta": f"""SELECT label, {_stats('d')} FROM (SELECT a.label, a.n - b.n AS d FROM (SELECT vec_id, label, sqrt(sum(v * v)) AS n FROM ({_long}) GROUP BY ALL) a
+ JOIN (SELECT vec_id, sqrt(sum(v * v)) AS n FROM ({_long}) GROUP BY ALL) b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0) GROUP BY label""",
 }

@@ -20,7 +20,7 @@ def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record a document: system (none for odd ids), user and assistant text, flattened."""
     rows = read(spark, sf_dir, "documents")
-    built = M.build(F.when(F.col("doc_id") % 2 == 0, SYSTEM).otherwise(""), F.substring("text", 1, 80), F.col("lang"))
+    built = M.build(F.when(F.col("doc_id") % 2 == 0, SYSTEM).otherwise(""), F.col("text"), F.col("lang"))
     return rows.select("doc_id", F.size(built).cast("long").alias("n"), F.sha2(M.flatten(built), 256).alias("h"))
 
 
@@ -57,14 +57,11 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-PORTABLE = {"private_path": r"(?i)(?:[A-Za-z]:\\|/home/|/data/|/root/|/Users/)", "key_prefix": r"(?:sk-|hf_)[A-Za-z0-9]{20,}", "credential": r"(?i)(?:api[_-]?key|token|password)\s*[:=]"}
-
-
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and documents with anything that looks like a secret, and how often."""
     both = read(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text").unionByName(read(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text")))
-    counted = both.select("origin", "id", *M.secret_counts(F.col("text"), PORTABLE))
-    return counted.where(" OR ".join(f"{name} > 0" for name in PORTABLE))
+    counted = both.select("origin", "id", *M.secret_counts(F.col("text"), M.SECRETS))
+    return counted.where(" OR ".join(f"{name} > 0" for name in M.SECRETS))
 
 
 def user_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +87,13 @@ def factorial_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id and exposure read back from prompt text; absent ones are null or unknown."""
-    text = F.concat(F.lit("sample_id="), F.col("o_orderkey"), F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit(" exposure="), F.element_at(F.array(F.lit("full"), F.lit("partial"), F.lit("minimal")), (F.col("o_orderkey") % 4).cast("int")))).otherwise(""))
+    """sample_id (or the active order's) and exposure read back from prompt text; null or unknown if absent."""
+    key = F.col("o_orderkey")
+    named = F.when(key % 5 == 0, F.concat(F.lit('{"active_order_id": "C-ACTIVE-'), key, F.lit('"}'))).when(key % 5 == 1, "no id").otherwise(F.concat(F.lit("sample_id: "), key))
+    text = F.concat(named, F.when(key % 4 > 0, F.concat(F.lit(" prompt_exposure: "), F.element_at(F.array(F.lit("full"), F.lit("partial"), F.lit("no_skill")), (key % 4).cast("int")))).otherwise(""))
     rows = read(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
-    return rows.select("o_orderkey", F.nullif(F.regexp_extract("t", "sample_id=([0-9]+)", 1), F.lit("")).alias("sample_id"), F.coalesce(F.nullif(F.regexp_extract("t", "exposure=([a-z_]+)", 1), F.lit("")), F.lit("unknown")).alias("exposure"))
+    found = M.prompt_metadata(F.col("t"))
+    return rows.select("o_orderkey", found["sample_id"].alias("sample_id"), F.coalesce(found["prompt_exposure"], F.lit("unknown")).alias("exposure"))
 
 
 def completion_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +112,19 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (message_build, message_strip, last_user, message_flatten, char_stats, tag_counts, secret_scan, user_prompts, noisy_prompts, factorial_prompts, prompt_metadata, completion_masks, benchmark_leaks)}
 
-_count = "len(regexp_extract_all({}, '{}'))"
-_secret = " UNION ALL ".join(f"SELECT '{o}' AS origin, {k} AS id, {', '.join(_count.format(c, p) + f' AS {n}' for n, p in PORTABLE.items())} FROM {o}" for o, k, c in (("documents", "doc_id", "text"), ("pages", "page_id", "html")))
+def _counted(name: str, pattern: str, column: str) -> str:
+    """SQL for the number of matches. DuckDB has no lookbehind: paths are put between marks first, and
+    the marks after the start or anything but a word character are counted."""
+    if name == "private_path":
+        path = pattern.split("(?<![A-Za-z0-9_])")[1].replace("(?:", "(")
+        column, pattern = f"regexp_replace({column}, '(?i){path}', chr(1) || '\\1' || chr(2), 'g')", r"(?:^|[^A-Za-z0-9_])\x01"
+    return f"coalesce(len(regexp_extract_all({column}, '{pattern.replace(chr(39), chr(39) * 2)}')), 0) AS {name}"
+
+
+_secret = " UNION ALL ".join(f"SELECT '{o}' AS origin, {k} AS id, {', '.join(_counted(n, p, c) for n, p in M.SECRETS.items())} FROM {o}" for o, k, c in (("documents", "doc_id", "text"), ("pages", "page_id", "html")))
 
 ORACLES = {
-    "message_build": f"""SELECT doc_id, 2 + (doc_id % 2 = 0)::BIGINT AS n, sha256(CASE WHEN doc_id % 2 = 0 THEN '{SYSTEM}' || chr(10) ELSE '' END || substr(text, 1, 80) || chr(10) || lang) AS h FROM documents""",
+    "message_build": f"""SELECT doc_id, 2 + (doc_id % 2 = 0)::BIGINT AS n, sha256(CASE WHEN doc_id % 2 = 0 THEN '{SYSTEM}' || chr(10) ELSE '' END || coalesce(text, '') || chr(10) || lang) AS h FROM documents""",
     "message_strip": f"""SELECT conv_id, count(*) FILTER (WHERE role <> 'system') AS kept, 1 + count(*) FILTER (WHERE role <> 'system') AS n,
  ({len(SYSTEM)} + coalesce(sum(length(text)) FILTER (WHERE role <> 'system'), 0))::BIGINT AS characters FROM conversations GROUP BY conv_id""",
     "last_user": "SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '(none)') AS last_user FROM conversations GROUP BY conv_id",
@@ -127,13 +135,13 @@ ORACLES = {
  CASE WHEN order_amount >= 1000 THEN 'high_value_order' END, CASE WHEN refund_count_30d >= 3 THEN 'frequent_refund_user' END, CASE WHEN is_fresh OR is_customized OR is_virtual THEN 'special_goods' END,
  CASE WHEN logistics_issue THEN 'logistics_issue' END, CASE WHEN has_quality_issue AND NOT has_evidence THEN 'quality_without_evidence' END], lambda x: x IS NOT NULL)) AS tag
  FROM (SELECT {', '.join(facts.refund_lines(Duck))} FROM {LINES_SQL})) GROUP BY tag""",
-    "secret_scan": f"SELECT * FROM ({_secret}) WHERE {' OR '.join(f'{n} > 0' for n in PORTABLE)}",
+    "secret_scan": f"SELECT * FROM ({_secret}) WHERE {' OR '.join(f'{n} > 0' for n in M.SECRETS)}",
     "user_prompts": """SELECT o_orderkey, sha256('order ' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN ' arrived broken' WHEN 1 THEN ' never came' ELSE ' is not wanted' END || chr(10)
  || 'facts: {"customer":' || o_custkey || ',"status":"' || o_orderstatus || '"}' || CASE WHEN o_custkey % 2 = 0 THEN chr(10) || 'evidence: a photo' ELSE '' END) AS h FROM orders""",
     "noisy_prompts": """SELECT c_custkey, coalesce((SELECT string_agg(x, '; ' ORDER BY sha256('noise|' || c_custkey || '|' || x)) FROM (SELECT unnest(list_transform(range(0, c_custkey % 5), lambda i: (['alpha rule', 'beta rule', 'gamma rule'])[i % 3 + 1])) AS x)), '') AS noise FROM customer""",
     "factorial_prompts": """SELECT n_nationkey, 'c' || k AS condition, array_to_string(list_filter([CASE WHEN k & 1 > 0 THEN 'You serve ' || n_name END, CASE WHEN k & 2 > 0 THEN 'Answer in JSON' END, CASE WHEN k & 4 > 0 THEN 'Follow the rules' END], lambda x: x IS NOT NULL), chr(10)) AS prompt
  FROM nation CROSS JOIN (SELECT unnest(range(0, 8)) AS k)""",
-    "prompt_metadata": "SELECT o_orderkey, o_orderkey::VARCHAR AS sample_id, CASE o_orderkey % 4 WHEN 1 THEN 'full' WHEN 2 THEN 'partial' WHEN 3 THEN 'minimal' ELSE 'unknown' END AS exposure FROM orders",
+    "prompt_metadata": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 1 THEN o_orderkey::VARCHAR END AS sample_id, CASE o_orderkey % 4 WHEN 1 THEN 'full' WHEN 2 THEN 'partial' WHEN 3 THEN 'no_skill' ELSE 'unknown' END AS exposure FROM orders",
     "completion_masks": """WITH t AS (SELECT o_orderkey, o_orderkey::VARCHAR AS a, o_custkey::VARCHAR AS b, list_max(list_filter(range(0, least(length(o_orderkey::VARCHAR), length(o_custkey::VARCHAR)) + 1), lambda k: left(o_orderkey::VARCHAR, k) = left(o_custkey::VARCHAR, k))) AS n FROM orders)
  SELECT o_orderkey, n AS shared, array_to_string(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN i <= n THEN '-100' ELSE a[i:i] END), ',') AS mask FROM t""",
     "benchmark_leaks": """WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)

@@ -24,7 +24,12 @@ def test_analysis(spark):
     panel = analysis.from_predictions(predictions(spark)).cache()
     tables = analysis.analyse(panel, 50)
     assert {r["skill"]: round(r["delta"], 9) for r in tables["primary"].collect()} == {k: 0.5 for k in ("a", "b", "c", "macro")}
-    assert tables["decision"].first()["state"] == "FAIL" or tables["case_bootstrap"].first()["ci95_lower"] > 0
+    row = tables["decision"].first()
+    assert row["data_valid"] and row["guards_pass"] and abs(row["macro"] - 0.5) < 1e-9
+    assert row["case_lower"] == tables["case_bootstrap"].first()["ci95_lower"] and row["family_lower"] == tables["family_bootstrap"].first()["ci95_lower"]
+    assert row["state"] == ("PASS" if min(row["case_lower"], row["family_lower"]) > 0 else "INCONCLUSIVE")
+    gap = analysis.analyse(panel.where("NOT (case = 'a0' AND condition = 'no_skill')"), 20)["decision"].first()
+    assert gap["state"] == "DATA_INVALID"
     assert tables["robust_tests"].count() == 12 and tables["canonical_tests"].where("p_value = 1").count() == 3
     assert analysis.gate_errors(panel).isEmpty()
     broken = analysis.gate_errors(panel.where("NOT (case = 'a0' AND condition = 'full')"))

@@ -28,6 +28,15 @@ def test_strict_and_lenient_differ_on_duplicates(spark):
     assert first.select(textjson.lenient(F.col("t")), textjson.braces_first(F.col("t"))).first()[:] == ('[{"a":1}]', '{"a":1}')
 
 
+def test_what_is_json(spark):
+    whole = ['{"a":1}', "[1, 2]", ' 3 ', '"]"', '{"a":"}],["}', "null"]
+    broken = ['{"a":1}] x', '{"a":1}],[{"b":2}', "1],[2", "1,2", "", "[", "]", '{"a":1}}', '{"a":1}, 1', '{"a":1},{"a":1}', '"a', "1]", '1,"x"]', None]
+    df = spark.createDataFrame([(t,) for t in whole + broken], "t string")
+    got = df.select(textjson.is_json(F.col("t")).alias("j"), textjson.strict_object(F.col("t")).alias("s")).collect()
+    assert [r["j"] for r in got] == [True] * len(whole) + [False] * len(broken)
+    assert [r["s"] for r in got if r["s"]] == [whole[0], whole[4]]
+
+
 def rewarded(spark, texts, mode="offline", gold=GOLD):
     rows = [("s", e, i, [], t, gold) for i, (e, t) in enumerate(zip(["full", "partial", "minimal", "no_skill"], texts))]
     df = spark.createDataFrame(rows, "sample_id string, prompt_exposure string, position int, hard_tags array<string>, prediction string, gold struct<decision: string, risk_level: string, need_human: boolean, reason_codes: array<string>>")
