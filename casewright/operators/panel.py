@@ -172,6 +172,14 @@ def interval(draws: DataFrame, count: int) -> DataFrame:
     return draws.withColumn("_k", place).agg(F.avg("mean").alias("mean"), at(low).alias("ci95_lower"), at(high).alias("ci95_upper"))
 
 
+def _state() -> Column:
+    """The ladder's outcome from its inputs, columns of one row."""
+    wins = "macro >= 0.05 AND case_lower > 0 AND family_lower > 0 AND gains >= 2 AND low > -0.05 AND construct_min > -0.05 AND c_macro >= -0.02 AND c_low > -0.05 AND minimal_delta > -0.05 AND no_skill_delta > -0.05 AND guards_pass"
+    fails = "macro <= 0 OR losses >= 2 OR low <= -0.05 OR construct_min <= -0.05 OR c_macro <= -0.05 OR c_low <= -0.05 OR minimal_delta <= -0.05 OR no_skill_delta <= -0.05"
+    mixed = "(gains >= 1 AND losses >= 1) OR high - low >= 0.10"
+    return F.when(~F.col("data_valid"), "DATA_INVALID").when(F.expr(wins), "PASS").when(F.expr(fails), "FAIL").when(F.expr(mixed), "MIXED").otherwise("INCONCLUSIVE")
+
+
 def ladder(primary: DataFrame, canonical: DataFrame, extra: DataFrame) -> DataFrame:
     """The decision ladder as one row.
 
@@ -183,58 +191,54 @@ def ladder(primary: DataFrame, canonical: DataFrame, extra: DataFrame) -> DataFr
     low, high = F.min(F.when(own, F.col("delta"))), F.max(F.when(own, F.col("delta")))
     p = primary.agg(macro.alias("macro"), low.alias("low"), high.alias("high"), F.count_if(own & (F.col("delta") >= 0.05)).alias("gains"), F.count_if(own & (F.col("delta") < 0)).alias("losses"))
     c = canonical.agg(macro.alias("c_macro"), low.alias("c_low"))
-    wins = "macro >= 0.05 AND case_lower > 0 AND family_lower > 0 AND gains >= 2 AND low > -0.05 AND construct_min > -0.05 AND c_macro >= -0.02 AND c_low > -0.05 AND minimal_delta > -0.05 AND no_skill_delta > -0.05 AND guards_pass"
-    fails = "macro <= 0 OR losses >= 2 OR low <= -0.05 OR construct_min <= -0.05 OR c_macro <= -0.05 OR c_low <= -0.05 OR minimal_delta <= -0.05 OR no_skill_delta <= -0.05"
-    mixed = "(gains >= 1 AND losses >= 1) OR high - low >= 0.10"
-    state = F.when(~F.col("data_valid"), "DATA_INVALID").when(F.expr(wins), "PASS").when(F.expr(fails), "FAIL").when(F.expr(mixed), "MIXED").otherwise("INCONCLUSIVE")
-    return p.crossJoin(c).crossJoin(extra).withColumn("state", state)
-
-
-def wide_cases(panel: DataFrame, conditions: Sequence[str], flag: str = "ok") -> DataFrame:
-    """One row a (skill, case): value v0, v1, ... and flag f0, f1, ... of every cell, conditions in turn,
-    random before staged; family; whether the cells are complete and unique and of one family."""
-    cells = [(F.col("condition") == c) & (F.col("endpoint") == e) for c in conditions for e in (RANDOM, STAGED)]
-    found = [F.max(F.when(cell, F.col("value"))).alias(f"v{i}") for i, cell in enumerate(cells)]
-    flags = [F.max(F.when(cell, F.col(flag).cast("double"))).alias(f"f{i}") for i, cell in enumerate(cells)]
-    rows = panel.groupBy("skill", "case").agg(*found, *flags, F.max("family").alias("family"), F.min("family").alias("_low"), F.count("*").alias("_n"))
-    whole = (F.col("_n") == len(cells)) & F.col("family").eqNullSafe(F.col("_low"))
-    for i in range(len(cells)):
-        whole &= F.col(f"v{i}").isNotNull()
-    return rows.withColumn("complete", whole).drop("_n", "_low")
-
-
-def _delta(conditions: Sequence[str], components: Sequence[Sequence[str]], prefix: str = "v") -> Column:
-    """Staged minus random of a balanced score, from the cells of wide_cases or their means."""
-    def score(side: int) -> Column:
-        at = lambda c: F.col(f"{prefix}{2 * list(conditions).index(c) + side}")
-        parts = [sum((at(c) for c in group[1:]), at(group[0])) / len(group) for group in components]
-        return sum(parts[1:], parts[0]) / len(components)
-
-    return score(1) - score(0)
-
-
-def decision(wide: DataFrame, conditions: Sequence[str], constructs: Sequence[Sequence[Sequence[str]]], draws: int, seed: str, per_endpoint: float, per_condition: float) -> DataFrame:
-    """The ladder's row from wide_cases: every mean comes from one aggregate by skill (scores are linear
-    in the cells), both bootstraps from the cases' deltas. An incomplete panel is DATA_INVALID."""
-    cells = range(2 * len(conditions))
-    means = wide.groupBy("skill").agg(*(F.avg(f"{p}{i}").alias(f"{p}{i}") for p in "vf" for i in cells), F.bool_and("complete").alias("complete"))
-    sides = [[f"f{i}" for i in cells if i % 2 == side] for side in (0, 1)]
+    return p.crossJoin(c).crossJoin(extra).withColumn("state", _state())
+
+
+def _coefficients(conditions: Sequence[str], components: Sequence[Sequence[str]]) -> list[float]:
+    """What each cell (conditions in turn, random before staged) counts in staged minus random of a
+    balanced score."""
+    share = dict.fromkeys(conditions, 0.0)
+    for group in components:
+        for c in group:
+            share[c] += 1 / len(group) / len(components)
+    return [sign * share[c] for c in conditions for sign in (-1, 1)]
+
+
+def decision(panel: DataFrame, conditions: Sequence[str], constructs: Sequence[Sequence[Sequence[str]]], draws: int, seed: str, per_endpoint: float, per_condition: float, flag: str = "ok") -> DataFrame:
+    """The ladder's row. Scores are linear in the cells, so the means of all cells by skill give every
+    effect, and one sum a case gives the deltas of both bootstraps. A panel with a case whose cells are
+    not complete and unique, or of several families, is DATA_INVALID."""
+    n = 2 * len(conditions)
+    index = F.array_position(F.array(*map(F.lit, conditions)), F.col("condition")).cast("int")
+    cell = F.when((index > 0) & F.col("endpoint").isin(RANDOM, STAGED), 2 * (index - 1) + (F.col("endpoint") == STAGED).cast("int"))
+    rows = panel.select("skill", "case", "family", "value", F.col(flag).cast("double").alias("_flag"), cell.alias("_cell"))
+    means = rows.groupBy("skill", "_cell").agg(F.avg("value").alias("v"), F.avg("_flag").alias("f"))
+    means = means.groupBy("skill").agg(*(F.max(F.when(F.col("_cell") == i, F.col(p))).alias(f"{p}{i}") for p in "vf" for i in range(n)))
     passed = F.lit(True)
-    for names in sides:
-        passed &= sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names) >= per_endpoint
-    for i in cells:
+    for side in (0, 1):
+        passed &= sum((F.col(f"f{i}") for i in range(side + 2, n, 2)), F.col(f"f{side}")) / len(conditions) >= per_endpoint
+    for i in range(n):
         passed &= F.col(f"f{i}") >= per_condition
-    contrast = lambda components: _delta(conditions, components)
+
+    def contrast(components: Sequence[Sequence[str]]) -> Column:
+        terms = [w * F.col(f"v{i}") for i, w in enumerate(_coefficients(conditions, components)) if w]
+        return sum(terms[1:], terms[0])
+
     lists = {"delta": BALANCED, "canonical": [["full"]], "minimal": [["minimal"]], "no_skill": [["no_skill"]], **{f"construct{k}": c for k, c in enumerate(constructs)}}
-    skills = means.select("skill", "complete", F.coalesce(passed, F.lit(False)).alias("passed"), *(contrast(c).alias(n) for n, c in lists.items()))
-    primary, canonical = ((skills.select("skill", F.col(c).alias("delta"))).unionByName(skills.agg(F.lit("macro").alias("skill"), F.avg(c).alias("delta"))) for c in ("delta", "canonical"))
-    deltas = wide.select("skill", "case", "family", contrast(BALANCED).alias("delta")).where("delta IS NOT NULL")
-    by_case = interval(poisson_bootstrap(deltas, draws, seed, "case"), draws).select(F.col("ci95_lower").alias("case_lower"))
-    families = deltas.groupBy("skill", "family").agg(F.avg("delta").alias("delta"))
-    by_family = interval(cluster_bootstrap(families, draws, seed, "family"), draws).select(F.col("ci95_lower").alias("family_lower"))
+    skills = means.select(F.coalesce(passed, F.lit(False)).alias("passed"), *(contrast(c).alias(name) for name, c in lists.items()))
     worst = F.least(*(F.avg(f"construct{k}") for k in range(len(constructs)))) if len(constructs) > 1 else F.avg("construct0")
-    extra = skills.agg(worst.alias("construct_min"), F.avg("minimal").alias("minimal_delta"), F.avg("no_skill").alias("no_skill_delta"), F.bool_and("passed").alias("guards_pass"), F.bool_and("complete").alias("data_valid"))
-    return ladder(primary, canonical, extra.crossJoin(by_case).crossJoin(by_family))
+    row = skills.agg(
+        F.avg("delta").alias("macro"), F.min("delta").alias("low"), F.max("delta").alias("high"), F.count_if(F.col("delta") >= 0.05).alias("gains"), F.count_if(F.col("delta") < 0).alias("losses"),
+        F.avg("canonical").alias("c_macro"), F.min("canonical").alias("c_low"), worst.alias("construct_min"), F.avg("minimal").alias("minimal_delta"), F.avg("no_skill").alias("no_skill_delta"), F.bool_and("passed").alias("guards_pass"),
+    )
+    weight = F.element_at(F.array(*map(F.lit, _coefficients(conditions, BALANCED))), F.col("_cell") + 1)
+    seen = F.bit_or(F.element_at(F.array(*(F.lit(1 << i).cast("long") for i in range(n))), F.col("_cell") + 1))
+    cases = rows.groupBy("skill", "case").agg(F.sum(weight * F.col("value")).alias("delta"), F.max("family").alias("family"), ((F.count("*") == n) & (seen == (1 << n) - 1) & (F.count("value") == n) & F.min("family").eqNullSafe(F.max("family"))).alias("complete"))
+    families = cases.groupBy("skill", "family").agg(F.avg("delta").alias("delta"), F.bool_and("complete").alias("complete"))
+    valid = families.agg(F.coalesce(F.bool_and("complete"), F.lit(False)).alias("data_valid"))
+    by_case = interval(poisson_bootstrap(cases.where("delta IS NOT NULL"), draws, seed, "case"), draws).select(F.col("ci95_lower").alias("case_lower"))
+    by_family = interval(cluster_bootstrap(families.where("delta IS NOT NULL"), draws, seed, "family"), draws).select(F.col("ci95_lower").alias("family_lower"))
+    return row.crossJoin(valid).crossJoin(by_case).crossJoin(by_family).withColumn("state", _state())
 
 
 def gates(panel: DataFrame, conditions: int, endpoints: int = 2) -> DataFrame:

@@ -50,8 +50,7 @@ def analyse(panel: DataFrame, draws: int = 10_000, per_endpoint: float = 0.95, p
     flag = lambda e, n: F.max(F.when(F.col("endpoint") == e, F.col("ok"))).alias(n)
     pairs = panel.groupBy("skill", "condition", "case").agg(flag(P.RANDOM, "random_ok"), flag(P.STAGED, "staged_ok"))
     guards = P.validity(panel, "schema_valid", per_endpoint, per_condition)
-    wide = P.wide_cases(panel, P.CONDITIONS, "schema_valid")
-    row = P.decision(wide, P.CONDITIONS, list(CONSTRUCTS.values()), draws, seed, per_endpoint, per_condition)
+    row = P.decision(panel, P.CONDITIONS, list(CONSTRUCTS.values()), draws, seed, per_endpoint, per_condition, "schema_valid")
     return {
         "primary": primary, "canonical": canonical, "constructs": constructs, "conditions": P.grouped_effects(panel, "condition"),
         "case_bootstrap": by_case, "family_bootstrap": by_family, "guards": guards,

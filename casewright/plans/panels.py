@@ -80,8 +80,7 @@ def bootstrap_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decision_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision about a panel, its bounds and its parts; a construct is each of the robust conditions."""
-    wide = P.wide_cases(panel(spark, sf_dir), CONDITIONS)
-    row = P.decision(wide, CONDITIONS, [[[c]] for c in ROBUST], DRAWS, "boot", 0.5, 0.5)
+    row = P.decision(panel(spark, sf_dir), CONDITIONS, [[[c]] for c in ROBUST], DRAWS, "boot", 0.5, 0.5)
     return _rounded(row.select("state", "macro", "low", "high", F.col("gains").cast("long"), F.col("losses").cast("long"), "c_macro", "minimal_delta", "no_skill_delta", "case_lower", "family_lower", "guards_pass", "data_valid"))
 
 
