@@ -3,17 +3,22 @@
 Words are lower-cased; their byte 2-, 3- and 4-grams with word boundaries are hashed to BUCKETS
 embeddings, a text is the average of its subwords' embeddings, and a softmax layer turns the
 average into probabilities. Embeddings and layer are trained together by stochastic gradient
-descent in numpy on a sample of at most SAMPLE labelled documents, balanced over languages. A
-fifth of the sample sets the temperature of the softmax and the acceptance threshold: the score
-under which REJECT of the correctly named documents lie, never above MOST or 1.4 times chance: a text half in one and half
-in another language is accepted.
+descent in numpy on a sample of about SAMPLE labelled documents (never more than twice as many),
+balanced over languages.
+
+Rejection is calibrated on what must go. Every sampled document also gives one text of no language,
+by turns its letters dealt anew over its words, its words reversed, or letters drawn evenly from a to
+z or from a block of another script; these are one more class of the softmax. A text is accepted if the probability of that class is below a
+threshold: of the fifth of the sample kept from training, texts and junk, the threshold is the one
+that parts both best while at most REJECT of the documents go. A text half in one and half in another
+language is accepted, one in a language never seen mostly is not.
 
 Scoring needs one small matrix (embeddings times layer) and reads every text wholly, in slices.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and not accepted;
 without any labelled row every text is `und`; null doc_ids count as the empty id in the fold;
-repeated rows give repeated results; further columns stay; earlier columns named lang_pred,
-lang_score or lang_accepted are replaced.
+repeated rows give repeated results, and are one text of the sample; further columns stay, whatever
+their names; earlier columns named lang_pred, lang_score or lang_accepted are replaced.
 """
 
 from __future__ import annotations
@@ -25,16 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm.shared import appended, crc32_mod, table, text_arrays
+from casewright.llm.shared import appended, crc32_mod, fresh, table, text_arrays
 
-BITS = 15
+BITS = 16
 BUCKETS = 1 << BITS
 WIDTH = 16
 SAMPLE = 4096
-LANGUAGES = 64
-REJECT = 0.001
-MOST = 0.4
+#: Most of the documents of a known language that calibration may reject.
+REJECT = 0.002
 SLICE = 1 << 20
+#: First and last code points of blocks of letters other than a to z.
+BLOCKS = ((0xDF, 0x24F), (0x370, 0x3FF), (0x430, 0x52F), (0x5D0, 0x64A), (0x905, 0xDC6), (0x3041, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 #: ASCII letters and all non-ASCII bytes stay, anything else is a word boundary.
 KEEP = np.full(256, 32, np.uint8)
 KEEP[97:123], KEEP[65:91], KEEP[128:] = np.arange(97, 123), np.arange(65, 91), np.arange(128, 256)
@@ -42,6 +48,8 @@ KEEP[97:123], KEEP[65:91], KEEP[128:] = np.arange(97, 123), np.arange(65, 91), n
 
 @dataclass(frozen=True)
 class Model:
+    """weights has a column a language and a last one for texts of no language."""
+
     languages: tuple[str, ...]
     weights: np.ndarray
     temperature: float
@@ -96,50 +104,71 @@ def sums(array: pa.Array, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def junk(text: str, kind: int, seed: int) -> str:
+    """A text of no language with the words' lengths of a text: its letters dealt anew (0), its words
+    reversed (1), letters drawn evenly from a to z (2) or from one of BLOCKS (3)."""
+    if kind == 1:
+        return " ".join(w[::-1] for w in text.split())
+    rng = np.random.default_rng(seed)
+    found = np.array(list(text))
+    letters = np.char.isalpha(found)
+    if kind == 0:
+        found[letters] = rng.permutation(found[letters])
+    else:
+        first, last = (97, 122) if kind == 2 else BLOCKS[seed // 4 % len(BLOCKS)]
+        found[letters] = list(map(chr, rng.integers(first, last + 1, int(letters.sum()))))
+    return "".join(found)
+
+
+def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct subwords of a text and their shares."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    total = np.zeros(BUCKETS, np.int64)
+    for _, buckets in grams(data, np.array([0, len(data)])):
+        total += np.bincount(buckets, minlength=BUCKETS)
+    hit = np.flatnonzero(total)
+    return hit.astype(np.int32), (total[hit] / max(1, total.sum())).astype(np.float32)
+
+
 def _features(batches):
     for batch in batches:
-        array = text_arrays(batch, "_padded")
-        data, offsets = rows_of(array)
-        found, counts = [], []
-        for i in range(len(array)):
-            total = np.zeros(BUCKETS, np.int64)
-            for _, buckets in grams(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])):
-                total += np.bincount(buckets, minlength=BUCKETS)
-            hit = np.flatnonzero(total)
-            found.append(hit.astype(np.int32))
-            counts.append((total[hit] / max(1, total.sum())).astype(np.float32))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], ["lang", "draw", "buckets", "share"])
-
-
-def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 6, rate: float = 0.5) -> Model:
+        rows = []
+        for lang, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, content in ((lang, text), (None, f" {junk(text.strip(), h % 4, h % (1 << 32))} ")):
+                rows.append((name, h, *_shares(content)))
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())))], ["lang", "h", "buckets", "share"])
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4, rate: float = 0.5) -> Model:
     """Model from the text and lang of docs; the caller leaves out held-out rows."""
-    labelled = docs.where("lang IS NOT NULL").where(has_letter(F.col("text")))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    labelled = docs.where("lang IS NOT NULL").where(has_letter(F.col("text"))).select("lang", padded(F.col("text")).alias("text"), F.xxhash64("text").alias("h"))
+    sizes = labelled.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return Model((), np.zeros((BUCKETS, 1), np.float32), 1.0, 0.5)
     each = max(32, sample // len(sizes))
-    draw = (F.xxhash64("doc_id", F.lit("sample")).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)).alias("draw")
-    bound = F.lit(0.0)
-    for row in sizes:
-        bound = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, each / row["count"]))).otherwise(bound)
-    drawn = labelled.select("lang", draw, padded(F.col("text")).alias("_padded")).where(F.col("draw") < bound)
-    rows = drawn.mapInArrow(_features, "lang string, draw double, buckets array<int>, share array<float>").toArrow()
-    languages = tuple(sorted(r["lang"] for r in sizes))
-    number = {x: k for k, x in enumerate(languages)}
+    draw = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) / float(1 << 40)
+    shares = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["count"]))))
+    # Copies of a text are drawn together and count once; the limit bounds what reaches the driver.
+    drawn = labelled.where(draw < F.element_at(shares, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    drawn = drawn.select("lang", "h", "text").limit(2 * max(sample, 32 * len(sizes)))
+    rows = drawn.mapInArrow(_features, "lang string, h long, buckets array<int>, share array<float>").toArrow()
+    languages = tuple(r["lang"] for r in sizes)
+    number = {x: k for k, x in enumerate(languages)} | {None: len(languages)}
     y = np.array([number[x] for x in rows["lang"].to_pylist()], np.int64)
-    draws = rows["draw"].to_numpy()
-    order = np.lexsort((y, draws))
+    h = rows["h"].to_numpy()
+    order = np.lexsort((y, h))
     ids = [rows["buckets"][int(i)].values.to_numpy() for i in order]
     share = [rows["share"][int(i)].values.to_numpy() for i in order]
-    y = y[order]
-    return _descend(ids, share, y, languages, epochs, rate)
+    return _descend(ids, share, y[order], h[order], languages, epochs, rate)
 
 
-def _descend(ids, share, y, languages, epochs, rate) -> Model:
+def _descend(ids, share, y, h, languages, epochs, rate) -> Model:
+    """Weights by stochastic gradient descent; a document and its junk are both trained on or both kept."""
     rng = np.random.default_rng(7)
+    classes = len(languages) + 1
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
-    layer = np.zeros((WIDTH, len(languages)), np.float32)
-    tuning = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
+    layer = np.zeros((WIDTH, classes), np.float32)
+    tuning = h % 5 == 4 if len(y) >= 100 else np.zeros(len(y), bool)
     train_rows = np.flatnonzero(~tuning)
     steps, done = epochs * max(1, len(train_rows)), 0
     for _ in range(epochs):
@@ -156,34 +185,44 @@ def _descend(ids, share, y, languages, epochs, rate) -> Model:
             embed[ids[i]] -= speed * np.outer(share[i] * np.float32(min(64.0, len(ids[i]))), back)
     weights = (embed @ layer).astype(np.float32)
     held = np.flatnonzero(tuning) if tuning.any() else np.arange(len(y))
-    z = np.array([share[i] @ weights[ids[i]] for i in held]).reshape(len(held), len(languages))
-    best = (np.inf, 1.0)
-    for t in np.geomspace(0.05, 5, 40):
-        logp = z / t - np.logaddexp.reduce(z / t, axis=1, keepdims=True)
-        best = min(best, (float(-logp[np.arange(len(held)), y[held]].mean()), float(t)))
-    t = best[1]
-    p = np.exp(z / t - np.logaddexp.reduce(z / t, axis=1, keepdims=True))
-    right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-    threshold = min(MOST, 1.4 / len(languages), *([float(np.quantile(right, REJECT))] if len(right) else []))
-    return Model(languages, weights, t, threshold)
+    z = np.array([share[i] @ weights[ids[i]] for i in held]).reshape(len(held), classes)
+    softmax = lambda t: z / t - np.logaddexp.reduce(z / t, axis=1, keepdims=True)
+    at = np.arange(len(held)), y[held]
+    t = min(np.geomspace(0.05, 5, 40), key=lambda t: -softmax(t)[at].mean())
+    return Model(languages, weights, float(t), calibrated(np.exp(softmax(t))[:, -1], y[held] == classes - 1))
+
+
+def calibrated(junk_score: np.ndarray, is_junk: np.ndarray) -> float:
+    """The threshold on the probability of no language that parts documents from junk best, with at most
+    REJECT of the documents at or above it; between neighbouring scores, the middle."""
+    good, bad = np.sort(junk_score[~is_junk]), junk_score[is_junk]
+    if not len(good):
+        return 0.5
+    least = good[min(len(good) - 1, int(np.ceil(len(good) * (1 - REJECT))) - 1)]
+    above = bad[bad > least]
+    return float(min(0.99, (least + (np.quantile(above, 0.01) if len(above) else 1.0)) / 2))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, lang_score (0 to 1) and lang_accepted."""
+    """docs with lang_pred, lang_score (0 to 1: probability of that language) and lang_accepted."""
+    new = ["lang_pred", "lang_score", "lang_accepted"]
     names = np.array([*model.languages, "und"], dtype=object)
+    docs = docs.drop(*new)
+    text, letters = fresh(docs, "padded", "letters")
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        array = text_arrays(batch, "_padded")
-        letters = batch.column(batch.schema.get_field_index("_letters")).to_numpy(zero_copy_only=False).astype(bool)
+        array = text_arrays(batch, text)
+        has = batch.column(batch.schema.get_field_index(letters)).to_numpy(zero_copy_only=False).astype(bool)
         total = sums(array, model.weights)
-        known = letters & (total[:, -1] > 0) if model.languages else np.zeros(len(array), bool)
+        known = has & (total[:, -1] > 0) if model.languages else np.zeros(len(array), bool)
         z = total[:, :-1] / np.maximum(total[:, -1:], 1) / model.temperature
         p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-        pick = np.where(known, p.argmax(axis=1), len(names) - 1)
-        score = np.where(known, p.max(axis=1), 0.0)
-        return [pa.array(names[pick].tolist(), pa.string()), pa.array(score), pa.array(known & (score >= model.threshold))]
+        own = p[:, :-1] if model.languages else p
+        pick = np.where(known, own.argmax(axis=1), len(names) - 1)
+        score = np.where(known, own.max(axis=1), 0.0)
+        return [pa.array(names[pick].tolist(), pa.string()), pa.array(score), pa.array(known & (p[:, -1] < model.threshold))]
 
-    helpers = {"_padded": padded(F.col("text")), "_letters": has_letter(F.col("text"))}
+    helpers = {text: padded(F.col("text")), letters: has_letter(F.col("text"))}
     return appended(docs, "lang_pred string, lang_score double, lang_accepted boolean", work, helpers)
 
 

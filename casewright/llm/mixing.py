@@ -14,7 +14,7 @@ anything are exact decimals, so reruns agree.
 
 Defined results: null text and sources without words take nothing; null is a source of its own,
 last in order; repeated rows share what their (source, size) gets; an empty table gives an empty
-result; further columns stay.
+result; further columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.shared import WORD, checkpointed, staged, table
+from casewright.llm.shared import WORD, checkpointed, fresh, staged, table
 
 MOST = 2
 SALTS = 256
@@ -120,9 +120,9 @@ def settled(cells: DataFrame, single: bool, most: int = MOST) -> DataFrame:
     return cells.withColumn("copies", F.col("copies") + F.signum("_off").cast("long") * flips).drop("_off", "_room", "_left")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """(doc_id, row_key, size, source_size, target, copies), one row per row of docs."""
-    rows = docs.select("doc_id", row_key().alias("row_key"), source_key(F.col("source")).alias("key"), words(F.col("text")).alias("size"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, row_key, size, source_size, target, copies, keep...), one row per row of docs."""
+    rows = docs.select(*keep, "doc_id", row_key().alias("row_key"), source_key(F.col("source")).alias("key"), words(F.col("text")).alias("size"))
     rows = staged(rows.withColumn("draw", F.xxhash64("row_key", F.lit("mix"))).withColumn("salt", F.pmod("draw", F.lit(SALTS))), "mix")
     cells = rows.groupBy("key", "size", "salt").agg(F.count("*").alias("n"))
     histogram = staged(cells.groupBy("key", "size").agg(F.sum("n").alias("n")), "mix-histogram")
@@ -146,18 +146,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     dealt = dealt.withColumn("due", F.expr("extra * seen div all"))
     dealt = dealt.withColumn("due", F.col("due") - F.expr("extra * (seen - n) div all"))
     rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("draw", "row_key"))
-    ranked = rows.select("doc_id", "row_key", "key", "size", "salt", rank.alias("rank"))
+    ranked = rows.select(*keep, "doc_id", "row_key", "key", "size", "salt", rank.alias("rank"))
     found = ranked.join(dealt.select("key", "size", "salt", "source_size", "target", "base", "due"), ["key", "size", "salt"])
     copies = F.col("base") + F.when(F.col("rank") <= F.col("due"), 1).otherwise(0)
-    return found.select("doc_id", "row_key", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return found.select(*keep, "doc_id", "row_key", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as often as the mix takes them (no, one or two rows each). Rows that share a doc_id (or,
-    without one, their text) share their copies evenly, rounded."""
-    taken = mix(docs).groupBy("row_key").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    rows = docs.withColumn("_key", row_key()).join(taken.where("_copies > 0"), F.col("_key") == F.col("row_key"))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    """docs as often as the mix takes them: no, one or two rows each. Every row has a number of its own
+    here, so repeated rows get exactly the copies that the mix gives each of them."""
+    row, many, copy = fresh(docs, "mix_row", "mix_copies", "mix_copy")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plain = rows.select("doc_id", "source", "text", F.col(row).alias("mix_row"))
+    taken = mix(plain, keep=("mix_row",)).where("copies > 0").select(F.col("mix_row").alias(row), F.col("copies").cast("int").alias(many))
+    return rows.join(taken, row).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(many))).alias(copy)).drop(copy)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,8 @@ def _encoders(json_path: str, ranks_path: str):
 
 def encoder(json_path: str, ranks_path: str):
     """text -> token ids and the end token. The rank file holds the same vocabulary and is quicker
-    to apply; texts that spell a special token go through the JSON file's own tokenizer."""
+    to apply; texts that spell a special token, or that it fails on, go through the JSON file's own
+    tokenizer."""
     quick, exact = _encoders(json_path, ranks_path)
 
     def encode(text: str | None) -> np.ndarray:
@@ -111,7 +112,12 @@ def encoder(json_path: str, ranks_path: str):
         if "<|" in text:
             ids = exact.encode(text, add_special_tokens=False).ids
         else:
-            ids = quick.encode_ordinary(text)
+            try:
+                ids = quick.encode_ordinary(text)
+            except BaseException as error:  # it panics, which is no Exception, on very long runs of blanks
+                if isinstance(error, (KeyboardInterrupt, SystemExit)):
+                    raise
+                ids = exact.encode(text, add_special_tokens=False).ids
         ids.append(END)
         return np.array(ids, "<u4")
 
@@ -122,7 +128,8 @@ def _piece_batch(doc_ids: list, ids: list[np.ndarray], limits: Limits, first: in
     sizes = np.array([len(x) for x in ids], np.int64)
     rows: list[tuple] = []
     last = -1
-    for sequence, pieces in pack_block(sizes, sizes, limits, cut=True):
+    # A document's first token is predicted from nothing and bears no loss.
+    for sequence, pieces in pack_block(sizes, sizes - 1, limits, cut=True):
         offset, last = 0, sequence
         for i, start, length in pieces:
             crc = zlib.crc32(ids[i][start : start + length].tobytes())

@@ -15,6 +15,8 @@ named quality_score are replaced.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -35,22 +37,33 @@ CLASSES[[ord(c) for c in ".,;:'\"?-()"], 5] = 1
 CLASSES[ord("!"), 6] = 1
 CLASSES[:, 7] = CLASSES.sum(axis=1) == 0
 STATISTICS = 17
+BLANK = re.compile(rb"[\t-\r ]")
+
+
+def slices(text: bytes) -> Iterator[bytes]:
+    """The text in parts of at least SLICE bytes, cut before white space only."""
+    at = 0
+    while at < len(text):
+        blank = BLANK.search(text, at + SLICE) if at + SLICE < len(text) else None
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
 
 
 def statistics(text: bytes) -> np.ndarray:
-    """STATISTICS numbers about a whole text, gathered in slices."""
+    """STATISTICS numbers about a whole text, gathered in slices; the same however it is cut."""
     out = np.zeros(STATISTICS)
     if not text:
         return out
-    counts, words, letters, distinct, repeats, lines = np.zeros(256), 0, 0, 0, 0, 0
-    for at in range(0, len(text), SLICE):
-        part = text[at : at + SLICE]
+    counts, words, letters, seen, last, repeats, lines = np.zeros(256), 0, 0, set(), None, 0, 0
+    for part in slices(text):
         counts += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
         found = part.split()
         words += len(found)
         letters += sum(map(len, found))
-        distinct += len(set(found))
-        repeats += sum(map(eq, found, found[1:]))
+        seen.update(found)
+        repeats += sum(map(eq, found, found[1:])) + (bool(found) and found[0] == last)
+        last = found[-1] if found else last
         lines += part.count(b"\n")
     share = counts @ CLASSES / len(text)
     p = counts[counts > 0] / len(text)
@@ -58,7 +71,7 @@ def statistics(text: bytes) -> np.ndarray:
     out[8] = np.log1p(len(text))
     out[9] = np.log1p(words)
     out[10] = min(40.0, letters / max(1, words))
-    out[11] = distinct / max(1, words)
+    out[11] = len(seen) / max(1, words)
     out[12] = repeats / max(1, words)
     out[13] = -(p * np.log2(p)).sum()
     out[14] = np.log1p(lines)

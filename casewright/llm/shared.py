@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +20,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir, or the one the caller set on the context. A local session
+    without either (tests) gets one of our own; a cluster must name one, as executors share no disk."""
     sc = spark.sparkContext
-    if folder := sc.getConf().get("spark.checkpoint.dir"):
-        return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir("/tmp/checkpoints")
-    return "/tmp/checkpoints"
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
+    return folder or "/tmp/checkpoints"
+
+
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at the end, the folders that staged() writes within: for callers that have written their
+    own result by then. Gives the list of those folders; what is taken off it stays."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        for path in _written.pop():
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """For each name a column name that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -91,7 +127,7 @@ def crc32_mod(column: str, n: int):
 def appended(df: DataFrame, columns: str, work, helpers: dict | None = None) -> DataFrame:
     """df with further columns computed by Arrow batch; earlier columns of those names are replaced.
 
-    work takes a RecordBatch (with the helper columns) and returns the new arrays in order.
+    work takes a RecordBatch, the helper columns behind those of df, and returns the new arrays in order.
     """
     from pyspark.sql.types import StructType
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.shared import appended, connected_components, staged, table, text_arrays
+from casewright.llm.shared import connected_components, fresh, staged, table, text_arrays
 
 MAX_BITS = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -125,6 +125,15 @@ def _ball_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(centres.view(np.int64), pa.int64()), pa.array(np.repeat(fps, 65), pa.int64())], ["centre", "fp"])
 
 
+def _row_fingerprints(shingle_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(x.as_py(), shingle_words) for x in text_arrays(batch, "text")], dtype=np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found.view(np.int64), pa.int64())], ["row", "doc_id", "fp"])
+
+    return run
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
     return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches(shingle_words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -138,10 +147,11 @@ def links(distinct: DataFrame) -> DataFrame:
     at most two bits, and a centre has at most 65, so a bucket of any size costs 65 rows a member
     and no pairs are listed.
     """
+    bucket = Window.partitionBy("key")
     keys = distinct.mapInArrow(_key_batches, "key long, fp long")
-    buckets = keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    pairs = buckets.where("n = 2").select("a", "b")
-    crowded = keys.join(buckets.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct()
+    met = staged(keys.select("fp", F.min("fp").over(bucket).alias("a"), F.max("fp").over(bucket).alias("b"), F.count("*").over(bucket).alias("n")).where("n > 1"), "simhash-met")
+    pairs = met.where("n = 2 AND fp = a").select("a", "b")
+    crowded = met.where("n > 2").select("fp").distinct()
     centres = crowded.mapInArrow(_ball_batches, "centre long, fp long")
     stars = centres.select(F.min("fp").over(Window.partitionBy("centre")).alias("a"), F.col("fp").alias("b")).where("a <> b")
     return pairs.union(stars).where(F.bit_count(F.expr("a ^ b")) <= MAX_BITS).distinct()
@@ -164,19 +174,20 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """docs without the near copies: of each component the row of its smallest doc_id stays, once.
-
-    Rows without a doc_id stay only where their whole component has none, one of each fingerprint.
-    The texts are shuffled once: joining and counting repeats both go by doc_id.
-    """
-    groups = staged(simhash_components(docs, shingle_words), "simhash-groups")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(kept, docs.doc_id == kept["_kept"], "left_semi").withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
-    nameless = groups.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
-    digest = lambda batch: [pa.array(np.array([fingerprint(x.as_py(), shingle_words) for x in text_arrays(batch, "text")], np.uint64).view(np.int64))]
-    others = appended(docs.where("doc_id IS NULL"), "_fp long", digest).join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return rows.unionByName(others)
+    """docs without the near copies: of each component one row stays, that of the smallest doc_id (rows
+    without one come last). Rows are told apart by numbers of their own, so a doc_id that stands for
+    several texts stays once for each of their components."""
+    (row,) = fresh(docs, "row_number")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    found = rows.select(row, "doc_id", "text").mapInArrow(_row_fingerprints(shingle_words), f"row long, doc_id {key}, fp long")
+    found = staged(found, "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    classes = staged(found.groupBy("fp").agg(first), "simhash-classes")
+    roots = connected_components(links(classes.select("fp")))
+    heads = classes.join(roots, classes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = heads.select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

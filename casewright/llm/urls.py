@@ -19,17 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.shared import table
+from casewright.llm.shared import fresh, table
 
 BIN_DAYS = 30
 DAY = 86_400
-#: Host, and the first path segment, of a URL with a scheme.
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
+#: Host (behind user and password, before the port; addresses in brackets whole), and the first path
+#: segment, of a URL with a scheme.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
 
 def host(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """Lower-cased host without the dot that may close it."""
+    return F.nullif(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), F.lit(""))
 
 
 def segment(url: Column) -> Column:
@@ -56,23 +58,28 @@ def intervals(entries: DataFrame) -> DataFrame:
 def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", time: str = "fetched_at") -> DataFrame:
     """captures with url_host, n_active, categories and blocked; times are seconds since 1970."""
     new = ["url_host", "n_active", "categories", "blocked"]
-    rows = captures.drop(*new).withColumn("url_host", host(F.col(url))).withColumn("_segment", segment(F.col(url)))
-    asked = rows.where(f"url_host IS NOT NULL AND {time} IS NOT NULL").select("url_host", "_segment", F.col(time).alias("_at")).distinct()
+    captures = captures.drop(*new)
+    (part,) = fresh(captures, "url_segment")
+    rows = captures.withColumn("url_host", host(F.col(url))).withColumn(part, segment(F.col(url)))
+    asked = rows.where(F.col("url_host").isNotNull() & F.col(time).isNotNull()).select(F.col("url_host").alias("h"), F.col(part).alias("s"), F.col(time).alias("at")).distinct()
     width = BIN_DAYS * DAY
-    span = asked.agg(F.min("_at").alias("first"), F.max("_at").alias("last")).first()
+    span = asked.agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
     first, last = (0, -1) if span["first"] is None else (span["first"], span["last"])
     listed = intervals(entries).where((F.col("valid_from") <= last) & (F.col("valid_to").isNull() | (F.col("valid_to") > first)))
     low = F.floor(F.greatest("valid_from", F.lit(first)) / width)
     high = F.floor(F.least(F.coalesce("valid_to", F.lit(last)), F.lit(last)) / width)
     binned = listed.withColumn("bin", F.explode(F.sequence(low, high)))
-    probes = asked.select("*", F.explode(keys("url_host", "_segment")).alias("pattern"), F.floor(F.col("_at") / width).alias("bin"))
-    hits = probes.join(binned, ["pattern", "bin"]).where("_at >= valid_from AND (valid_to IS NULL OR _at < valid_to)")
-    answers = hits.groupBy(F.col("url_host").alias("_host"), F.col("_segment").alias("_part"), "_at").agg(
-        F.count_distinct("pattern", "category").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), "|").alias("categories")
-    )
-    met = (F.col("url_host") == F.col("_host")) & (F.col("_segment") == F.col("_part")) & (F.col(time) == F.col("_at"))
-    out = rows.join(answers, met, "left").withColumn("n_active", F.coalesce("n_active", F.lit(0)).cast("long"))
-    return out.select(*captures.drop(*new).columns, "url_host", "n_active", F.coalesce("categories", F.lit("")).alias("categories"), (F.col("n_active") > 0).alias("blocked"))
+    probes = asked.select("*", F.explode(keys("h", "s")).alias("pattern"), F.floor(F.col("at") / width).alias("bin"))
+    hits = probes.join(binned, ["pattern", "bin"]).where("at >= valid_from AND (valid_to IS NULL OR at < valid_to)")
+    answers = hits.groupBy("h", "s", "at").agg(F.count_distinct("pattern", "category").alias("n"), F.array_join(F.array_sort(F.collect_set("category")), "|").alias("c"))
+    answer = F.struct("n", "c")
+    names = fresh(rows, "asked_host", "asked_part", "asked_at", "answer")
+    answers = answers.select("h", "s", "at", answer.alias("answer")).toDF(*names)
+    met = (rows["url_host"] == answers[names[0]]) & (rows[part] == answers[names[1]]) & (rows[time] == answers[names[2]])
+    out = rows.join(answers, met, "left")
+    found = F.col(names[3])
+    n = F.coalesce(found["n"], F.lit(0)).cast("long")
+    return out.select(*captures.columns, "url_host", n.alias("n_active"), F.coalesce(found["c"], F.lit("")).alias("categories"), (n > 0).alias("blocked"))
 
 
 def _number(text: str) -> str:
@@ -107,11 +114,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(page_captures(pages), page_list(pages)).select("page_id", "url_host", "fetched_at", "n_active", "categories", "blocked")
 
 
-ORACLE = rf"""
+#: SQL that takes hosts apart with string functions, not with the patterns above.
+ORACLE = r"""
 WITH parts AS (
-  SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS h, coalesce(regexp_extract(url, '{SEGMENT}', 1), '') AS s,
+  SELECT page_id, nullif(rtrim(lower(CASE WHEN a[1] = '[' THEN split_part(a, ']', 1) || ']' ELSE split_part(a, ':', 1) END), '.'), '') AS h,
+    CASE WHEN sch AND a <> '' THEN split_part(split_part(split_part(substr(rest, length(auth) + 2), '/', 1), '?', 1), '#', 1) ELSE '' END AS s,
     1704067200 + 60 * (('0x' || substr(sha256('fetch|' || coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT % 525600) AS t
-  FROM pages),
+  FROM (SELECT *, CASE WHEN sch THEN string_split(auth, '@')[-1] ELSE '' END AS a FROM (
+    SELECT *, split_part(split_part(split_part(rest, '/', 1), '?', 1), '#', 1) AS auth FROM (
+      SELECT page_id, substr(url, strpos(url, '://') + 3) AS rest, regexp_full_match(split_part(url, '://', 1), '[A-Za-z][A-Za-z0-9+.-]*') AND strpos(url, '://') > 0 AS sch FROM pages)))),
 patterns AS (
   SELECT DISTINCT pattern FROM (
     SELECT array_to_string(string_split(h, '.')[greatest(1, len(string_split(h, '.')) - 2):], '.') AS pattern FROM parts WHERE h IS NOT NULL
