@@ -1,28 +1,32 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
-A text is its lower-cased words, each with a closing space, and one end symbol; a word's bytes
-are coded bit by bit. Several predictors look at hashed contexts inside the word (its last bytes,
-learned from the distinct words; the whole prefix, learned from the frequent words with their
-counts). Their log-odds are combined with weights; a gate, the confidence of the prefix and of
-the longest byte context, selects the weight set. The result is refined by an adaptive
-probability map over gate and log-odds. Weights and map learn online, in one stream of sampled
-training words, each scored as if it had not been counted. A word's probability is that of its
-bits and, with a learned share, its plain frequency.
-
-All contexts include the text's class: the language whose words it holds most likely, decided by
-word frequencies from at most CLASS_SAMPLE labelled documents (the label itself is never read
-when scoring). A text's probability is its class's prior times the product over its words, which
-is a term of the mixture over classes and so a probability.
-
-Contexts end at word boundaries, so a word costs the same everywhere in a class and is scored
-once: what grows with the corpus (word counts, context counts, scores of rare words) is counted
-and joined by Spark. The at most FREQUENT most frequent words are scored on the spot in the pass
-over the texts; the others travel as (word hash, row, count) to a join with their counts. Tables
-that reach every task have fixed sizes.
+A text is its lower-cased words and one end. The at most FREQUENT most frequent words are coded as
+paths of a Huffman tree (wordmix): their bits are predicted by the text's class, by the hashed word
+before, and by what followed the same words earlier in the text. All other words take the tree's
+escape, and then either their plain frequency among such words or, by absolute discounting, their
+spelling (spelling), whose bits have predictors of their own. Long repeated passages are told by a
+third kind of context: a text is cut into chunks where the hash of two neighbouring words says so,
+and the chunk before predicts, as one bit, the chunk that follows it in most of at least two training
+texts; what is predicted so needs no tree bits. The log-odds of predictors are combined by gated
+weights and refined by an adaptive map (blend).
+
+Where the numbers come from: word counts, chunk counts, distinct words and context bits are counted
+over all training texts, without caps, and joined by Spark; they grow with the corpus. The tables of
+context bits that every task holds have a slot for every eighth training token (spelling: for every
+second distinct word), up to 2 ** 21 slots (2 ** 20, 2 ** 22 for whole prefixes), which is what a task
+can hold. Weights and map are learned by partition on every TUNE-th training text (word), with the
+tables counted without those, and averaged; the final tables have them.
+
+The text's class is the language whose words it holds most likely, decided by word frequencies from
+at most about CLASS_SAMPLE labelled documents (a label itself is never read when scoring); with more
+than CLASSES languages, texts of the others take the likeliest of these. A text's probability is its
+class's prior times the product over its parts, a term of the mixture over classes, and so a
+probability: equal texts score alike wherever they are.
 
 Defined results: null texts are empty (the end alone); null doc_ids count as the empty id in the
 fold; repeated rows are scored each; without labels there is one class; an empty table gives an
-empty result; further columns are ignored. Words meet by 64-bit hash.
+empty result; further columns are ignored. Words, contexts and chunks meet by 64-bit hash; a text
+over a MiB is read in slices, each with a memory of its own for matches.
 """
 
 from __future__ import annotations
@@ -36,221 +40,31 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm.shared import WORD, crc32_mod, staged, table, text_arrays
+from casewright.llm import spelling, wordmix
+from casewright.llm.blend import CELLS, GATES, TALLY, Blend, Tally, added_outcomes, averaged, outcome_rows, refined, tables, weight_rows
+from casewright.llm.shared import WORD, crc32_mod, slices, staged, table, text_arrays
 
 END = b"\n"
 FREQUENT = 1 << 16
-#: Lengths in bytes of the short contexts.
-LENGTHS = (1, 2, 3, 4, 6)
-ORDERS = len(LENGTHS)
-SLOTS = 1 << 19
-PREFIX_SLOTS = 1 << 22
-CHUNK = 1 << 10
-CAP = 4
-SAMPLE = 40_000
-CLASSES = 6
+TUNE = 16
+CLASSES = 32
 CLASS_SAMPLE = 2_000
 CLASS_WORDS = 4_000
-GATES = (12, 4)
-MAP_STEPS = 33
-SPAN = 1 << 16
-RATE = 0.1
 HELD_WORDS = 400_000
-ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Tokens of several texts that are worked on together.
+GROUP = 1 << 17
+#: A chunk ends, on average, after so many words; a power of two.
+CHUNK_WORDS = 32
+#: Frequent chunks (one in HOT) are told by a broadcast of at most HOT rows.
+HOT = 1000
+DISCOUNT = 0.5
+ODD, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-STEP = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _stretch(p):
-    return np.log(p / (1 - p))
-
-
-def _squash(x):
-    return 1 / (1 + np.exp(-x))
-
-
-@dataclass(frozen=True)
-class Bits:
-    """Flat symbols of a list of words: the word of each byte, the byte, and its context hashes."""
-
-    word: np.ndarray
-    byte: np.ndarray
-    contexts: np.ndarray
-
-    @staticmethod
-    def of(words: list[bytes], classes: np.ndarray) -> Bits:
-        closed = [w if w == END else w + b" " for w in words]
-        sizes = np.fromiter(map(len, closed), np.int64, len(closed))
-        data = np.frombuffer(b"".join(closed), np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(len(closed)), sizes)
-        at = np.arange(len(data)) - starts[word]
-        contexts = np.zeros((ORDERS + 1, len(data)), np.uint64)
-        packed = np.zeros(len(data), np.uint64)
-        salt = (np.asarray(classes, np.uint64) + np.uint64(1))[word] << np.uint64(56)
-        for k in range(max(LENGTHS)):
-            before = np.zeros(len(data), np.uint64)
-            before[k + 1 :] = data[: -k - 1] if k + 1 <= len(data) else 0
-            packed |= np.where(at > k, before, np.uint64(0)) << np.uint64(8 * k)
-            if k + 1 in LENGTHS:
-                contexts[LENGTHS.index(k + 1)] = (packed + salt) * ODD
-        # Polynomial prefix hashes of all words at once; arithmetic is modulo 2**64.
-        powers, back = (np.cumprod(np.full(len(data), base, np.uint64), dtype=np.uint64) for base in (ODD, INVERSE))
-        running = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64, out=running[1:])
-        first = starts[word]
-        contexts[ORDERS] = ((running[: len(data)] - running[first]) * back[first] + salt) * ODD
-        return Bits(word, data, contexts)
-
-    def spans(self) -> Iterator[slice]:
-        for a in range(0, len(self.byte), SPAN):
-            yield slice(a, a + SPAN)
-
-    def slots(self, span: slice) -> tuple[np.ndarray, np.ndarray]:
-        """(slots, bits): one row a predictor, one column a bit; the longest context is in the prefix table."""
-        byte = self.byte[span].astype(np.uint64)[:, None]
-        shift = np.arange(8, dtype=np.uint64)[None, :]
-        node = (np.uint64(1) << shift) | (byte >> (np.uint64(8) - shift))
-        bit = (byte >> (np.uint64(7) - shift)) & np.uint64(1)
-        out = np.empty((ORDERS + 1, node.size), np.int64)
-        for k in range(ORDERS + 1):
-            mixed = (self.contexts[k, span][:, None] ^ (node * STEP)) * ODD
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= STEP
-            bits = SLOTS if k < ORDERS else PREFIX_SLOTS
-            out[k] = (mixed >> np.uint64(64 - bits.bit_length() + 1)).ravel().astype(np.int64)
-        return out, bit.ravel().astype(np.int64)
-
-
-def counted(words: list[bytes], classes: np.ndarray, weights: np.ndarray, row: int, slots: int) -> np.ndarray:
-    """(slots, 2) counts of zero and one bits of one predictor."""
-    total = np.zeros(2 * slots)
-    symbols = Bits.of(words, classes)
-    for span in symbols.spans():
-        at, bit = symbols.slots(span)
-        total += np.bincount(at[row] * 2 + bit, weights=np.repeat(weights[symbols.word[span]], 8), minlength=2 * slots)
-    return total.reshape(slots, 2)
-
-
-def _odds(pair: np.ndarray, k: int) -> np.ndarray:
-    add = 0.05 if k == ORDERS else 0.3
-    return np.log((pair[..., 1] + add) / (pair[..., 0] + add)).astype(np.float32)
-
-
-def _level(pair: np.ndarray, k: int) -> np.ndarray:
-    """Share of the gate that the counts of the longest short context or of the prefix have."""
-    level = np.log2(1 + pair.sum(axis=-1))
-    if k == ORDERS:
-        return np.minimum(GATES[0] - 1, level).astype(np.uint8)
-    return np.minimum(GATES[1] - 1, level / 2).astype(np.uint8) * np.uint8(GATES[0])
-
-
-@dataclass(frozen=True)
-class Model:
-    """Log-odds of every slot, gate shares of the two longest contexts, weights, map, and the
-    share of a word's plain frequency."""
-
-    odds: list[np.ndarray]
-    levels: list[np.ndarray]
-    weights: np.ndarray
-    refined: np.ndarray
-    share: float
-
-    def probability(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Probability of a one bit, mixed and refined."""
-        z = self.weights[-1][gate]
-        for k in range(ORDERS + 1):
-            z += x[k] * self.weights[k][gate]
-        np.clip(z, -11.9, 11.9, out=z)
-        place = (z + 12) * np.float32((MAP_STEPS - 1) / 24)
-        low = place.astype(np.int32)
-        part = place - low
-        cell = gate * MAP_STEPS + low
-        refined = self.refined[cell] * (1 - part) + self.refined[cell + 1] * part
-        return np.clip((_squash(z) + refined) / 2, 2e-6, 1 - 2e-6)
-
-    def log10(self, words: list[bytes], classes: np.ndarray, plain: np.ndarray) -> np.ndarray:
-        """log10 probability of words in classes; plain: their frequency there."""
-        out = np.zeros(len(words))
-        if not words:
-            return out
-        symbols = Bits.of(words, classes)
-        for span in symbols.spans():
-            slots, bit = symbols.slots(span)
-            gate = self.levels[0][slots[ORDERS - 1]].astype(np.int32) + self.levels[1][slots[ORDERS]]
-            p = self.probability([self.odds[k][slots[k]] for k in range(ORDERS + 1)], gate)
-            cost = np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
-            first = symbols.word[span][0]
-            each = np.bincount(symbols.word[span] - first, weights=cost)
-            out[first : first + len(each)] += each
-        return np.log10(self.share * plain + (1 - self.share) * 10.0 ** np.maximum(out, -300)) if self.share else out
-
-
-@dataclass(frozen=True)
-class Sample:
-    """Training tokens: words, their classes, their counts there, whether the prefix table has them."""
-
-    words: list[bytes]
-    classes: np.ndarray
-    counts: np.ndarray
-    frequent: np.ndarray
-
-
-def learn(orders: np.ndarray, prefix: np.ndarray, sample: Sample, totals: np.ndarray) -> Model:
-    """Mixing weights and probability map, learned online from the sampled words.
-
-    Two passes for the weights, one for the map; a word's own count is taken back everywhere.
-    """
-    rng = np.random.default_rng(5)
-    sets = GATES[0] * GATES[1]
-    weights = np.full((ORDERS + 2, sets), 0.2, np.float32)
-    weights[-1] = 0
-    speed = np.zeros_like(weights)
-    refined = np.tile(_squash(np.linspace(-12, 12, MAP_STEPS)), sets).astype(np.float32)
-    odds = [_odds(orders[k], k) for k in range(ORDERS)] + [_odds(prefix, ORDERS)]
-    levels = [_level(orders[ORDERS - 1], ORDERS - 1), _level(prefix, ORDERS)]
-    model = Model(odds, levels, weights, refined, 0.0)
-    bits_cost = np.zeros(len(sample.words))
-    for stage in range(4):
-        order = rng.permutation(len(sample.words))
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
-            symbols = Bits.of([sample.words[i] for i in part], sample.classes[part])
-            for span in symbols.spans():
-                slots, bit = symbols.slots(span)
-                of = np.repeat(symbols.word[span], 8)
-                own = (sample.counts[part] <= CAP).astype(np.float32)[of], sample.frequent[part].astype(np.float32)[of]
-                x, gate = [], np.zeros(len(bit), np.int64)
-                for k in range(ORDERS + 1):
-                    pair = (orders[k] if k < ORDERS else prefix)[slots[k]]
-                    row = np.arange(len(bit))
-                    pair[row, bit] = np.maximum(0, pair[row, bit] - own[k == ORDERS])
-                    x.append(_odds(pair, k))
-                    if k >= ORDERS - 1:
-                        gate += _level(pair, k)
-                z = np.clip(weights[-1][gate] + sum(x[k] * weights[k][gate] for k in range(ORDERS + 1)), -11.9, 11.9)
-                if stage < 2:
-                    error = bit - _squash(z)
-                    for k in range(ORDERS + 2):
-                        moved = np.bincount(gate, weights=error * (x[k] if k <= ORDERS else 0.3), minlength=sets)
-                        speed[k] += moved * moved
-                        weights[k] += RATE * moved / np.sqrt(speed[k] + 1e-3)
-                elif stage == 2:
-                    cell = gate * MAP_STEPS + np.rint((z + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)
-                    n = np.bincount(cell, minlength=len(refined))
-                    refined += (np.bincount(cell, weights=bit, minlength=len(refined)) - n * refined) / (n + 64)
-                else:
-                    p = model.probability(x, gate)
-                    np.add.at(bits_cost, part[symbols.word[span]], np.log10(np.where(bit == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1))
-    if not sample.words:
-        return model
-    plain = np.maximum(0, sample.counts - 1) / totals[sample.classes]
-    grid = [0.0, *np.linspace(0.02, 0.98, 49)]
-    best = max(grid, key=lambda a: float(np.log10(a * plain + (1 - a) * 10.0 ** np.maximum(bits_cost, -300)).sum()))
-    return Model(odds, levels, weights, refined, float(best))
+MATRIX = "cell long, value double, n long"
+COUNTS = "cell long, n long"
 
 
 @dataclass(frozen=True)
@@ -261,20 +75,18 @@ class Classes:
     logs: np.ndarray
     count: int
 
-    def of(self, words, times: np.ndarray | None = None) -> int:
-        """Class of a text from its words, or from its distinct words and how often each occurs; either
-        way the same counts decide."""
+    def of(self, words) -> int:
+        """Class of a text from its words."""
         if self.count == 1:
             return 0
-        at = places(self.words, words)
-        hit = at >= 0
-        counts = np.bincount(at[hit], weights=None if times is None else times[hit], minlength=len(self.words))
+        at = places(self.words, words, -1)
+        counts = np.bincount(at[at >= 0], minlength=len(self.words))
         return int((counts.astype(np.float64) @ self.logs).argmax())
 
 
-def places(index: dict[bytes, int], words) -> np.ndarray:
-    """Number of each word, -1 where the index has none."""
-    return np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+def places(index: dict[bytes, int], words, missing: int) -> np.ndarray:
+    """Number of each word."""
+    return np.fromiter(map(index.get, words, repeat(missing)), np.int32, len(words))
 
 
 def find_classes(docs: DataFrame) -> Classes:
@@ -322,53 +134,186 @@ def _count_words(classes: Classes):
     return run
 
 
-def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((ORDERS, SLOTS, 2), np.float32)
-    seen = False
-    for batch in batches:
-        for at in range(0, batch.num_rows, 20_000):
-            part = batch.slice(at, 20_000)
-            words = part.column(0).to_pylist()
-            weights = np.minimum(CAP, part.column(2).to_numpy(zero_copy_only=False)).astype(float)
-            symbols = Bits.of(words, part.column(1).to_numpy(zero_copy_only=False))
-            seen |= bool(words)
-            for span in symbols.spans():
-                slots, bit = symbols.slots(span)
-                weight = np.repeat(weights[symbols.word[span]], 8)
-                for k in range(ORDERS):
-                    total[k] += np.bincount(slots[k] * 2 + bit, weights=weight, minlength=2 * SLOTS).reshape(SLOTS, 2)
-    if seen:
-        flat = total.reshape(-1, 2 * CHUNK)
-        full = np.flatnonzero(flat.any(axis=1))
-        for at in range(0, len(full), 256):
-            some = full[at : at + 256]
-            yield pa.record_batch([pa.array(some, pa.int64()), pa.array(list(flat[some]), pa.list_(pa.float32()))], ["chunk", "counts"])
-
-
-def _add_chunks(group: pa.Table) -> pa.Table:
-    total = sum(np.asarray(x.values, np.float64) for x in group["counts"])
-    return pa.table({"chunk": pa.array([group["chunk"][0].as_py()], pa.int64()), "counts": pa.array([total.astype(np.float32)], pa.list_(pa.float32()))})
+@dataclass
+class Text:
+    """A text's words as leaves of the tree, by slice; the words that take the escape; its class."""
+
+    ids: list[np.ndarray]
+    rare: list[bytes]
+    kind: int
+    size: int
+
+
+class Reader:
+    """Texts as leaves of the tree: the dictionary's words, then the escape; a last number stands before a text."""
+
+    def __init__(self, words: list[bytes], classes: Classes):
+        self.words, self.escape = words, len(words)
+        self.index = {w: i for i, w in enumerate(words)}
+        self.end = self.index[END]
+        self.logs = np.zeros((len(words) + 1, classes.count))
+        for word, row in classes.words.items():
+            if word in self.index:
+                self.logs[self.index[word]] = classes.logs[row]
+
+    def text(self, raw: bytes) -> Text:
+        ids, rare, size = [], [], 1
+        for part in slices(raw.lower()):
+            words = part.split()
+            own = places(self.index, words, self.escape)
+            rare.extend(compress(words, (own == self.escape).tolist()))
+            size += sum(map(len, words)) + len(words)
+            ids.append(own)
+        ids.append(np.array([self.end], np.int32))
+        if len(ids) > 1:
+            ids[-2:] = [np.concatenate(ids[-2:])]
+        kind = int(sum(self.logs[x].sum(axis=0) for x in ids).argmax()) if self.logs.shape[1] > 1 else 0
+        return Text(ids, rare, kind, size)
+
+    def tokens(self, texts: list[Text]) -> tuple[wordmix.Tokens, np.ndarray]:
+        """The tokens of texts, and the number of the text of each."""
+        parts = [(t, k, part) for t, text in enumerate(texts) for k, part in enumerate(text.ids)]
+        sizes = np.array([len(p) for _, _, p in parts])
+        ids = np.concatenate([p for _, _, p in parts])
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
+        starts = np.cumsum(sizes) - sizes
+        before[starts[[k == 0 for _, k, _ in parts]]] = self.escape + 1
+        owner = np.repeat([t for t, _, _ in parts], sizes)
+        kinds = np.array([t.kind for t in texts])
+        return wordmix.Tokens(ids, before, kinds[owner], np.repeat(np.arange(len(parts)), sizes)), owner
+
+    def groups(self, texts: Iterator[bytes]) -> Iterator[list[Text]]:
+        held, size = [], 0
+        for raw in texts:
+            held.append(self.text(raw))
+            size += sum(map(len, held[-1].ids))
+            if size >= GROUP:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
 
 
 @dataclass(frozen=True)
 class Corpus:
     """What the training texts say. vocabulary has (word, c, counts): counts lists, by class, the
-    training count or null where no text of that class has the word."""
+    training count or null where no text of that class has the word; rare words are known ones outside
+    the dictionary: their tokens and number by class."""
 
     vocabulary: DataFrame
-    classes: Classes
+    reader: Reader
+    counts: np.ndarray
     tokens: int
     distinct: int
-    totals: np.ndarray
     prior: np.ndarray
-    least: int
-    frequent: dict[bytes, tuple[int, np.ndarray]]
-    model: Model
+    rare_tokens: np.ndarray
+    rare_words: np.ndarray
+    mixer: wordmix.Mixer
+    speller: spelling.Speller
+
+
+def _bytes(batch: pa.RecordBatch) -> Iterator[bytes]:
+    return (x.as_py() for x in text_arrays(batch, "text"))
 
 
-def _by_class(top: pa.Table, count: int) -> dict[bytes, tuple[int, np.ndarray]]:
-    counts = np.array([[x or 0 for x in row] for row in top["counts"].to_pylist()], float).reshape(-1, count)
-    return dict(sorted(zip(top["word"].to_pylist(), zip(top["c"].to_pylist(), counts)), key=lambda x: x[0]))
+def _slots(number: int, share: int, least: int, most: int) -> int:
+    """Bits of a table with a slot for each share of number."""
+    return min(most, max(least, (number // share).bit_length()))
+
+
+def _learned(rows: DataFrame, first: np.ndarray, feed) -> Blend:
+    """Weights and map, learned by partition and averaged; feed(batch, blend) gives inputs and gates of bits."""
+    shape = first.shape
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blend, speed, seen = Blend(first.copy()), np.zeros(shape), 0
+        for batch in batches:
+            for x, gate in feed(batch, blend):
+                blend.descend(x, gate, speed)
+                seen += len(gate)
+        if seen:
+            yield weight_rows(blend.weights, seen)
+
+    weights = averaged(rows.mapInArrow(descend, MATRIX), shape, first)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((GATES, 2 * CELLS + 1), np.int64)
+        for batch in batches:
+            for x, gate in feed(batch, Blend(weights)):
+                total += Blend(weights).outcomes(x, gate)
+        yield outcome_rows(total)
+
+    return Blend(weights, refined(added_outcomes(rows.mapInArrow(count, COUNTS))))
+
+
+def word_mixer(texts: DataFrame, reader: Reader, counts: np.ndarray, tokens: int) -> wordmix.Mixer:
+    """The mixer of tree bits from training texts (tune, text); counts are the leaves' by class."""
+    spark = texts.sparkSession
+    bits = _slots(tokens, 8, 12, 21)
+    tree = wordmix.Tree(counts.sum(axis=0))
+    whole = counts.sum(axis=0) / max(1.0, counts.sum())
+    odds = tree.odds(counts + 1000 * whole + 1e-3)
+    shared = spark.sparkContext.broadcast((reader, tree))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, tree = shared.value
+        total = Tally((bits,))
+        for batch in batches:
+            flags = batch.column(0).to_numpy(zero_copy_only=False)
+            raw = list(_bytes(batch))
+            for tune in (0, 1):
+                for group in reader.groups(compress(raw, (flags == tune).tolist())):
+                    for at in reader.tokens(group)[0].slots(tree, bits):
+                        total.add(tune, 0, at)
+        yield from total.rows()
+
+    apart, final = tables(texts.mapInArrow(tally, TALLY), (bits,))
+    tuning = spark.sparkContext.broadcast(wordmix.Mixer(tree, odds, apart[0], bits, Blend(wordmix.first_weights())))
+
+    def feed(batch: pa.RecordBatch, blend: Blend):
+        mixer = tuning.value
+        for group in shared.value[0].groups(_bytes(batch)):
+            for b in shared.value[0].tokens(group)[0].parts(mixer.tree, bits):
+                yield mixer.inputs(b)
+
+    blend = _learned(texts.where("tune = 1"), wordmix.first_weights(), feed)
+    return wordmix.Mixer(tree, odds, final[0], bits, blend)
+
+
+def speller_of(words: DataFrame, distinct: int) -> spelling.Speller:
+    """The speller from distinct words (tune, word, class)."""
+    spark = words.sparkSession
+    bits = (*[_slots(distinct, 2, 10, 20)] * spelling.ORDERS, _slots(distinct, 1, 12, 22))
+
+    def spelled(batch: pa.RecordBatch, keep=None) -> Iterator[spelling.Spelled]:
+        for at in range(0, batch.num_rows, 20_000):
+            part = batch.slice(at, 20_000)
+            if keep is not None:
+                part = part.filter(pa.array(part.column(0).to_numpy(zero_copy_only=False) == keep))
+            yield spelling.Spelled.of(part.column(1).to_pylist(), part.column(2).to_numpy(zero_copy_only=False))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Tally(bits)
+        for batch in batches:
+            for tune in (0, 1):
+                for symbols in spelled(batch, tune):
+                    for span in symbols.spans():
+                        ones = spelling.ONES[symbols.byte[span]].ravel()
+                        for k in range(spelling.ORDERS + 1):
+                            total.add(tune, k, (symbols.slot(span, k, bits[k]) << np.uint32(1)) | ones)
+        yield from total.rows()
+
+    apart, final = tables(words.mapInArrow(tally, TALLY), bits)
+    tuning = spark.sparkContext.broadcast(apart)
+
+    def feed(batch: pa.RecordBatch, blend: Blend):
+        speller = spelling.Speller(tuning.value, bits, blend)
+        for symbols in spelled(batch):
+            for span in symbols.spans():
+                yield speller.inputs(symbols, span)
+
+    return spelling.Speller(final, bits, _learned(words.where("tune = 1"), spelling.first_weights(), feed))
 
 
 def read_corpus(docs: DataFrame) -> Corpus:
@@ -383,116 +328,181 @@ def read_corpus(docs: DataFrame) -> Corpus:
     level = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int").alias("level")
     levels = known.groupBy(level).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("c").alias("least"), *by_class).collect()
     tokens, distinct = sum(r["c"] for r in levels), sum(r["n"] for r in levels)
-    totals = np.maximum(1, np.array([sum(r[f"t{k}"] for r in levels) for k in range(classes.count)], float))
+    totals = np.array([sum(r[f"t{k}"] for r in levels) for k in range(classes.count)], float)
     least, room = 1 << 62, FREQUENT
     for r in sorted(levels, key=lambda r: -r["level"]):
         room -= r["n"]
         if room < 0:
             break
         least = r["least"]
-    top = known.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).toArrow()
-    frequent = _by_class(top, classes.count)
-    prior = frequent[END][1] + 0.5 if END in frequent else np.ones(classes.count)
-    pairs = known.select("word", F.posexplode("counts").alias("class", "c")).where("c > 0")
-    chunks = pairs.mapInArrow(_count_contexts, "chunk long, counts array<float>")
-    added = chunks.groupBy("chunk").applyInArrow(_add_chunks, "chunk long, counts array<float>").toArrow()
-    orders = np.zeros((ORDERS * SLOTS // CHUNK, 2 * CHUNK), np.float32)
-    for chunk, values in zip(added["chunk"].to_pylist(), added["counts"]):
-        orders[chunk] = values.values.to_numpy()
-    orders = orders.reshape(ORDERS, SLOTS, 2)
-    names, kinds, c = _pairs(frequent)
-    prefix = counted(names, kinds, c, ORDERS, PREFIX_SLOTS).astype(np.float32) if names else np.zeros((PREFIX_SLOTS, 2), np.float32)
-    share = min(1.0, SAMPLE / max(1, distinct))
-    rare = known.where((F.col("c") < least) & (F.col("word") != F.lit(END)))
-    drawn = _pairs(_by_class(rare.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share * (1 << 30)).toArrow(), classes.count))
-    model = learn(orders, prefix, _sample((names, kinds, c), drawn, tokens), totals)
-    return Corpus(vocabulary, classes, tokens, distinct, totals, np.log10(prior / prior.sum()), least, frequent, model)
-
-
-def _pairs(words: dict[bytes, tuple[int, np.ndarray]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(words, classes, counts) of all pairs that occur."""
-    found = [(w, k, n) for w, (_, counts) in words.items() for k, n in enumerate(counts) if n > 0]
-    return [f[0] for f in found], np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], float)
-
-
-def _sample(often, rare, tokens: int) -> Sample:
-    """About SAMPLE training tokens, frequent and rare words in their shares."""
-    rng = np.random.default_rng(3)
-    n = min(SAMPLE, tokens)
-    first = int(round(n * often[2].sum() / max(1, tokens))) if len(often[0]) else 0
-    words, classes, counts, flags = [], [], [], []
-    for (names, kinds, c), size, flag in ((often, first, True), (rare, n - first, False)):
-        if len(names) and size > 0:
-            picked = rng.choice(len(names), size, p=c / c.sum())
-            words += [names[i] for i in picked]
-            classes.append(kinds[picked])
-            counts.append(c[picked])
-            flags.append(np.full(size, flag))
-    empty = [np.zeros(0)]
-    return Sample(words, np.concatenate(classes or empty).astype(np.int64), np.concatenate(counts or empty), np.concatenate(flags or empty).astype(bool))
+    # The dictionary: frequent words, the end, and the words that decide classes.
+    listed = docs.sparkSession.createDataFrame([(w,) for w in (END, *classes.words)], "listed binary")
+    top = known.join(F.broadcast(listed), F.col("word") == F.col("listed"), "left").where((F.col("c") >= least) | F.col("listed").isNotNull()).select("word", "counts").toArrow()
+    found = dict(sorted(zip(top["word"].to_pylist(), top["counts"].to_pylist()))) or {END: [1] * classes.count}
+    reader = Reader(list(found), classes)
+    leaves = np.zeros((classes.count, len(found) + 1))
+    leaves[:, :-1] = np.array([[x or 0 for x in row] for row in found.values()], float).T
+    rare_tokens = np.maximum(0, totals - leaves.sum(axis=1))
+    leaves[:, -1] = rare_tokens
+    prior = leaves[:, reader.end] + 0.5
+    tune = lambda name: (F.pmod(F.xxhash64(name, F.lit("tune")), F.lit(TUNE)) == 0).cast("int").alias("tune")
+    mixer = word_mixer(docs.where("NOT held_out").select(tune("text"), "text"), reader, leaves, tokens)
+    names = docs.sparkSession.createDataFrame([(w,) for w in found], "word binary")
+    rare = known.join(F.broadcast(names), "word", "left_anti").select(tune("word"), "word", F.posexplode("counts").alias("class", "here")).where("here > 0")
+    rare_words = np.zeros(classes.count)
+    for r in rare.groupBy("class").count().collect():
+        rare_words[r["class"]] = r["count"]
+    speller = speller_of(rare.select("tune", "word", "class"), int(rare_words.sum()))
+    return Corpus(vocabulary, reader, leaves, tokens, distinct, np.log10(prior / prior.sum()), rare_tokens, rare_words, mixer, speller)
+
+
+def rare_log10(here: np.ndarray, kinds: np.ndarray, spelled: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """log10 probability of rare words after the escape: their counts less DISCOUNT, and what that leaves
+    spread by spelling."""
+    total, kept = np.maximum(tokens, 1)[kinds], (DISCOUNT * words + (tokens == 0))[kinds]
+    with np.errstate(divide="ignore"):
+        plain = np.log10(np.maximum(0, here - DISCOUNT) / total)
+    return np.logaddexp(plain * np.log(10), (np.log10(np.maximum(kept, DISCOUNT) / total) + spelled) * np.log(10)) / np.log(10)
+
+
+def chunks(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, digest, digest of the chunk before, 0 for a text's first) of all chunks of texts in a row."""
+    n = len(hashes)
+    with np.errstate(over="ignore"):
+        pair = (hashes[1:] ^ (hashes[:-1] * STEP)) * ODD
+        new_text = owner[1:] != owner[:-1]
+        # A chunk starts behind a pair of words whose hash says so, within one text.
+        cut = np.concatenate([[True], new_text])
+        cut[2:] |= (pair[:-1] >> np.uint64(40)) % np.uint64(CHUNK_WORDS) == 0
+        start = np.flatnonzero(cut)
+        powers, back = (np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64) for base in (ODD, INVERSE))
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
+        digest = (running[np.append(start[1:], n)] - running[start]) * back[start]
+        digest = (digest ^ (digest >> np.uint64(31))) * STEP | np.uint64(1)
+    before = np.concatenate([np.zeros(1, np.uint64), digest[:-1]])
+    before[np.concatenate([[True], owner[start[1:]] != owner[start[:-1]]])] = 0
+    return start, digest, before
+
+
+def _listed(owner: np.ndarray, values: np.ndarray, rows: int, kind: pa.DataType) -> pa.Array:
+    """Values in the order of owner as one list a row."""
+    offsets = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def _read_group(group: list[Text], reader: Reader, mixer: wordmix.Mixer, hashes: np.ndarray, base: np.ndarray, prior: np.ndarray) -> list[pa.Array]:
+    digest = xxhash.xxh64_intdigest
+    tokens, owner = reader.tokens(group)
+    rows = len(group)
+    cost = mixer.log10(tokens)
+    own = hashes.take(tokens.ids)
+    escaped = tokens.ids == reader.escape
+    words = [w for t in group for w in t.rare]
+    own[escaped] = np.fromiter(map(digest, words), np.uint64, len(words))
+    start, found, before = chunks(own, owner)
+    sums = np.add.reduceat(cost, start)
+    whose = owner[start]
+    # Equal chunks behind equal ones count together within a text.
+    with np.errstate(over="ignore"):
+        key = ((whose.astype(np.uint64) * ODD ^ found) * STEP ^ before) * ODD
+    _, first, at = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(whose[first], kind="stable")
+    times, spent = np.bincount(at), np.bincount(at, weights=sums)
+    pick = order[before[first[order]] != 0]
+    listed = lambda values, kind: _listed(whose[first[pick]], values, rows, kind)
+    rare = [Counter(t.rare) for t in group]
+    sizes = np.fromiter(map(len, rare), np.int64, rows)
+    rare_hash = np.array([digest(w, 42 + t.kind) for t, c in zip(group, rare) for w in c], np.uint64).view(np.int64)
+    rare_times = np.array([n for c in rare for n in c.values()], np.int32)
+    n = np.bincount(owner, minlength=rows)
+    total = np.bincount(owner, weights=cost, minlength=rows) + prior[[t.kind for t in group]]
+    return [
+        pa.array(n), pa.array(n - np.bincount(owner, weights=escaped, minlength=rows).astype(np.int64)), pa.array(np.bincount(owner, weights=base.take(tokens.ids), minlength=rows)),
+        pa.array(total), pa.array([t.size for t in group], pa.int64()),
+        _listed(np.repeat(np.arange(rows), sizes), rare_hash, rows, pa.int64()), _listed(np.repeat(np.arange(rows), sizes), rare_times, rows, pa.int32()),
+        listed(before[first[pick]].view(np.int64), pa.int64()), listed(found[first[pick]].view(np.int64), pa.int64()), listed(times[pick].astype(np.int32), pa.int32()), listed(spent[pick], pa.float64()),
+    ]
+
+
+READ = "n_tokens long, known long, base double, own double, n_bytes long, hashes array<long>, times array<int>, before array<long>, chunk array<long>, repeats array<int>, spent array<double>"
+NAMES = ["doc_id", "held_out", "row", *(c.split()[0] for c in READ.split(", "))]
+
+
+def repeated_chunks(rows: DataFrame) -> DataFrame:
+    """(before, best, n, total): for each chunk the one that most of the training texts which have it go on
+    with, if at least two do; how many do so, and how many texts go on from there in any way."""
+    told = rows.where("NOT held_out").select(F.explode(F.arrays_zip("before", "chunk")).alias("c")).groupBy("c.before", "c.chunk").agg(F.count("*").alias("n"))
+    best = told.groupBy("before").agg(F.max(F.struct("n", "chunk")).alias("top"), F.sum("n").alias("total"))
+    return best.select("before", F.col("top.chunk").alias("best"), F.col("top.n").alias("n"), "total").where("n >= 2")
+
+
+def chunk_gains(rows: DataFrame) -> DataFrame:
+    """(row, own): what predicted chunks add to a text's log10 probability."""
+    told = staged(repeated_chunks(rows), "lm-chunks")
+    hot = told.agg(F.sum("total").alias("s")).first()["s"] or 0
+    met = rows.select("row", F.explode(F.arrays_zip("before", "chunk", "repeats", "spent")).alias("c")).select("row", "c.*")
+    frequent = F.broadcast(told.where(F.col("total") * HOT > hot).withColumn("hot", F.lit(True)))
+    quick = met.join(frequent, "before", "left")
+    rest = quick.where("hot IS NULL").select("row", "before", "chunk", "repeats", "spent").join(told.where(F.col("total") * HOT <= hot), "before")
+    columns = ["row", "chunk", "repeats", "spent", "best", "n", "total"]
+    right = F.col("repeats") * F.log10((F.col("n") - 1) / F.col("total")) - F.col("spent")
+    wrong = F.col("repeats") * F.log10((F.col("total") - F.col("n") + 1) / F.col("total"))
+    return quick.where("hot").select(*columns).union(rest.select(*columns)).select("row", F.when(F.col("chunk") == F.col("best"), right).otherwise(wrong).alias("own"))
 
 
 def score(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, base_score, score, n_bytes), one row per row of docs."""
+    """(doc_id, held_out, n_tokens, n_known, base_score, score, n_bytes), one row per row of docs; docs are
+    those that read_corpus() got (or some of them): texts that are only to be scored are held out there."""
     spark = docs.sparkSession
-    unseen, count, totals, classes, prior = corpus.tokens + corpus.distinct + 1, corpus.classes.count, corpus.totals, corpus.classes, corpus.prior
-    names = list(corpus.frequent)
-    own = np.array([corpus.model.log10(names, np.full(len(names), k), np.array([corpus.frequent[w][1][k] for w in names]) / totals[k]) for k in range(count)])
-    base_logs = np.log10((np.array([corpus.frequent[w][0] for w in names]) + 1) / unseen)
-    quick = spark.sparkContext.broadcast(({w: i for i, w in enumerate(names)}, base_logs, own))
-    model = spark.sparkContext.broadcast(corpus.model)
+    unseen, reader = corpus.tokens + corpus.distinct + 1, corpus.reader
+    base = np.append(np.log10((corpus.counts[:, :-1].sum(axis=0) + 1) / unseen), 0.0)
+    hashes = np.append(np.array([xxhash.xxh64_intdigest(w) for w in reader.words], np.uint64), np.uint64(0))
+    model = spark.sparkContext.broadcast((reader, corpus.mixer, hashes, base, corpus.prior))
+    speller = spark.sparkContext.broadcast(corpus.speller)
+    rare_tokens, rare_words = corpus.rare_tokens, corpus.rare_words
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        index, base_logs, own_logs = quick.value
-        row = TaskContext.get().partitionId() << 40
+        reader, row = model.value[0], TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for text in text_arrays(batch, "text"):
-                raw = text.as_py().lower().split()
-                found = Counter(raw)
-                found[END] = 1
-                many = np.fromiter(found.values(), np.int64, len(found))
-                kind = classes.of(found, many)
-                at = places(index, found)
-                hit = at >= 0
-                often, there = many[hit], at[hit]
-                n, base, total = int(often.sum()), float(often @ base_logs[there]), float(prior[kind] + often @ own_logs[kind, there])
-                hashes = [digest(word, 42 + kind) for word in compress(found, ~hit)]
-                times = many[~hit].astype(np.int32)
-                size = sum(map(len, raw)) + len(raw) + 1
-                for column, value in zip(out, (row, len(raw) + 1, n, base, total, size, np.array(hashes, np.uint64).view(np.int64), times)):
-                    column.append(value)
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds))], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "own", "n_bytes", "hashes", "times"])
+            at = 0
+            for group in reader.groups(_bytes(batch)):
+                part = batch.slice(at, len(group))
+                at += len(group)
+                rows = pa.array(np.arange(row, row + len(group)))
+                row += len(group)
+                yield pa.record_batch([part.column(0), part.column(1), rows, *_read_group(group, *model.value)], NAMES)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, kinds = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
             c, here = batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
-            hashes = np.array([xxhash.xxh64_intdigest(w, 42 + k) for w, k in zip(words, kinds.tolist())], np.uint64).view(np.int64)
-            yield pa.record_batch([pa.array(hashes), pa.array(c > 0), pa.array(np.log10((c + 1) / unseen)), pa.array(model.value.log10(words, kinds, here / totals[kinds]))], ["hash", "seen", "base_word", "own_word"])
+            found = np.array([xxhash.xxh64_intdigest(w, 42 + k) for w, k in zip(words, kinds.tolist())], np.uint64).view(np.int64)
+            own = rare_log10(here, kinds, speller.value.log10(words, kinds), rare_tokens, rare_words)
+            yield pa.record_batch([pa.array(found), pa.array(c > 0), pa.array(np.log10((c + 1) / unseen)), pa.array(own)], ["hash", "seen", "base_word", "own_word"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    kinds = f"doc_id {key}, held_out boolean, row long, n_tokens long, known long, base double, own double, n_bytes long, hashes array<long>, times array<int>"
-    read_rows = staged(docs.select("doc_id", "held_out", "text").mapInArrow(read, kinds), "lm-rows")
-    rare = corpus.vocabulary.where((F.col("c") < corpus.least) & (F.col("word") != F.lit(END)))
-    met = rare.select("word", "c", F.posexplode("counts").alias("class", "here")).where("here IS NOT NULL")
+    rows = staged(docs.select("doc_id", "held_out", "text").mapInArrow(read, f"doc_id {key}, held_out boolean, row long, {READ}"), "lm-rows")
+    names = spark.createDataFrame([(w,) for w in reader.words], "word binary")
+    met = corpus.vocabulary.join(F.broadcast(names), "word", "left_anti").select("word", "c", F.posexplode("counts").alias("class", "here")).where("here IS NOT NULL")
     rated = met.mapInArrow(rate, "hash long, seen boolean, base_word double, own_word double")
-    pairs = read_rows.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("p")).select("row", F.col("p.hashes").alias("hash"), F.col("p.times").alias("times"))
-    sums = pairs.join(rated, "hash").groupBy("row").agg(
-        F.sum(F.when(F.col("seen"), F.col("times")).otherwise(0).cast("long")).alias("known_rare"),
-        F.sum(F.col("times") * F.col("base_word")).alias("base_rare"),
-        F.sum(F.col("times") * F.col("own_word")).alias("own_rare"),
-    )
-    both = read_rows.drop("hashes", "times").join(sums, "row", "left")
-    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return both.select("doc_id", "held_out", "n_tokens", add("known", "known_rare").alias("n_known"), add("base", "base_rare").alias("base_score"), add("own", "own_rare").alias("score"), "n_bytes")
+    pairs = rows.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("p")).select("row", F.col("p.hashes").alias("hash"), F.col("p.times").alias("times"))
+    # Every word of docs is in the vocabulary of the corpus, which has held-out texts' words too.
+    seen = F.coalesce("seen", F.raise_error(F.lit("a word that read_corpus() has not met")).cast("boolean"))
+    words = pairs.join(rated, "hash", "left").select("row", F.when(seen, F.col("times")).otherwise(0).cast("long").alias("known"), (F.col("times") * F.col("base_word")).alias("base"), (F.col("times") * F.col("own_word")).alias("own"))
+    gains = chunk_gains(rows).select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "own")
+    sums = words.union(gains).groupBy("row").agg(*(F.sum(c).alias(f"{c}_more") for c in ("known", "base", "own")))
+    both = rows.select("doc_id", "held_out", "row", "n_tokens", "known", "base", "own", "n_bytes").join(sums, "row", "left")
+    add = lambda c: F.col(c) + F.coalesce(F.col(f"{c}_more"), F.lit(0))
+    return both.select("doc_id", "held_out", "n_tokens", add("known").alias("n_known"), add("base").alias("base_score"), add("own").alias("score"), "n_bytes")
+
+
+def bits_per_byte(score: Column, n_bytes: Column) -> Column:
+    return -score * float(np.log2(10)) / n_bytes
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (crc32_mod("doc_id", 7) == 2).alias("held_out"), "text", "lang")
     corpus = read_corpus(docs)
-    bits = (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte")
-    return score(docs, corpus).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score", bits)
+    found = score(docs, corpus)
+    bits = bits_per_byte(F.col("score"), F.col("n_bytes")).alias("bits_per_byte")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score", bits)

@@ -15,8 +15,6 @@ named quality_score are replaced.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -25,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm.shared import appended, crc32_mod, staged, table, text_arrays
+from casewright.llm.shared import appended, crc32_mod, slices, staged, table, text_arrays
 
 COSINES = 128
 BINS = 512
@@ -37,17 +35,6 @@ CLASSES[[ord(c) for c in ".,;:'\"?-()"], 5] = 1
 CLASSES[ord("!"), 6] = 1
 CLASSES[:, 7] = CLASSES.sum(axis=1) == 0
 STATISTICS = 17
-BLANK = re.compile(rb"[\t-\r ]")
-
-
-def slices(text: bytes) -> Iterator[bytes]:
-    """The text in parts of at least SLICE bytes, cut before white space only."""
-    at = 0
-    while at < len(text):
-        blank = BLANK.search(text, at + SLICE) if at + SLICE < len(text) else None
-        end = blank.start() if blank else len(text)
-        yield text[at:end]
-        at = end
 
 
 def statistics(text: bytes) -> np.ndarray:
@@ -56,7 +43,7 @@ def statistics(text: bytes) -> np.ndarray:
     if not text:
         return out
     counts, words, letters, seen, last, repeats, lines = np.zeros(256), 0, 0, set(), None, 0, 0
-    for part in slices(text):
+    for part in slices(text, SLICE):
         counts += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
         found = part.split()
         words += len(found)

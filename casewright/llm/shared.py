@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -119,6 +120,20 @@ def blocks(array: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np
         i = j
 
 
+SLICE = 1 << 20
+BLANK = re.compile(rb"[\t-\r ]")
+
+
+def slices(text: bytes, size: int | None = None) -> Iterator[bytes]:
+    """The text in parts of at least size (SLICE) bytes, cut before white space only."""
+    at, size = 0, size or SLICE
+    while at < len(text):
+        blank = BLANK.search(text, at + size) if at + size < len(text) else None
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
 def crc32_mod(column: str, n: int):
     """crc32 of the id written as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n

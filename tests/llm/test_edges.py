@@ -35,7 +35,7 @@ def test_statistics_however_cut(monkeypatch):
     for size in (1, 7, 1000):
         monkeypatch.setattr(quality, "SLICE", size)
         for text, want in zip(texts, whole):
-            assert b"".join(quality.slices(text.encode())) == text.encode()
+            assert b"".join(quality.slices(text.encode(), size)) == text.encode()
             assert np.allclose(quality.statistics(text.encode()), want, atol=1e-12)
 
 
