@@ -104,14 +104,14 @@ class Tally:
         """at: twice the slot, and one more for a one bit."""
         held = self.held.setdefault((tune, table), [])
         held.append(at)
-        if sum(map(len, held)) > 1 << 22:
+        if sum(map(len, held)) > 1 << 21:
             self._settle(tune, table)
 
     def _settle(self, tune: int, table: int) -> None:
         held = self.held.pop((tune, table), [])
         if held:
-            total = self.counts.setdefault((tune, table), np.zeros(2 << self.bits[table], np.int64))
-            total += np.bincount(np.concatenate(held), minlength=len(total))
+            total = self.counts.setdefault((tune, table), np.zeros(2 << self.bits[table], np.uint32))
+            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for tune, table in list(self.held):
@@ -135,7 +135,7 @@ def _summed(group: pa.Table) -> pa.Table:
 
 def tables(tallies: DataFrame, bits: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """States of all tables without the rows that tune the weights, and with them."""
-    counts = [[np.zeros(2 << b, np.int64) for b in bits] for _ in range(2)]
+    counts = [[np.zeros(2 << b, np.uint32) for b in bits] for _ in range(2)]
     for row in tallies.groupBy("tune", "table", "at").applyInArrow(_summed, TALLY).toArrow().to_pylist():
         part = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
         counts[row["tune"]][row["table"]][row["at"] : row["at"] + len(part)] = part

@@ -13,8 +13,8 @@ weights and refined by an adaptive map (blend).
 Where the numbers come from: word counts, chunk counts, distinct words and context bits are counted
 over all training texts, without caps, and joined by Spark; they grow with the corpus. The tables of
 context bits that every task holds have a slot for every eighth training token (spelling: for every
-second distinct word), up to 2 ** 21 slots (2 ** 20, 2 ** 22 for whole prefixes), which is what a task
-can hold. Weights and map are learned by partition on every TUNE-th training text (word), with the
+second distinct word), up to 2 ** 21 slots (2 ** 19 for the last bytes), which is what a task can hold
+beside its rows. Weights and map are learned by partition on every TUNE-th training text (word), with the
 tables counted without those, and averaged; the final tables have them.
 
 The text's class is the language whose words it holds most likely, decided by word frequencies from
@@ -284,7 +284,7 @@ def word_mixer(texts: DataFrame, reader: Reader, counts: np.ndarray, tokens: int
 def speller_of(words: DataFrame, distinct: int) -> spelling.Speller:
     """The speller from distinct words (tune, word, class)."""
     spark = words.sparkSession
-    bits = (*[_slots(distinct, 2, 10, 20)] * spelling.ORDERS, _slots(distinct, 1, 12, 22))
+    bits = (*[_slots(distinct, 2, 10, 19)] * spelling.ORDERS, _slots(distinct, 1, 12, 21))
 
     def spelled(batch: pa.RecordBatch, keep=None) -> Iterator[spelling.Spelled]:
         for at in range(0, batch.num_rows, 20_000):
