@@ -98,24 +98,14 @@ class Tally:
     def __init__(self, bits: tuple[int, ...]):
         self.bits = bits
         self.counts: dict[tuple[int, int], np.ndarray] = {}
-        self.held: dict[tuple[int, int], list[np.ndarray]] = {}
 
     def add(self, tune: int, table: int, at: np.ndarray) -> None:
         """at: twice the slot, and one more for a one bit."""
-        held = self.held.setdefault((tune, table), [])
-        held.append(at)
-        if sum(map(len, held)) > 1 << 21:
-            self._settle(tune, table)
-
-    def _settle(self, tune: int, table: int) -> None:
-        held = self.held.pop((tune, table), [])
-        if held:
-            total = self.counts.setdefault((tune, table), np.zeros(2 << self.bits[table], np.uint32))
-            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+        if (tune, table) not in self.counts:
+            self.counts[tune, table] = np.zeros(2 << self.bits[table], np.uint32)
+        np.add.at(self.counts[tune, table], at.astype(np.intp), np.uint32(1))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for tune, table in list(self.held):
-            self._settle(tune, table)
         for (tune, table), counts in self.counts.items():
             for at in range(0, len(counts), CHUNK):
                 part = counts[at : at + CHUNK]

@@ -73,8 +73,6 @@ class Tree:
         return np.log((b + 1e-6) / (a + 1e-6)).T.astype(np.float32)
 
 
-#: Signed match before, at and behind the first bit in which guess and word differ (from behind).
-AHEAD = np.array([0, -1, 1], np.float32)
 
 
 def matches(ids: np.ndarray, before: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,13 +154,16 @@ class Bits:
     @staticmethod
     def of(tree: Tree, bits: int, first: int, ids, before, kind, shared, level) -> Bits:
         begin, token, flat = paths(tree, ids)
-        ahead = (shared + begin).take(token)
-        ahead -= np.arange(len(token), dtype=np.int32)
-        np.clip(ahead, -1, 1, out=ahead)
-        ahead += 1
-        at = level.take(token)
-        at *= ahead > 0
-        return Bits(first, begin, token, flat, hashed(tree, bits, before, token, flat), AHEAD.take(ahead), at, kind)
+        match, at = np.zeros(len(token), np.float32), np.zeros(len(token), np.uint16)
+        # A match speaks up to the first bit in which guess and word differ.
+        on = np.flatnonzero(shared >= 0)
+        size = np.minimum(shared[on] + 1, tree.length.take(ids[on]))
+        place = np.arange(int(size.sum())) + np.repeat(begin[on] - (np.cumsum(size) - size), size)
+        match[place] = 1
+        at[place] = np.repeat(level[on], size)
+        wrong = on[shared[on] < tree.length.take(ids[on])]
+        match[begin[wrong] + shared[wrong]] = -1
+        return Bits(first, begin, token, flat, hashed(tree, bits, before, token, flat), match, at, kind)
 
 
 @dataclass
