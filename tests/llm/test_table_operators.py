@@ -131,17 +131,27 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_dup_vectors(df.where("false")).count() == 0
 
 
-def test_recall_of_the_index():
-    """Pairs at exactly the threshold share enough reference points."""
+@pytest.mark.parametrize("count, least", [(256, 0.97), (512, 0.96), (2048, 0.9)])
+def test_recall_of_the_index(count, least):
+    """Pairs at exactly the threshold share a list, however many reference points there are."""
     r = np.random.default_rng(0)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    pivots, a = unit(r.normal(size=(embeddings.PIVOTS, 64))), unit(r.normal(size=(2000, 64)))
+    pivots, a = unit(r.normal(size=(count, 64))), unit(r.normal(size=(2000, 64)))
     away = r.normal(size=(2000, 64))
     away = unit(away - (away * a).sum(axis=1, keepdims=True) * a)
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * away
-    near = [np.argsort(-x @ pivots.T, axis=1)[:, : embeddings.NEAREST] for x in (a, b)]
-    shared = np.array([len(set(p) & set(q)) for p, q in zip(*near)])
-    assert (shared >= embeddings.SHARED).mean() >= 0.99
+    x, y = embeddings.list_keys(a, pivots), embeddings.list_keys(b, pivots)
+    assert (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean() >= least
+
+
+def test_pivots_are_thinned():
+    r = np.random.default_rng(1)
+    crowd = r.normal(size=(1, 8)) + 0.01 * r.normal(size=(600, 8))
+    x = np.concatenate([crowd, r.normal(size=(50, 8))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = embeddings.thinned(x, 1000)
+    near = points @ points.T - 2 * np.eye(len(points))
+    assert near.max() < embeddings.APART and 2 <= len(points) <= 51
 
 
 # ---- URL lists ----
