@@ -97,6 +97,39 @@ def test_sketches_are_retried_larger(spark, monkeypatch):
     assert sorted((g["doc_id"], g["near_next"], g["near_edited"]) for g in iblt.fingerprints(documents(spark, texts)).collect()) == want
 
 
+def test_stored_sketches_subtract(spark):
+    """Few differing pieces come out of the stored sketches alone, more from larger ones; signs say whose they are."""
+    base = [f"line {i}" for i in range(60)]
+    rows = [(1, "\n".join(base), "\n".join(base[:57] + ["x", "y"])), (2, "\n".join(base), "\n".join(reversed(base))), (3, "a", None), (4, "\n".join(base), "\n".join(f"other {i}" for i in range(90)))]
+    df = spark.createDataFrame(rows, "key bigint, a string, b string")
+    hashed = {r["p"]: r["h"] for r in spark.createDataFrame([(p,) for _, a, b in rows for p in pieces(a) | pieces(b or "")], "p string").selectExpr("p", "xxhash64(p) h").collect()}
+    want = {k: (sorted(hashed[p] for p in pieces(a) - pieces(b or "")), sorted(hashed[p] for p in pieces(b or "") - pieces(a))) for k, a, b in rows}
+    assert {r["key"]: (r["only_a"], r["only_b"]) for r in iblt.differences(df).collect()} == want
+    few = df.selectExpr("1L bucket", "key rid", "a", "b").withColumns({"a_found": iblt.digests(F.col("a")), "b_found": iblt.digests(F.coalesce("b", F.lit("")))})
+    few = few.withColumns({"a_cells": iblt.sketch("a_found"), "b_cells": iblt.sketch("b_found")})
+    stored = few.withColumn("w", iblt.written(F.lit(7).cast("long"), F.col("a_cells")))
+    assert stored.where(iblt.cells_of("w") != F.col("a_cells")).count() == 0
+    first = iblt.attempt(few.withColumn("d0", F.lit(None).cast(iblt.DIFFERENCE)), 0, [("a", "b")], ["a_found", "b_found"])
+    assert {r["rid"]: r["d0"] is not None and len(r["d0"]) for r in first.collect()} == {1: 5, 2: 0, 3: 1, 4: False}
+
+
+def test_hot_ids(spark, monkeypatch):
+    """A doc_id that a third of the rows have, and null ones, are dealt to many buckets; order holds."""
+    monkeypatch.setattr(iblt, "BUCKET_ROWS", 10)
+    rows = [(50, f"a {k}") for k in range(100)] + [(None, f"b {k}") for k in range(100)] + [(k, f"c {k}") for k in range(100)]
+    docs = documents(spark, rows)
+    found = iblt.neighbours(docs)
+    assert found.groupBy("bucket").count().agg({"count": "max"}).first()[0] <= 40
+    got = iblt.fingerprints(docs).collect()
+    assert len(got) == 300 and iblt.undecided(docs).first()["undecided"] == 0
+    follow = {r["text"]: r["next_text"] for r in found.collect()}
+    at, seen = "c 99", []
+    while at not in seen:
+        seen.append(at)
+        at = follow[at]
+    assert len(seen) == 300 and [t[0] for t in seen] == ["c"] * 50 + [t[0] for t in seen[50:150]] + ["c"] * 50 + ["b"] * 100
+
+
 # ---- embeddings ----
 
 
