@@ -40,6 +40,23 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, []), licenses.train(documents(spark, []))).count() == 0
 
 
+def test_unseen_and_wrapped_notices(spark):
+    """Notices that are no templates, on one line or wrapped over three, and lines that only sound like one."""
+    notices = [
+        ("apache-2.0", "This software is released under the Apache License, Version 2.0."), ("gpl", "This file is part of Foo, which is licensed under the GNU General Public License version 2 or later."),
+        ("mit", "Permission is hereby granted, free of\ncharge, to any person obtaining a copy of\nthis software and associated documentation"),
+        ("apache-2.0", "Licensed under the Apache License,\nVersion 2.0 (the License); you may not use\nthis file except in compliance with the License."),
+        ("bsd", "Redistributions of source code must retain\nthe above copyright notice, this list of\nconditions and the following disclaimer."),
+    ]
+    plain = ["the public has a licence to use the park", "a version of the work in the general direction", "he was granted the software and the copyright of a song"]
+    rows = [(k, f"some words\n{t}\nother words") for k, (_, t) in enumerate(notices)] + [(100 + k, t) for k, t in enumerate(plain)] + [(200 + k, f"{plain[k % 3]} {k}") for k in range(60)]
+    docs = documents(spark, rows)
+    found = licenses.scan(docs, licenses.train(docs)).where("confirmed").collect()
+    assert {k: {r["family"] for r in found if r["doc_id"] == k} for k in range(len(notices))} == {k: {f} for k, (f, _) in enumerate(notices)}
+    assert not [r for r in found if r["doc_id"] >= 100]
+    assert {r["lines"] for r in found if r["doc_id"] == 2} == {3} and {r["lines"] for r in found if r["doc_id"] < 2} == {1}
+
+
 def test_license_pairs_agree(spark):
     texts = ["A b, c.", "  v. 2.0. x ", "", "MIT", "a...b ..c"]
     df = spark.createDataFrame([(t,) for t in texts], "p string")
@@ -127,7 +144,7 @@ def test_hot_ids(spark, monkeypatch):
     while at not in seen:
         seen.append(at)
         at = follow[at]
-    assert len(seen) == 300 and [t[0] for t in seen] == ["c"] * 50 + [t[0] for t in seen[50:150]] + ["c"] * 50 + ["b"] * 100
+    assert len(seen) == 300 and [t[0] for t in seen] == ["c"] * 49 + [t[0] for t in seen[49:150]] + ["c"] * 50 + ["b"] * 100
 
 
 # ---- embeddings ----
