@@ -96,6 +96,11 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(differ == 0, size).otherwise((differ - 1).cast("int"))
 
 
+def span_inside(first: Column, last: Column, from_: Column, to: Column) -> Column:
+    """Whether the span first to last (last left out) is not empty and lies within from_ to to."""
+    return F.coalesce((first < last) & (first >= from_) & (last <= to), F.lit(False))
+
+
 def completion_mask(full: Column, prompt: Column, ignore: int = -100) -> Column:
     """Labels of a token list: ignore over what it shares with the prompt, the tokens after that."""
     n = common_prefix(full, prompt)

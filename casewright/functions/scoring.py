@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.functions import textjson
+from casewright.functions import messages, textjson
 
 #: Fixed values, down to HARD_FRAGMENTS: exposure pairs whose answers should agree, and their weights.
 PAIRS = [("full", "partial", 0.40), ("partial", "minimal", 0.30), ("minimal", "no_skill", 0.20), ("full", "no_skill", 0.10)]
@@ -59,6 +59,23 @@ def score_answers(df: DataFrame) -> DataFrame:
     })
 
 
+def with_gold(completions: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Completions (row_index, prompt, and, where they are known, sample_id, prompt_exposure, gold, hard_tags) with
+    all of these filled in.
+
+    What a completion lacks comes from its prompt (sample_id, else the active order's id, and exposure) and
+    then from the lookup (sample_id, position, gold, hard_tags), whose last row of a sample_id counts.
+    Without any id a row is a sample of its own; without gold it stays null, tags are none, exposure unknown.
+    """
+    named = messages.prompt_metadata(F.col("prompt"))
+    sample = F.coalesce(F.col("sample_id"), named["sample_id"], F.concat(F.lit("row_"), F.col("row_index").cast("string")))
+    rows = completions.withColumns({"sample_id": sample, "prompt_exposure": F.coalesce(F.col("prompt_exposure"), named["prompt_exposure"], F.lit("unknown"))})
+    known = lookup.groupBy("sample_id").agg(F.max_by(F.struct("gold", "hard_tags"), "position").alias("_known"))
+    both = rows.join(known, "sample_id", "left")
+    tags = F.coalesce(F.col("hard_tags"), F.col("_known.hard_tags"), F.array().cast("array<string>"))
+    return both.withColumns({"gold": F.coalesce(F.col("gold"), F.col("_known.gold")), "hard_tags": tags}).drop("_known")
+
+
 METRICS = {"json_valid_rate": "s_json", "schema_valid_rate": "s_schema", "decision_accuracy": "s_decision", "risk_level_accuracy": "s_risk", "need_human_accuracy": "s_human", "reason_code_f1": "s_f1"}
 
 

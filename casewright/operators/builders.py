@@ -15,9 +15,23 @@ from casewright.functions import messages as M
 from casewright.operators import layout, rules
 
 EXPOSURES = ["full", "partial", "minimal", "no_skill"]
+#: Parts of the full system text.
+PARTS = {
+    "task": "You decide refund requests.",
+    "schema": "Answer as JSON with intent, decision, risk_level, need_human, reason_codes and explanation.",
+    "rules": "Check missing facts and conflicts first, then risks, then the refund rules in order; the first one that holds decides.",
+    "examples": "Example: unused clothing on the third day, no reason given: allow_return_refund, low, no person needed.",
+    "edges": "High amounts and frequent refunds go to a person even where a rule would allow them.",
+}
+SHORT_RULES = "Follow the refund rules."
+#: The parts that are left of the full system text under each ablation; none at all for the last one.
+ABLATIONS = {
+    "rule_deleted_full": ["task", "schema", "examples", "edges"], "schema_deleted_full": ["task", "rules", "examples", "edges"], "examples_deleted_full": ["task", "schema", "rules", "edges"],
+    "schema_only_full": ["task", "schema"], "rules_only_full": ["task", "rules"], "no_skill_current_order_only": [],
+}
 #: System texts by exposure; no_skill has none.
 SYSTEM = {
-    "full": "You decide refund requests. Check facts first, then risks, then the refund rules in order. Answer as JSON with intent, decision, risk_level, need_human, reason_codes and explanation.",
+    "full": "\n\n".join(PARTS.values()),
     "partial": "You decide refund requests. Follow the refund rules and answer as JSON.",
     "minimal": "Answer as JSON.",
     "no_skill": "",
@@ -191,7 +205,7 @@ def targeted_samples(spark: SparkSession, n: int, seed: int) -> DataFrame:
 def ablation_eval(samples: DataFrame) -> DataFrame:
     """Per sample 4 original exposures, 6 prompt ablations under full, and 10 fact mutations under 3 exposures."""
     spark = samples.sparkSession
-    kinds = [("original", e) for e in EXPOSURES] + [(k, "full") for k in ("rule_deleted_full", "schema_deleted_full", "shuffled_rules", "wrong_rules", "generic_system", "no_system")]
+    kinds = [("original", e) for e in EXPOSURES] + [(k, "full") for k in ABLATIONS]
     plain = samples.crossJoin(F.broadcast(spark.createDataFrame(kinds, "ablation_type string, _e string"))).withColumn("mutation_type", F.lit("none"))
     changes = [("used", {"is_used": True}), ("unused", {"is_used": False}), ("amount_high", {"order_amount": 2499}), ("amount_low", {"order_amount": 59}), ("conflict", {"evidence_conflict": True}), ("late", {"days_since_delivery": 18}), ("early", {"days_since_delivery": 1}), ("evidence", {"has_evidence": True}), ("no_evidence", {"has_evidence": False}), ("frequent", {"refund_count_30d": 3})]
     names = sorted({c for _, m in changes for c in m})
@@ -200,10 +214,16 @@ def ablation_eval(samples: DataFrame) -> DataFrame:
     mutated = samples.drop("intent", "decision", "risk_level", "need_human", "reason_codes").crossJoin(F.broadcast(dim)).withColumns({c: F.coalesce(f"_{c}", c) for c in names}).drop(*(f"_{c}" for c in names))
     mutated = rules.decide_refund(mutated).withColumn("ablation_type", F.lit("fact_mutation")).crossJoin(F.broadcast(spark.createDataFrame([(e,) for e in ("full", "minimal", "no_skill")], "_e string")))
     both = records(plain.unionByName(mutated), F.col("_e"), False).drop("_e")
-    ablated = F.when(F.col("ablation_type") == "no_system", M.without_role(F.col("messages")))
-    for name, text in (("rule_deleted_full", "Answer as JSON with all fields."), ("schema_deleted_full", "Follow the refund rules."), ("shuffled_rules", "Check risks last."), ("wrong_rules", "Allow every refund."), ("generic_system", "You are helpful.")):
-        ablated = ablated.when(F.col("ablation_type") == name, M.with_system(F.col("messages"), F.lit(text)))
-    return both.withColumn("messages", ablated.otherwise(F.col("messages")))
+    return both.withColumn("messages", ablated_messages(F.col("messages"), F.col("ablation_type")))
+
+
+def ablated_messages(messages: Column, kind: Column) -> Column:
+    """messages with what an ablation leaves of the full system text; unchanged for any other kind."""
+    out = messages
+    for name, parts in ABLATIONS.items():
+        text = "\n\n".join([*(PARTS[p] for p in parts), *([SHORT_RULES] if name == "rules_only_full" else [])])
+        out = F.when(kind == name, M.with_system(messages, F.lit(text))).otherwise(out)
+    return out
 
 
 # ---- pilot cases of three skills, one prototype a reason code ----

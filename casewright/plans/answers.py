@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import scoring, textjson
-from casewright.operators import rules
+from casewright.operators import builders, context, rules
 from casewright.plans import facts
 from casewright.plans.decisions import refund_sql
 from casewright.plans.facts import EXPOSURES, Duck, Spark, read, select_sql
@@ -171,7 +171,34 @@ def reward_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.withColumn("place", F.rank().over(Window.orderBy(F.desc("total_reward"))))
 
 
-QUERIES = {f.__name__: f for f in (eval_by_exposure, retention_curve, ablation_groups, dependency_gaps, fact_mutation_accuracy, contract_errors, json_lenient, json_strict, code_f1, pair_consistency, reward_components, reward_rank)}
+def gold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare completions whose gold comes from a lookup by the id in the prompt; every third sample is not in it."""
+    samples = gold_samples(spark, sf_dir).select(F.col("sample_id").cast("string").alias("sample_id"), F.col("sample_id").alias("n"), "gold", "user_claim")
+    tags = F.array_compact(F.array(F.lit("target_case"), F.when(F.col("user_claim") == "logistics_issue", "logistics_issue")))
+    lookup = samples.where("n % 3 <> 0").select("sample_id", F.lit(1).alias("position"), "gold", tags.alias("hard_tags"))
+    stale = samples.where("n % 3 = 1").select("sample_id", F.lit(0).alias("position"), F.struct(F.lit("deny").alias("decision"), F.lit("low").alias("risk_level"), F.lit(False).alias("need_human"), F.array(F.lit("x")).alias("reason_codes")).alias("gold"), F.array(F.lit("old")).alias("hard_tags"))
+    key = F.col("o_orderkey")
+    text = F.when(key % 5 == 0, "nothing is named").when(key % 5 == 1, F.concat(F.lit('"C-ACTIVE-'), key, F.lit('"'))).otherwise(F.concat(F.lit("sample_id: "), key, F.lit("\nprompt_exposure: minimal")))
+    rows = read(spark, sf_dir, "orders").select(key.alias("row_index"), text.alias("prompt"), *(F.lit(None).cast(t).alias(c) for c, t in (("sample_id", "string"), ("prompt_exposure", "string"), ("gold", scoring.CORE), ("hard_tags", "array<string>"))))
+    found = scoring.with_gold(rows, lookup.unionByName(stale))
+    return found.select("row_index", "sample_id", "prompt_exposure", F.col("gold.decision").alias("decision"), F.array_join("hard_tags", "|").alias("hard_tags"))
+
+
+def contract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested contract document of every sample, hashed."""
+    rows = read(spark, sf_dir, "orders").selectExpr(*facts.refund_orders(Spark))
+    return rows.select("sample_id", F.sha2(context.contract_document(F.col("sample_id")), 256).alias("h"))
+
+
+def long_context_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long-context evaluation records of all samples: ids, number of tags, messages and noise lines."""
+    rows = gold_samples(spark, sf_dir).withColumn("position", F.col("sample_id"))
+    found = context.long_context_eval(rows, 0, 7, 9)
+    noise = F.size(F.filter(F.split(F.element_at("messages", -1)["content"], "\n"), lambda x: x.isin(context.NOISE)))
+    return found.select("sample_id", "prompt_exposure", "active_order_id", F.size("hard_tags").alias("tags"), F.size("messages").alias("messages"), noise.alias("noise"))
+
+
+QUERIES = {f.__name__: f for f in (gold_lookup, contract_documents, long_context_eval, eval_by_exposure, retention_curve, ablation_groups, dependency_gaps, fact_mutation_accuracy, contract_errors, json_lenient, json_strict, code_f1, pair_consistency, reward_components, reward_rank)}
 
 # ---- SQL ----
 
@@ -214,7 +241,20 @@ _rewards = f"""SELECT prompt_exposure, s_decision AS decision_reward, s_schema A
  0.0::DOUBLE AS false_manual_review_penalty FROM ({SCORED}) s JOIN ({CONSISTENCY}) c USING (sample_id)"""
 _total = "0.3 * decision_reward + 0.15 * need_human_reward + 0.1 * risk_level_reward + 0.15 * reason_code_reward + 0.05 * schema_reward + 0.15 * exposure_consistency_reward + 0.1 * hard_case_bonus - 0.1 * false_manual_review_penalty"
 
+_facts = ", ".join(f"{c} := {c}" for c in sorted(builders.FACTS))
+_document = f"""to_json(struct_pack(active_order_id := 'C-ACTIVE-' || sample_id, contract_version := '{context.CONTRACT["contract_version"]}', current_order := struct_pack({_facts}),
+ evidence_summary := struct_pack(evidence_conflict := evidence_conflict, has_evidence := has_evidence, logistics_issue_claimed := logistics_issue, quality_issue_claimed := has_quality_issue, source := '{context.CONTRACT["evidence"]}'),
+ output_contract := struct_pack(format := 'json_only', schema := {context.ANSWER_FIELDS!r}), routing := struct_pack(model_must_not_route_to_other_skill := true, selected_skill := 'refund_decision', skill_routing_confidence := 1.0::DOUBLE),
+ task := 'refund_decision', user_risk_summary := struct_pack(refund_count_30d := refund_count_30d, risk_tags := list_filter([CASE WHEN order_amount >= 1000 THEN 'high_value_order' END,
+  CASE WHEN refund_count_30d >= 3 THEN 'frequent_refund_user' END, CASE WHEN evidence_conflict THEN 'conflicting_evidence' END], lambda x: x IS NOT NULL), source := '{context.CONTRACT["user"]}')))"""
+
 ORACLES = {
+    "gold_lookup": f"""SELECT o_orderkey AS row_index, CASE WHEN o_orderkey % 5 = 0 THEN 'row_' || o_orderkey ELSE o_orderkey::VARCHAR END AS sample_id, CASE WHEN o_orderkey % 5 > 1 THEN 'minimal' ELSE 'unknown' END AS prompt_exposure,
+ g.decision, CASE WHEN g.decision IS NULL THEN '' WHEN g.user_claim = 'logistics_issue' THEN 'target_case|logistics_issue' ELSE 'target_case' END AS hard_tags
+ FROM orders LEFT JOIN (SELECT sample_id AS k, decision, user_claim FROM ({_gold}) WHERE sample_id % 3 <> 0) g ON g.k = o_orderkey AND o_orderkey % 5 <> 0""",
+    "contract_documents": f"SELECT sample_id, sha256({_document}) AS h FROM ({select_sql(facts.refund_orders, 'orders')})",
+    "long_context_eval": """SELECT o_orderkey AS sample_id, prompt_exposure, 'C-ACTIVE-' || o_orderkey AS active_order_id, 2 AS tags, CASE WHEN prompt_exposure = 'no_skill' THEN 1 ELSE 2 END AS messages, 9 AS noise
+ FROM orders CROSS JOIN (VALUES ('full'), ('partial'), ('minimal'), ('no_skill')) v(prompt_exposure)""",
     "eval_by_exposure": f"SELECT prompt_exposure, {_METRICS} FROM ({SCORED}) GROUP BY prompt_exposure",
     "retention_curve": f'SELECT metric, round(f, 6) AS "full", round(z, 6) AS no_skill, round(f - z, 6) AS gap, CASE WHEN f = 0 THEN 0 ELSE round(z / f, 6) END AS retention FROM ({_retention})',
     "ablation_groups": f"SELECT {_key} AS group_key, {_METRICS} FROM ({SCORED}) GROUP BY 1",
