@@ -35,7 +35,7 @@ from casewright.llm.shared import appended, crc32_mod, fresh, table, text_arrays
 BITS = 16
 BUCKETS = 1 << BITS
 WIDTH = 16
-SAMPLE = 4096
+SAMPLE = 2048
 #: Most of the documents of a known language that calibration may reject.
 REJECT = 0.002
 SLICE = 1 << 20
@@ -120,14 +120,14 @@ def junk(text: str, kind: int, seed: int) -> str:
     return "".join(found)
 
 
-def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct subwords of a text and their shares."""
+def _shares(text: str) -> tuple[bytes, bytes]:
+    """The distinct subwords of a text and their shares, packed."""
     data = np.frombuffer(text.encode(), np.uint8)
     total = np.zeros(BUCKETS, np.int64)
     for _, buckets in grams(data, np.array([0, len(data)])):
         total += np.bincount(buckets, minlength=BUCKETS)
     hit = np.flatnonzero(total)
-    return hit.astype(np.int32), (total[hit] / max(1, total.sum())).astype(np.float32)
+    return hit.astype(np.uint16).tobytes(), (total[hit] / max(1, total.sum())).astype(np.float32).tobytes()
 
 
 def _features(batches):
@@ -136,7 +136,7 @@ def _features(batches):
         for lang, h, text in zip(*(c.to_pylist() for c in batch.columns)):
             for name, content in ((lang, text), (None, f" {junk(text.strip(), h % 4, h % (1 << 32))} ")):
                 rows.append((name, h, *_shares(content)))
-        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())))], ["lang", "h", "buckets", "share"])
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "h", "buckets", "share"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4, rate: float = 0.5) -> Model:
@@ -151,14 +151,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4, rate: float =
     # Copies of a text are drawn together and count once; the limit bounds what reaches the driver.
     drawn = labelled.where(draw < F.element_at(shares, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
     drawn = drawn.select("lang", "h", "text").limit(2 * max(sample, 32 * len(sizes)))
-    rows = drawn.mapInArrow(_features, "lang string, h long, buckets array<int>, share array<float>").toArrow()
+    rows = drawn.mapInArrow(_features, "lang string, h long, buckets binary, share binary").toArrow()
     languages = tuple(r["lang"] for r in sizes)
     number = {x: k for k, x in enumerate(languages)} | {None: len(languages)}
     y = np.array([number[x] for x in rows["lang"].to_pylist()], np.int64)
     h = rows["h"].to_numpy()
     order = np.lexsort((y, h))
-    ids = [rows["buckets"][int(i)].values.to_numpy() for i in order]
-    share = [rows["share"][int(i)].values.to_numpy() for i in order]
+    ids = [np.frombuffer(rows["buckets"][int(i)].as_py(), np.uint16) for i in order]
+    share = [np.frombuffer(rows["share"][int(i)].as_py(), np.float32) for i in order]
     return _descend(ids, share, y[order], h[order], languages, epochs, rate)
 
 
