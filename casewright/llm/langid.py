@@ -35,7 +35,7 @@ from casewright.llm.shared import appended, crc32_mod, fresh, table, text_arrays
 BITS = 16
 BUCKETS = 1 << BITS
 WIDTH = 16
-SAMPLE = 2048
+SAMPLE = 1200
 #: Most of the documents of a known language that calibration may reject.
 REJECT = 0.002
 SLICE = 1 << 20
@@ -159,6 +159,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4, rate: float =
     order = np.lexsort((y, h))
     ids = [np.frombuffer(rows["buckets"][int(i)].as_py(), np.uint16) for i in order]
     share = [np.frombuffer(rows["share"][int(i)].as_py(), np.float32) for i in order]
+    del rows
     return _descend(ids, share, y[order], h[order], languages, epochs, rate)
 
 
