@@ -46,6 +46,9 @@ KEEP = np.full(256, 32, np.uint8)
 KEEP[97:123], KEEP[65:91], KEEP[128:] = np.arange(97, 123), np.arange(65, 91), np.arange(128, 256)
 
 
+FEATURES = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("buckets", pa.binary()), ("share", pa.binary())])
+
+
 @dataclass(frozen=True)
 class Model:
     """weights has a column a language and a last one for texts of no language."""
@@ -151,16 +154,24 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4, rate: float =
     # Copies of a text are drawn together and count once; the limit bounds what reaches the driver.
     drawn = labelled.where(draw < F.element_at(shares, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
     drawn = drawn.select("lang", "h", "text").limit(2 * max(sample, 32 * len(sizes)))
-    rows = drawn.mapInArrow(_features, "lang string, h long, buckets binary, share binary").toArrow()
     languages = tuple(r["lang"] for r in sizes)
-    number = {x: k for k, x in enumerate(languages)} | {None: len(languages)}
-    y = np.array([number[x] for x in rows["lang"].to_pylist()], np.int64)
-    h = rows["h"].to_numpy()
-    order = np.lexsort((y, h))
-    ids = [np.frombuffer(rows["buckets"][int(i)].as_py(), np.uint16) for i in order]
-    share = [np.frombuffer(rows["share"][int(i)].as_py(), np.float32) for i in order]
-    del rows
-    return _descend(ids, share, y[order], h[order], languages, epochs, rate)
+
+    def fit(batches):
+        rows = pa.Table.from_batches(list(batches), FEATURES)
+        number = {x: k for k, x in enumerate(languages)} | {None: len(languages)}
+        y = np.array([number[x] for x in rows["lang"].to_pylist()], np.int64)
+        h = rows["h"].to_numpy()
+        order = np.lexsort((y, h))
+        ids = [np.frombuffer(rows["buckets"][int(i)].as_py(), np.uint16) for i in order]
+        share = [np.frombuffer(rows["share"][int(i)].as_py(), np.float32) for i in order]
+        model = _descend(ids, share, y[order], h[order], languages, epochs, rate)
+        yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.temperature]), pa.array([model.threshold])], ["weights", "temperature", "threshold"])
+
+    # The sample is bounded, and one task descends on it; the driver gets the model alone.
+    features = drawn.mapInArrow(_features, "lang string, h long, buckets binary, share binary").repartition(1)
+    found = features.mapInArrow(fit, "weights binary, temperature double, threshold double").first()
+    weights = np.frombuffer(bytes(found["weights"]), np.float32).reshape(BUCKETS, len(languages) + 1)
+    return Model(languages, weights, found["temperature"], found["threshold"])
 
 
 def _descend(ids, share, y, h, languages, epochs, rate) -> Model:
