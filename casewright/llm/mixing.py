@@ -80,11 +80,11 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame
         x = F.col("size") / F.col("mean")
         rate = F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))
         token = F.col("n") * F.col("size")
-        terms = bins.join(state, "key").groupBy("key").agg(
+        kept = "key", "target", "mean", "tilt", "low", "high"
+        moved = bins.join(state, "key").groupBy(*kept).agg(
             F.sum((token * F.least(rate, F.lit(float(most)))).cast(EXACT)).cast("double").alias("taken"),
             F.sum(F.when(rate < most, token * x * rate).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"),
-        )
-        moved = state.join(terms, "key").withColumn("gap", F.col("taken") - F.col("target"))
+        ).withColumn("gap", F.col("taken") - F.col("target"))
         moved = moved.withColumn("low", F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high")))
         newton = F.col("tilt") - F.col("gap") / F.when(F.col("slope") > 0, F.col("slope"))
         inside = newton.isNotNull() & (newton > F.col("low")) & (newton < F.col("high"))
