@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from casewright.llm import embeddings, iblt, langid, licenses, lm, mixing, packing, quality, simhash, urls
+from casewright.llm import embeddings, exact, iblt, langid, licenses, lm, mixing, packing, quality, simhash, urls
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op8_fingerprints": iblt.op8_fingerprints,
         "op9_embeddings": embeddings.op9_embeddings,
         "op10_urls": urls.op10_urls,
+        "op11_exact": exact.op11_exact,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_urls": urls.ORACLE}
+    return {"op10_urls": urls.ORACLE, "op11_exact": exact.ORACLE}
