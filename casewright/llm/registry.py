@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from casewright.llm import embeddings, exact, iblt, langid, lexical, licenses, lm, mixing, packing, quality, simhash, urls
+from casewright.llm import embeddings, exact, iblt, langid, lexical, licenses, lm, mixing, packing, prefixtrie, quality, simhash, urls
 
 
 def queries() -> dict:
@@ -19,10 +19,11 @@ def queries() -> dict:
         "op9_embeddings": embeddings.op9_embeddings,
         "op10_urls": urls.op10_urls,
         "op11_exact": exact.op11_exact,
+        "op12_trie": prefixtrie.op12_trie,
         "op13_lexical": lexical.op13_lexical,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_urls": urls.ORACLE, "op11_exact": exact.ORACLE, "op13_lexical": lexical.ORACLE}
+    return {"op10_urls": urls.ORACLE, "op11_exact": exact.ORACLE, "op12_trie": prefixtrie.ORACLE, "op13_lexical": lexical.ORACLE}
