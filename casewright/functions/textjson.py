@@ -36,15 +36,22 @@ def strip_fence(text: Column, always: bool = False) -> Column:
     return bare if always else F.when(F.startswith(strip(text), F.lit("```")), bare).otherwise(strip(text))
 
 
+#: Text whose quotation marks pair up, with no apostrophe between strings, and in them no control character
+#: and no escape that JSON does not know.
+#: Possessive throughout, so it takes one pass and no stack however long the text.
+WELL_QUOTED = r"""(?s)\A[^"']*+(?:"[^"\\\x00-\x1f]*+(?:\\["\\/bfnrtu][^"\\\x00-\x1f]*+)*+"[^"']*+)*+\z"""
+
+
 def is_json(text: Column) -> Column:
     """One JSON value and nothing after it; duplicate keys pass.
 
-    The text is read as the first of two array elements whose second is the text's own hash: a text
+    The parser behind get_json_object takes single quotes and raw control characters for JSON, so
+    quotation is checked before. The text is read as the first of two array elements whose second is the text's own hash: a text
     that closes the array early, or brings elements of its own, cannot put that hash in its place.
     """
     mark = F.hex(F.xxhash64(text))
     pair = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
-    return F.coalesce(F.get_json_object(pair, "$[1]") == mark, F.lit(False))
+    return F.coalesce(F.rlike(text, F.lit(WELL_QUOTED)) & (F.get_json_object(pair, "$[1]") == mark), F.lit(False))
 
 
 def braces(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Queries that read, score and reward model answers, and their SQL.
 
 Answers are derived from the rule engine's own decisions: a hash of sample and exposure picks one
-of twenty-three forms (right, fenced, wrapped in prose, wrong, invalid in some way, stray brackets,
-no JSON at all).
+of twenty-five forms (right, fenced, wrapped in prose, wrong, invalid in some way, stray brackets,
+single quotes, a raw line end in a string, no JSON at all).
 The oracles know from the form what every score must be.
 """
 
@@ -20,7 +20,7 @@ from casewright.plans.facts import EXPOSURES, Duck, Spark, read, select_sql
 
 def _form(d) -> str:
     number = d.number("concat('answer|', cast(sample_id AS varchar(20)), '|', prompt_exposure)")
-    return f"CASE WHEN prompt_exposure = 'no_skill' AND {number} % 3 = 0 THEN 13 ELSE {number} % 23 END"
+    return f"CASE WHEN prompt_exposure = 'no_skill' AND {number} % 3 = 0 THEN 13 ELSE {number} % 25 END"
 
 
 ABLATIONS = ["original", "rule_deleted_full", "schema_deleted_full", "fact_mutation"]
@@ -65,6 +65,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 20, F.concat(right, F.lit("] x")))
         .when(form == 21, F.concat(right, F.lit("}")))
         .when(form == 22, F.concat(right, F.lit("],["), right))
+        .when(form == 23, F.translate(right, '"', "'"))
+        .when(form == 24, F.regexp_replace(right, '"explanation":"', '"explanation":"\n'))
         .otherwise(right)
     )
     tags = F.array_compact(F.array(F.lit("target_case"), F.when(F.col("user_claim") == "logistics_issue", "logistics_issue")))
@@ -131,8 +133,8 @@ def contract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events' properties read as JSON, most of them with something before or after."""
-    tails = {0: "concat(props, ' }')", 1: "concat('note ', props)", 2: "substr(props, 1, length(props) - 1)", 3: "concat(props, ' x')", 4: "concat(props, '] x')", 5: "concat(props, '],[', props)", 6: "concat(props, ', 1')", 7: "concat(props, '],[1')"}
-    text = F.expr(f"CASE event_id % 11 {' '.join(f'WHEN {k} THEN {t}' for k, t in tails.items())} ELSE props END")
+    tails = {0: "concat(props, ' }')", 1: "concat('note ', props)", 2: "substr(props, 1, length(props) - 1)", 3: "concat(props, ' x')", 4: "concat(props, '] x')", 5: "concat(props, '],[', props)", 6: "concat(props, ', 1')", 7: "concat(props, '],[1')", 8: "translate(props, '\"', '\\'')", 9: "concat('[\"a\tb\",', props, ']')"}
+    text = F.expr(f"CASE event_id % 13 {' '.join(f'WHEN {k} THEN {t}' for k, t in tails.items())} ELSE props END")
     rows = read(spark, sf_dir, "events").select("event_id", text.alias("text"))
     json = textjson.lenient(F.col("text"))
     return rows.select("event_id", json.isNotNull().alias("json_valid"), F.get_json_object(json, "$.k").try_cast("bigint").alias("k"))
@@ -191,11 +193,11 @@ def contract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_context_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long-context evaluation records of all samples: ids, number of tags, messages and noise lines."""
+    """Long-context evaluation records of all samples: ids, number of tags and messages, hash of the user's text."""
     rows = gold_samples(spark, sf_dir).withColumn("position", F.col("sample_id"))
     found = context.long_context_eval(rows, 0, 7, 9)
-    noise = F.size(F.filter(F.split(F.element_at("messages", -1)["content"], "\n"), lambda x: x.isin(context.NOISE)))
-    return found.select("sample_id", "prompt_exposure", "active_order_id", F.size("hard_tags").alias("tags"), F.size("messages").alias("messages"), noise.alias("noise"))
+    text = F.element_at("messages", -1)["content"]
+    return found.select("sample_id", "prompt_exposure", "active_order_id", F.size("hard_tags").alias("tags"), F.size("messages").alias("messages"), F.sha2(text, 256).alias("user_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (gold_lookup, contract_documents, long_context_eval, eval_by_exposure, retention_curve, ablation_groups, dependency_gaps, fact_mutation_accuracy, contract_errors, json_lenient, json_strict, code_f1, pair_consistency, reward_components, reward_rank)}
@@ -205,7 +207,7 @@ QUERIES = {f.__name__: f for f in (gold_lookup, contract_documents, long_context
 _gold = refund_sql(select_sql(facts.refund_orders, "orders"))
 _forms = f"""SELECT *, {_form(Duck)} AS form, {_ablation(Duck)} AS ablation_type FROM (SELECT * FROM ({_gold}) CROSS JOIN (VALUES ('full'), ('partial'), ('minimal'), ('no_skill')) v(prompt_exposure))"""
 SCORED = f"""SELECT *, CASE WHEN ablation_type = 'fact_mutation' THEN 'amount_raised' ELSE 'none' END AS mutation_type,
- (form NOT IN (18, 21, 22))::INT::DOUBLE AS s_json, (form <= 13 OR form IN (17, 20))::INT::DOUBLE AS s_schema, (form <= 12 OR form IN (17, 20))::INT::DOUBLE AS s_decision FROM ({_forms})"""
+ (form NOT IN (18, 21, 22, 23, 24))::INT::DOUBLE AS s_json, (form <= 13 OR form IN (17, 20))::INT::DOUBLE AS s_schema, (form <= 12 OR form IN (17, 20))::INT::DOUBLE AS s_decision FROM ({_forms})"""
 _METRICS = """count(*) AS n, round(avg(s_json), 6) AS json_valid_rate, round(avg(s_schema), 6) AS schema_valid_rate, round(avg(s_decision), 6) AS decision_accuracy,
  round(avg(s_schema), 6) AS risk_level_accuracy, round(avg(s_schema), 6) AS need_human_accuracy, round(avg(s_schema), 6) AS reason_code_f1, round(avg(s_decision + 4 * s_schema) / 5, 6) AS overall_score"""
 _overall = "avg(s_decision + 4 * s_schema) / 5"
@@ -224,9 +226,9 @@ _retention = " UNION ALL ".join(
 )
 
 # What an answer's fields hold, by form: its decision, whether they are there at all, and the human flag.
-_parsed = f"""SELECT *, form NOT IN (18, 19, 21, 22) AS object,
- CASE WHEN form IN (18, 19, 21, 22) THEN NULL WHEN form = 13 THEN CASE decision WHEN 'deny' THEN 'allow_refund' ELSE 'deny' END WHEN form = 14 THEN 'maybe' ELSE decision END AS p_decision,
- CASE WHEN form IN (16, 18, 19, 21, 22) THEN NULL ELSE need_human END AS p_human FROM ({SCORED})"""
+_parsed = f"""SELECT *, form NOT IN (18, 19, 21, 22, 23, 24) AS object,
+ CASE WHEN form IN (18, 19, 21, 22, 23, 24) THEN NULL WHEN form = 13 THEN CASE decision WHEN 'deny' THEN 'allow_refund' ELSE 'deny' END WHEN form = 14 THEN 'maybe' ELSE decision END AS p_decision,
+ CASE WHEN form IN (16, 18, 19, 21, 22, 23, 24) THEN NULL ELSE need_human END AS p_human FROM ({SCORED})"""
 _pairs = f"""SELECT l.sample_id, w, l.s_decision = 1 AS a_ok, r.s_decision = 1 AS b_ok,
  0.45 * (l.p_decision IS NOT DISTINCT FROM r.p_decision)::INT + 0.20 * (l.p_human IS NOT DISTINCT FROM r.p_human)::INT
  + 0.15 * (l.object = r.object)::INT + 0.20 * (l.object = r.object)::INT AS sim
@@ -248,13 +250,22 @@ _document = f"""to_json(struct_pack(active_order_id := 'C-ACTIVE-' || sample_id,
  task := 'refund_decision', user_risk_summary := struct_pack(refund_count_30d := refund_count_30d, risk_tags := list_filter([CASE WHEN order_amount >= 1000 THEN 'high_value_order' END,
   CASE WHEN refund_count_30d >= 3 THEN 'frequent_refund_user' END, CASE WHEN evidence_conflict THEN 'conflicting_evidence' END], lambda x: x IS NOT NULL), source := '{context.CONTRACT["user"]}')))"""
 
+_noise = [context.NOISE[k % len(context.NOISE)] for k in range(9)]
+
+
+def _drawn(name: str, n: int) -> str:
+    return f"floor(('0x' || substr(sha256('7|{name}|' || sample_id || '|' || prompt_exposure), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * {n})::BIGINT"
+
+
 ORACLES = {
     "gold_lookup": f"""SELECT o_orderkey AS row_index, CASE WHEN o_orderkey % 5 = 0 THEN 'row_' || o_orderkey ELSE o_orderkey::VARCHAR END AS sample_id, CASE WHEN o_orderkey % 5 > 1 THEN 'minimal' ELSE 'unknown' END AS prompt_exposure,
  g.decision, CASE WHEN g.decision IS NULL THEN '' WHEN g.user_claim = 'logistics_issue' THEN 'target_case|logistics_issue' ELSE 'target_case' END AS hard_tags
  FROM orders LEFT JOIN (SELECT sample_id AS k, decision, user_claim FROM ({_gold}) WHERE sample_id % 3 <> 0) g ON g.k = o_orderkey AND o_orderkey % 5 <> 0""",
     "contract_documents": f"SELECT sample_id, sha256({_document}) AS h FROM ({select_sql(facts.refund_orders, 'orders')})",
-    "long_context_eval": """SELECT o_orderkey AS sample_id, prompt_exposure, 'C-ACTIVE-' || o_orderkey AS active_order_id, 2 AS tags, CASE WHEN prompt_exposure = 'no_skill' THEN 1 ELSE 2 END AS messages, 9 AS noise
- FROM orders CROSS JOIN (VALUES ('full'), ('partial'), ('minimal'), ('no_skill')) v(prompt_exposure)""",
+    "long_context_eval": f"""SELECT sample_id, prompt_exposure, 'C-ACTIVE-' || sample_id AS active_order_id, 2 AS tags, CASE WHEN prompt_exposure = 'no_skill' THEN 1 ELSE 2 END AS messages,
+ sha256({_document} || chr(10) || chr(10) || array_to_string(list_transform(list_sort(list_transform({_noise!r}, lambda x: {{'h': sha256('7|' || sample_id || '|' || prompt_exposure || '|' || x), 'x': x}})), lambda s: s.x), chr(10))
+  || chr(10) || chr(10) || to_json(struct_pack(member_months := {_drawn('months', 120)}, reviews_written := {_drawn('reviews', 40)}, last_delivery := ({context.CITIES!r})[{_drawn('city', len(context.CITIES))} + 1]))) AS user_sha256
+ FROM ({select_sql(facts.refund_orders, 'orders')}) CROSS JOIN (VALUES ('full'), ('partial'), ('minimal'), ('no_skill')) v(prompt_exposure)""",
     "eval_by_exposure": f"SELECT prompt_exposure, {_METRICS} FROM ({SCORED}) GROUP BY prompt_exposure",
     "retention_curve": f'SELECT metric, round(f, 6) AS "full", round(z, 6) AS no_skill, round(f - z, 6) AS gap, CASE WHEN f = 0 THEN 0 ELSE round(z / f, 6) END AS retention FROM ({_retention})',
     "ablation_groups": f"SELECT {_key} AS group_key, {_METRICS} FROM ({SCORED}) GROUP BY 1",
@@ -262,9 +273,9 @@ ORACLES = {
  round({_group('s_schema', 'original/full/none')} - {_group('s_schema', 'schema_deleted_full/full/none')}, 6) AS schema_dependency_gap,
  round({_group(_o, 'original/full/none')} - {_group(_o, 'original/no_skill/none')}, 6) AS retention_gap FROM ({SCORED})""",
     "fact_mutation_accuracy": f"SELECT count(*) AS n, round(avg((form <= 12 OR form IN (15, 16, 17, 20))::INT), 6) AS accuracy FROM ({SCORED}) WHERE mutation_type <> 'none'",
-    "contract_errors": f"""SELECT CASE form WHEN 14 THEN 'invalid_decision' WHEN 15 THEN 'missing_fields' WHEN 16 THEN 'need_human_not_boolean' WHEN 18 THEN 'not_json' WHEN 21 THEN 'not_json' WHEN 22 THEN 'not_json' WHEN 19 THEN 'not_an_object' ELSE '' END AS errors,
+    "contract_errors": f"""SELECT CASE form WHEN 14 THEN 'invalid_decision' WHEN 15 THEN 'missing_fields' WHEN 16 THEN 'need_human_not_boolean' WHEN 18 THEN 'not_json' WHEN 21 THEN 'not_json' WHEN 22 THEN 'not_json' WHEN 23 THEN 'not_json' WHEN 24 THEN 'not_json' WHEN 19 THEN 'not_an_object' ELSE '' END AS errors,
  s_schema = 1 AS schema_valid, count(*) AS n FROM ({SCORED}) GROUP BY ALL""",
-    "json_lenient": """SELECT event_id, event_id % 11 NOT IN (0, 2, 5) AS json_valid, CASE WHEN event_id % 11 NOT IN (0, 2, 5) THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events""",
+    "json_lenient": """SELECT event_id, event_id % 13 NOT IN (0, 2, 5, 8) AS json_valid, CASE WHEN event_id % 13 NOT IN (0, 2, 5, 8) THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events""",
     "json_strict": f"SELECT prompt_exposure, count(*) FILTER (WHERE form < 10 OR form BETWEEN 13 AND 16) AS strict_objects, count(*) AS n FROM ({SCORED}) GROUP BY 1",
     "code_f1": f"""SELECT sample_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS f1 FROM (
  SELECT sample_id, list_distinct(reason_codes) AS a, list_distinct(CASE sample_id % 3 WHEN 0 THEN reason_codes[1:len(reason_codes) - 1] WHEN 1 THEN list_concat(reason_codes, ['extra', 'extra']) ELSE reason_codes END) AS b FROM ({_gold}))""",

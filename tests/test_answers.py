@@ -29,8 +29,8 @@ def test_strict_and_lenient_differ_on_duplicates(spark):
 
 
 def test_what_is_json(spark):
-    whole = ['{"a":1}', "[1, 2]", ' 3 ', '"]"', '{"a":"}],["}', "null"]
-    broken = ['{"a":1}] x', '{"a":1}],[{"b":2}', "1],[2", "1,2", "", "[", "]", '{"a":1}}', '{"a":1}, 1', '{"a":1},{"a":1}', '"a', "1]", '1,"x"]', None]
+    whole = ['{"a":1}', "[1, 2]", ' 3 ', '"]"', '{"a":"}],["}', "null", '["it\'s", "\\"\'"]', "[\n1,\t2 ]", '["' + "a\\n" * 20_000 + '"]', "[" + '"a",' * 20_000 + "1]"]
+    broken = ['{"a":1}] x', '{"a":1}],[{"b":2}', "1],[2", "1,2", "", "[", "]", '{"a":1}}', '{"a":1}, 1', '{"a":1},{"a":1}', '"a', "1]", '1,"x"]', None, "{'a':1}", "['a']", "'a'", '{"a":\'b\'}', '["a\nb"]', '["a\tb"]', '["a\x01b"]', '{"a\nb":1}', '["a\n","b"]', '["a\\\'b"]', '["\\\n"]']
     df = spark.createDataFrame([(t,) for t in whole + broken], "t string")
     got = df.select(textjson.is_json(F.col("t")).alias("j"), textjson.strict_object(F.col("t")).alias("s")).collect()
     assert [r["j"] for r in got] == [True] * len(whole) + [False] * len(broken)
