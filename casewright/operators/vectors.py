@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.operators import quantiles
+
 BUCKET_FACTOR, SIGN_FACTOR = 1103515245, 214013
 
 
@@ -52,9 +54,16 @@ def count_sketch(vectors: DataFrame, key: str, vector: str, size: int, salt: int
 
 
 def finite_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """count, mean, median, min, max and share of positives of the finite values; null where there are none."""
+    """count, mean, median, min, max and share of positives of the finite values; null where there are none. The
+    median is exact, and no group's values are held together for it."""
     v = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value))
-    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg((v > 0).cast("double")).alias("positive"))
+    stats = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg((v > 0).cast("double")).alias("positive"))
+    middle = quantiles.medians(df.withColumn("_finite", v), "_finite", *keys).toDF(*(f"_m{i}" for i in range(len(keys))), "median")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_m{i}"))
+    out = stats.join(middle, same, "left") if keys else stats.join(F.broadcast(middle), F.lit(True), "left")
+    return out.select(*keys, "n", "mean", "median", "low", "high", "positive")
 
 
 def flatten_metrics(df: DataFrame, matrix: str, left: str) -> DataFrame:
