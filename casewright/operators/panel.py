@@ -6,13 +6,14 @@ same within a skill, skills the same in the total.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.operators.bootstrap import case_bootstrap
 from casewright.operators.layout import hash_key
 
 RANDOM, STAGED = "random_mix_order", "staged_order"
@@ -134,7 +135,9 @@ def poisson_bootstrap(values: DataFrame, draws: int, seed: str, cluster: str) ->
     """(draw, mean): the mean over skills of a resample of each skill's clusters, for any number of them.
 
     values is (skill, cluster, delta), one row a cluster. A draw takes each cluster a Poisson number
-    of times, as resampling with replacement does in the limit of many clusters; every partition
+    of times, as resampling with replacement does in the limit of many clusters, so its number of
+    clusters varies by its root from draw to draw; bootstrap.case_bootstrap takes exactly as many as there
+    are, at about four times the cost. This one can be stated in SQL. Every partition
     adds up one vector of draws a skill, so no row a draw and cluster is made. A draw without any
     cluster of a skill takes that skill's plain mean.
     """
@@ -204,7 +207,7 @@ def _coefficients(conditions: Sequence[str], components: Sequence[Sequence[str]]
     return [sign * share[c] for c in conditions for sign in (-1, 1)]
 
 
-def decision(panel: DataFrame, conditions: Sequence[str], constructs: Sequence[Sequence[Sequence[str]]], draws: int, seed: str, per_endpoint: float, per_condition: float, flag: str = "ok") -> DataFrame:
+def decision(panel: DataFrame, conditions: Sequence[str], constructs: Sequence[Sequence[Sequence[str]]], draws: int, seed: str, per_endpoint: float, per_condition: float, flag: str = "ok", case_bootstrap: Callable = case_bootstrap) -> DataFrame:
     """The ladder's row. Scores are linear in the cells, so the means of all cells by skill give every
     effect, and one sum a case gives the deltas of both bootstraps. A panel with a case whose cells are
     not complete and unique, or of several families, is DATA_INVALID."""
@@ -236,7 +239,7 @@ def decision(panel: DataFrame, conditions: Sequence[str], constructs: Sequence[S
     cases = rows.groupBy("skill", "case").agg(F.sum(weight * F.col("value")).alias("delta"), F.max("family").alias("family"), ((F.count("*") == n) & (seen == (1 << n) - 1) & (F.count("value") == n) & F.min("family").eqNullSafe(F.max("family"))).alias("complete"))
     families = cases.groupBy("skill", "family").agg(F.avg("delta").alias("delta"), F.bool_and("complete").alias("complete"))
     valid = families.agg(F.coalesce(F.bool_and("complete"), F.lit(False)).alias("data_valid"))
-    by_case = interval(poisson_bootstrap(cases.where("delta IS NOT NULL"), draws, seed, "case"), draws).select(F.col("ci95_lower").alias("case_lower"))
+    by_case = interval(case_bootstrap(cases.where("delta IS NOT NULL").select("skill", "case", "delta"), draws, seed, "case"), draws).select(F.col("ci95_lower").alias("case_lower"))
     by_family = interval(cluster_bootstrap(families.where("delta IS NOT NULL"), draws, seed, "family"), draws).select(F.col("ci95_lower").alias("family_lower"))
     return row.crossJoin(valid).crossJoin(by_case).crossJoin(by_family).withColumn("state", _state())
 

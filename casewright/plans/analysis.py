@@ -9,6 +9,7 @@ from casewright.functions import textjson
 from casewright.operators import layout
 from casewright.operators import panel as P
 from casewright.operators import vectors as V
+from casewright.operators.bootstrap import case_bootstrap
 
 ROBUST = ["no_system", "irrelevant", "paraphrase_a", "paraphrase_b"]
 CONSTRUCTS = {"no_system": [["no_system"]], "irrelevant": [["irrelevant"]], "paraphrase": [["paraphrase_a", "paraphrase_b"]]}
@@ -41,7 +42,7 @@ def analyse(panel: DataFrame, draws: int = 10_000, per_endpoint: float = 0.95, p
     primary, canonical = P.effects(cases), P.effects(P.by_case(panel, [["full"]]))
     signed = F.sum(F.when(F.col("endpoint") == P.STAGED, F.col("score")).otherwise(-F.col("score"))).alias("delta")
     deltas = cases.groupBy("skill", "case").agg(signed).join(panel.groupBy("skill", "case").agg(F.max_by("family", "condition").alias("family")), ["skill", "case"])
-    by_case = P.interval(P.poisson_bootstrap(deltas.select("skill", "case", "delta"), draws, seed, "case"), draws)
+    by_case = P.interval(case_bootstrap(deltas.select("skill", "case", "delta"), draws, seed, "case"), draws)
     by_family = P.interval(P.cluster_bootstrap(deltas.groupBy("skill", "family").agg(F.avg("delta").alias("delta")), draws, seed, "family"), draws)
     constructs = None
     for name, parts in CONSTRUCTS.items():

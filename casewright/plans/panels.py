@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.operators import panel as P
 from casewright.operators import vectors as V
+from casewright.operators.bootstrap import case_bootstrap
 from casewright.plans.facts import Duck, Spark, read
 
 CONDITIONS = P.CONDITIONS
@@ -73,6 +74,13 @@ def bootstrap_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(P.interval(draws, DRAWS))
 
 
+def bootstrap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case bootstrap of 10,000 draws, each of exactly as many cases as there are. Its random numbers have no SQL form;
+    a test holds it to a version that splits all draws in one process."""
+    draws = case_bootstrap(_case_deltas(spark, sf_dir).select("skill", "case", "delta"), 10_000, "boot", "case")
+    return _rounded(P.interval(draws, 10_000))
+
+
 def bootstrap_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = _case_deltas(spark, sf_dir).groupBy("skill", "family").agg(F.avg("delta").alias("delta"))
     return _rounded(P.interval(P.cluster_bootstrap(means, DRAWS, "boot", "family"), DRAWS))
@@ -80,7 +88,7 @@ def bootstrap_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decision_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision about a panel, its bounds and its parts; a construct is each of the robust conditions."""
-    row = P.decision(panel(spark, sf_dir), CONDITIONS, [[[c]] for c in ROBUST], DRAWS, "boot", 0.5, 0.5)
+    row = P.decision(panel(spark, sf_dir), CONDITIONS, [[[c]] for c in ROBUST], DRAWS, "boot", 0.5, 0.5, case_bootstrap=P.poisson_bootstrap)
     return _rounded(row.select("state", "macro", "low", "high", F.col("gains").cast("long"), F.col("losses").cast("long"), "c_macro", "minimal_delta", "no_skill_delta", "case_lower", "family_lower", "guards_pass", "data_valid"))
 
 
@@ -131,7 +139,7 @@ def context_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(V.finite_stats(both.withColumn("d", F.col("a") - F.col("b")), "d", "label"), 5)
 
 
-QUERIES = {f.__name__: f for f in (macro_effect, grouped_effects, mcnemar, mcnemar_holm, validity_guards, bootstrap_case, bootstrap_family, decision_ladder, panel_gates, vector_gram, vector_centered, vector_norms, count_sketch, vector_groups, context_delta)}
+QUERIES = {f.__name__: f for f in (macro_effect, grouped_effects, mcnemar, mcnemar_holm, validity_guards, bootstrap_case, bootstrap_exact, bootstrap_family, decision_ladder, panel_gates, vector_gram, vector_centered, vector_norms, count_sketch, vector_groups, context_delta)}
 
 _panel = f"""SELECT *, ok::INT::DOUBLE AS value FROM (SELECT *, {_right(Duck)} AS ok FROM (SELECT o_orderstatus AS skill, o_orderkey AS "case", o_orderpriority AS family FROM orders)
  CROSS JOIN (VALUES {', '.join(f"('{c}')" for c in CONDITIONS)}) c(condition) CROSS JOIN (VALUES ('random_mix_order'), ('staged_order')) e(endpoint))"""
