@@ -119,3 +119,27 @@ SECRETS = {
 
 def secret_counts(text: Column, patterns: dict[str, str]) -> list[Column]:
     return [F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).cast("long").alias(name) for name, p in patterns.items()]
+
+
+def match_lines(text: Column, pattern: str) -> Column:
+    """Line (from 1) at which each match of a pattern in a text begins, in order; several on one line are told each.
+
+    A text falls into what lies between the matches and the matches themselves; line ends of both are added up
+    once. The pattern matches no empty text.
+    """
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    ends = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n")))
+    steps = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(found)), ends).alias("b"), F.transform(found, ends).alias("m"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines"))
+    step = lambda s, x: F.struct((s["at"] + x["b"] + x["m"]).alias("at"), F.concat(s["lines"], F.array(s["at"] + x["b"])).alias("lines"))
+    return F.aggregate(steps, start, step)["lines"]
+
+
+def secret_places(text: Column, patterns: dict[str, str]) -> Column:
+    """Array of (finding, line) of all matches of all patterns."""
+
+    def places(name: str, pattern: str) -> Column:
+        return F.transform(match_lines(text, pattern), lambda n: F.struct(F.lit(name).alias("finding"), n.alias("line")))
+
+    each = [places(name, p) for name, p in patterns.items()]
+    return F.coalesce(F.concat(*each), F.array().cast("array<struct<finding: string, line: int>>"))

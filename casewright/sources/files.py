@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.functions.messages import SECRETS
+from casewright.functions.messages import SECRETS, secret_places
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,13 +47,55 @@ def parse_tagged(argument: str) -> tuple[str, str]:
     return (name, path) if sep else (argument.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0], argument)
 
 
-def read_checkpoints(spark: SparkSession, root: str, expected: Mapping[str, int], schema: str) -> DataFrame:
-    """root/<id>/per_case_metrics.jsonl of every expected checkpoint; raises if a count differs."""
-    out = read_tagged(spark, {k: f"{root}/{k}/per_case_metrics.jsonl" for k in expected}, schema, "checkpoint_id")
-    counts = {r["checkpoint_id"]: r["count"] for r in out.groupBy("checkpoint_id").count().collect()}
-    if wrong := {k: (n, counts.get(k, 0)) for k, n in expected.items() if counts.get(k, 0) != n}:
-        raise ValueError(f"records expected and found: {wrong}")
-    return out
+#: The folder that a file lies in, from its path.
+FOLDER = r"([^/]+)/[^/]+$"
+
+
+def checkpoint_runs(spark: SparkSession, root: str, schema: str, metrics: str = "per_case_metrics.jsonl") -> DataFrame:
+    """Rows of root/*/metrics with folder, all in one scan; schema may name checkpoint_id."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root}/*/{metrics}")
+    return rows.withColumn("folder", F.regexp_extract("_metadata.file_path", FOLDER, 1))
+
+
+def checkpoint_summaries(spark: SparkSession, root: str, name: str = "aggregate_summary.json") -> DataFrame:
+    """(folder, status, record_count) of root/*/name, all in one scan; null where a document lacks them."""
+    texts = spark.read.text(f"{root}/*/{name}", wholetext=True)
+    read = F.try_parse_json("value")
+    status, count = F.try_variant_get(read, "$.status", "string"), F.try_variant_get(read, "$.record_count", "bigint")
+    return texts.select(F.regexp_extract("_metadata.file_path", FOLDER, 1).alias("folder"), status.alias("status"), count.alias("record_count"))
+
+
+def checkpoint_errors(runs: DataFrame, summaries: DataFrame, expected: DataFrame, exposures: int) -> DataFrame:
+    """(checkpoint_id, problem) of checkpoints that must not be read; expected is (checkpoint_id, records).
+
+    A checkpoint needs a summary with status pass and its number of records, one row for every exposures
+    records, and no row that names another checkpoint. Folders that nobody expects are left alone.
+    """
+    named = F.col("checkpoint_id").cast("string") if "checkpoint_id" in runs.columns else F.lit(None).cast("string")
+    counts = runs.groupBy(F.col("folder").alias("r_folder")).agg(F.count("*").alias("rows"), F.count_if(named != F.col("folder")).alias("strangers"))
+    told = summaries.groupBy(F.col("folder").alias("s_folder")).agg(F.max("status").alias("status"), F.max("record_count").alias("record_count"))
+    both = expected.join(told, F.col("checkpoint_id") == F.col("s_folder"), "left").join(counts, F.col("checkpoint_id") == F.col("r_folder"), "left")
+    problems = F.array_compact(F.array(
+        F.when(F.col("s_folder").isNull(), "no summary"),
+        F.when(F.col("s_folder").isNotNull() & ~F.col("status").eqNullSafe(F.lit("pass")), "did not pass"),
+        F.when(F.col("s_folder").isNotNull() & (F.coalesce("record_count", F.lit(0)) != F.col("records")), "incomplete records"),
+        F.when(F.coalesce("rows", F.lit(0)) * exposures != F.col("records"), "incomplete rows"),
+        F.when(F.coalesce("strangers", F.lit(0)) > 0, "rows of another checkpoint"),
+    ))
+    return both.select("checkpoint_id", F.explode(problems).alias("problem"))
+
+
+def read_checkpoints(spark: SparkSession, root: str, expected: Mapping[str, int], schema: str, exposures: int = 1, summaries: bool = False) -> DataFrame:
+    """Rows of all expected checkpoints (id and number of records) with their checkpoint_id; raises if any is not as
+    it should be. summaries: whether each must have passed by its own summary. Two scans, however many
+    checkpoints there are."""
+    wanted = spark.createDataFrame(list(expected.items()), "checkpoint_id string, records long")
+    runs = checkpoint_runs(spark, root, schema)
+    told = checkpoint_summaries(spark, root) if summaries else wanted.select(F.col("checkpoint_id").alias("folder"), F.lit("pass").alias("status"), F.col("records").alias("record_count"))
+    if wrong := checkpoint_errors(runs, told, wanted, exposures).orderBy("checkpoint_id", "problem").limit(20).collect():
+        raise ValueError(f"checkpoints cannot be used: {[tuple(r) for r in wrong]}")
+    kept = runs.join(F.broadcast(wanted.select(F.col("checkpoint_id").alias("folder"))), "folder")
+    return kept.withColumn("checkpoint_id", F.col("folder")).drop("folder")
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
@@ -107,10 +149,31 @@ def file_hashes(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark, root).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def scan_release(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py", ".md", ".json", ".jsonl", ".toml", ".sh", ".txt"), most_bytes: int = 50 << 20) -> DataFrame:
-    """(path, line, finding): secrets by line in text files, and files that are too large."""
-    kept = _files(spark, root).where(" OR ".join(f"path LIKE '%{s}'" for s in suffixes))
-    large = kept.where(F.col("length") > most_bytes).select("path", F.lit(0).alias("line"), F.lit("too_large").alias("finding"))
-    lines = kept.where(F.col("length") <= most_bytes).select("path", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("i", "text"))
-    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), name) for name, p in SECRETS.items())))
-    return lines.select("path", (F.col("i") + 1).alias("line"), F.explode(found).alias("finding")).unionByName(large)
+#: Suffixes of text files, suffixes of files that may be pointers to others, and their size.
+TEXT = (".py", ".md", ".json", ".jsonl", ".sh", ".toml", ".yml", ".yaml", ".env", ".txt")
+POINTERS, POINTER_BYTES = (".bin", ".safetensors", ".pt", ".pth"), 200
+
+
+def scan_release(spark: SparkSession, root: str, suffixes: tuple[str, ...] = TEXT, most_bytes: int = 50 << 20, skip: str = ".git") -> DataFrame:
+    """(path, line, finding): every secret in the text files below a folder by the line where it begins, files that
+    are too large and pointer files (line 0).
+
+    Size comes first: a large file is told whatever its suffix, and its content is never read, as the size test
+    is pushed to the source. Then the suffix, then whether the content is UTF-8. Nothing below a folder of the
+    name skip is looked at.
+    """
+    every = _files(spark, root).where(~F.contains("path", F.lit(f"/{skip}/")))
+    suffix = F.lower(F.regexp_extract("path", r"[^/.][^/]*([.][^/.]*)$", 1))
+    large = every.where(F.col("length") > most_bytes).select("path", F.lit(0).alias("line"), F.lit("too_large").alias("finding"))
+    pointers = every.where((F.col("length") < POINTER_BYTES) & suffix.isin(list(POINTERS))).select("path", F.lit(0).alias("line"), F.lit("pointer").alias("finding"))
+    texts = every.where(suffix.isin(list(suffixes)) & (F.col("length") <= most_bytes)).select("path", F.col("content").cast("string").alias("text")).where(F.is_valid_utf8("text"))
+    found = texts.select("path", F.explode(secret_places(F.col("text"), SECRETS)).alias("f")).select("path", F.col("f.line").alias("line"), F.col("f.finding").alias("finding"))
+    return found.union(large).union(pointers)
+
+
+def scan_status(findings: DataFrame) -> DataFrame:
+    """One row: numbers of findings by kind, and whether the release passes or is to be looked at."""
+    n = {name: F.count_if(F.col("finding") == name).alias(name) for name in [*SECRETS, "too_large", "pointer"]}
+    row = findings.agg(*n.values())
+    bad = sum((F.col(name) for name in [*SECRETS, "too_large"][1:]), F.col(next(iter(SECRETS))))
+    return row.withColumn("status", F.when(bad == 0, "pass").otherwise("review_required"))
