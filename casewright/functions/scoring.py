@@ -59,6 +59,11 @@ def score_answers(df: DataFrame) -> DataFrame:
     })
 
 
+def last_known(lookup: DataFrame) -> DataFrame:
+    """(sample_id, known): gold and tags of the last row (by position) of each sample_id."""
+    return lookup.groupBy("sample_id").agg(F.max_by(F.struct("gold", "hard_tags"), "position").alias("known"))
+
+
 def with_gold(completions: DataFrame, lookup: DataFrame) -> DataFrame:
     """Completions (row_index, prompt, and, where they are known, sample_id, prompt_exposure, gold, hard_tags) with
     all of these filled in.
@@ -67,13 +72,24 @@ def with_gold(completions: DataFrame, lookup: DataFrame) -> DataFrame:
     then from the lookup (sample_id, position, gold, hard_tags), whose last row of a sample_id counts.
     Without any id a row is a sample of its own; without gold it stays null, tags are none, exposure unknown.
     """
+    return with_known(completions, last_known(lookup))
+
+
+def with_known(completions: DataFrame, known: DataFrame) -> DataFrame:
+    """As with_gold, from what last_known() gave: completions may be a stream then, as known is a static table."""
     named = messages.prompt_metadata(F.col("prompt"))
     sample = F.coalesce(F.col("sample_id"), named["sample_id"], F.concat(F.lit("row_"), F.col("row_index").cast("string")))
     rows = completions.withColumns({"sample_id": sample, "prompt_exposure": F.coalesce(F.col("prompt_exposure"), named["prompt_exposure"], F.lit("unknown"))})
-    known = lookup.groupBy("sample_id").agg(F.max_by(F.struct("gold", "hard_tags"), "position").alias("_known"))
     both = rows.join(known, "sample_id", "left")
-    tags = F.coalesce(F.col("hard_tags"), F.col("_known.hard_tags"), F.array().cast("array<string>"))
-    return both.withColumns({"gold": F.coalesce(F.col("gold"), F.col("_known.gold")), "hard_tags": tags}).drop("_known")
+    tags = F.coalesce(F.col("hard_tags"), F.col("known.hard_tags"), F.array().cast("array<string>"))
+    return both.withColumns({"gold": F.coalesce(F.col("gold"), F.col("known.gold")), "hard_tags": tags}).drop("known")
+
+
+def online_rewards(rows: DataFrame) -> DataFrame:
+    """Rewards of one batch of completions with gold, as a trainer asks for them: consistency is between the answers
+    of this batch, the last one (by row_index) of a sample and exposure."""
+    read = read_answers(rows.withColumn("position", F.col("row_index")), "online")
+    return rewards(score_answers(read), "online")
 
 
 METRICS = {"json_valid_rate": "s_json", "schema_valid_rate": "s_schema", "decision_accuracy": "s_decision", "risk_level_accuracy": "s_risk", "need_human_accuracy": "s_human", "reason_code_f1": "s_f1"}
@@ -153,3 +169,33 @@ def rewards(df: DataFrame, mode: str = "offline") -> DataFrame:
     for name, weight in WEIGHTS.items():
         total += weight * F.col(name)
     return out.withColumn("total_reward", total)
+
+
+def reward_summary(done: DataFrame, model: str = "model") -> DataFrame:
+    """One row a model and one a model and exposure (null exposure: all) from rewards(): number of records and the
+    means of all components over records; for a whole model also the number of groups (samples), the mean of
+    consistency over groups and the groups with a pair of wrong but alike answers.
+
+    Both grains come from one pass: a sample's first row stands for the group. A sample_id belongs to one model.
+    """
+    first = F.row_number().over(Window.partitionBy("sample_id").orderBy("position", "prompt_exposure")) == 1
+    rows = done.withColumn("_first", first)
+    keys = [F.col(model), F.col("prompt_exposure")]
+    whole = F.grouping("prompt_exposure") == 1
+    means = [F.avg(c).alias(c) for c in [*WEIGHTS, "total_reward"]]
+    group = {
+        "groups": F.count_if("_first"), "group_consistency": F.avg(F.when(F.col("_first"), F.col("exposure_consistency_reward"))),
+        "wrong_high_similarity_groups": F.count_if(F.col("_first") & (F.col("wrong_high_similarity_pairs") > 0)),
+    }
+    out = rows.groupingSets([[keys[0]], keys], *keys).agg(F.count("*").alias("records"), *means, *(c.alias(n) for n, c in group.items()), whole.alias("_whole"))
+    return out.select(model, "prompt_exposure", "records", *WEIGHTS, "total_reward", *(F.when(F.col("_whole"), F.col(n)).alias(n) for n in group))
+
+
+def order_gate(summary: DataFrame, expected: list[str], model: str = "model") -> DataFrame:
+    """One row (ranking, passed): models by mean total reward, best first (ties by name), and whether the expected ones
+    are all there and stand in that order; others may stand between them. Models are few."""
+    means = summary.where("prompt_exposure IS NULL").select(model, "total_reward")
+    best = F.array_sort(F.collect_list(F.struct((-F.col("total_reward")).alias("t"), F.col(model).alias("m"))))
+    row = means.agg(F.transform(best, lambda x: x["m"]).alias("ranking"))
+    wanted = F.array(*map(F.lit, expected))
+    return row.withColumn("passed", F.filter("ranking", lambda m: F.array_contains(wanted, m)) == wanted)

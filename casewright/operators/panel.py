@@ -100,6 +100,16 @@ def validity(panel: DataFrame, flag: str, per_endpoint: float, per_condition: fl
     return cube.withColumn("passed", passed).drop("_g")
 
 
+def validity_report(cells: DataFrame, per_endpoint: float, per_condition: float) -> DataFrame:
+    """One row from validity(): whether all cells pass, the lowest rates of both grains and how many cells fail."""
+    fine = F.col("condition").isNotNull()
+    low = lambda test: F.min(F.when(test, F.col("rate")))
+    return cells.agg(
+        F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"), F.lit(per_endpoint).alias("endpoint_threshold"), F.lit(per_condition).alias("condition_threshold"),
+        low(~fine).alias("least_endpoint_rate"), low(fine).alias("least_condition_rate"), F.count_if(~fine & ~F.col("passed")).alias("failed_endpoints"), F.count_if(fine & ~F.col("passed")).alias("failed_conditions"),
+    )
+
+
 def cluster_bootstrap(values: DataFrame, draws: int, seed: str, cluster: str) -> DataFrame:
     """(draw, mean): the mean over skills of a resample of each skill's clusters.
 

@@ -237,7 +237,7 @@ _pairs = f"""SELECT l.sample_id, w, l.s_decision = 1 AS a_ok, r.s_decision = 1 A
 CONSISTENCY = f"""SELECT sample_id, count(*) AS available_pairs,
  sum(w * CASE WHEN a_ok AND b_ok THEN sim WHEN a_ok OR b_ok THEN 0.25 * sim WHEN sim > 0.9 THEN -0.1 ELSE 0 END) / sum(w) AS reward,
  count(*) FILTER (WHERE NOT a_ok AND NOT b_ok AND sim > 0.9) AS wrong FROM ({_pairs}) GROUP BY sample_id"""
-_rewards = f"""SELECT prompt_exposure, s_decision AS decision_reward, s_schema AS need_human_reward, s_schema AS risk_level_reward, s_schema AS reason_code_reward, s_schema AS schema_reward,
+_rewards = f"""SELECT sample_id, c.wrong, prompt_exposure, s_decision AS decision_reward, s_schema AS need_human_reward, s_schema AS risk_level_reward, s_schema AS reason_code_reward, s_schema AS schema_reward,
  c.reward AS exposure_consistency_reward,
  (s_decision = 1 AND (need_human OR user_claim = 'logistics_issue' OR list_has_any(reason_codes, {scoring.HARD_CODES!r})))::INT::DOUBLE AS hard_case_bonus,
  0.0::DOUBLE AS false_manual_review_penalty FROM ({SCORED}) s JOIN ({CONSISTENCY}) c USING (sample_id)"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casewright.plans import answers, audits, decisions, gating, layouts, panels, texts
+from casewright.plans import answers, audits, decisions, gating, layouts, panels, rewarding, texts
 
-FAMILIES = [decisions, answers, layouts, panels, texts, audits, gating]
+FAMILIES = [decisions, answers, layouts, panels, texts, audits, gating, rewarding]
 
 
 def queries() -> dict:

@@ -81,3 +81,50 @@ def test_stream(spark, tmp_path):
     streaming.write_rewards(answers, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 2 and out.where("exposure_consistency_reward = 1").count() == 2
+
+
+def test_stream_with_lookup(spark, tmp_path):
+    """Bare completions joined with the lookup's last rows; consistency within the micro-batch only."""
+    import json
+
+    from casewright.functions import messages
+
+    wrong = RIGHT.replace('"deny"', '"allow_refund"')
+    prompts = [("s1", "full", RIGHT), ("s1", "partial", RIGHT), ("s2", "full", wrong), ("s2", "partial", wrong), ("s3", "full", RIGHT), (None, None, RIGHT), ("s1", "minimal", RIGHT)]
+    rows = [{"row_index": k, "prompt": f"sample_id: {s}\nprompt_exposure: {e}" if s else "hello", "prediction": p} for k, (s, e, p) in enumerate(prompts)]
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text("\n".join(map(json.dumps, rows[:6])))
+    (source / "b.json").write_text(json.dumps(rows[6]))
+    gold = lambda d: (d, "low", False, ["logistics_issue"])
+    lookup = spark.createDataFrame([("s1", 0, gold("allow_refund"), ["old"]), ("s1", 1, gold("deny"), ["tag"]), ("s2", 0, gold("deny"), [])], f"sample_id string, position int, gold {scoring.CORE}, hard_tags array<string>")
+    completions = streaming.read_completions(spark, str(source), 1)
+    streaming.write_online_rewards(completions, lookup, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {r["row_index"]: r for r in spark.read.parquet(str(tmp_path / "out" / "rewards")).collect()}
+    assert len(got) == 7 and got[5]["sample_id"] == "row_5" and got[5]["prompt_exposure"] == "unknown"
+    assert got[0]["decision_reward"] == got[0]["hard_case_bonus"] == got[0]["exposure_consistency_reward"] == 1.0 and abs(got[0]["total_reward"] - 1.0) < 1e-12
+    assert abs(got[2]["exposure_consistency_reward"] + 0.1) < 1e-12 and got[2]["decision_reward"] == 0.0
+    assert got[4]["decision_reward"] == got[4]["exposure_consistency_reward"] == 0.0 and got[4]["schema_reward"] == 1.0
+    assert got[6]["decision_reward"] == 1.0 and got[6]["exposure_consistency_reward"] == 0.0
+    whole = spark.createDataFrame([(r["row_index"], r["prompt"], r["prediction"]) for r in rows], "row_index long, prompt string, prediction string").selectExpr("*", "null::string sample_id", "null::string prompt_exposure", "null::array<string> hard_tags", f"null::{scoring.CORE.replace('struct', 'STRUCT')} gold")
+    together = {r["row_index"]: r for r in scoring.online_rewards(scoring.with_gold(whole, lookup)).collect()}
+    assert together[6]["exposure_consistency_reward"] == 1.0 and all(together[k]["total_reward"] == got[k]["total_reward"] for k in (2, 3, 4, 5))
+    texts = spark.createDataFrame([("a\nsk-x",), ("",), (None,)], "t string").select(messages.match_lines(F.col("t"), "sk-")).collect()
+    assert [r[0] for r in texts] == [[2], [], None]
+
+
+def test_reward_summary_and_order(spark):
+    models = {"a": ["s1", "s2"], "b": ["s3"]}
+    rows = []
+    for model, samples in models.items():
+        for s in samples:
+            text = RIGHT if s != "s2" else RIGHT.replace('"deny"', '"allow_refund"')
+            rows += [(model, s, e, i, [], text, GOLD) for i, e in enumerate(["full", "partial"])]
+    df = spark.createDataFrame(rows, f"model string, sample_id string, prompt_exposure string, position int, hard_tags array<string>, prediction string, gold {scoring.CORE}")
+    found = scoring.reward_summary(scoring.rewards(scoring.score_answers(scoring.read_answers(df)))).cache()
+    got = {(r["model"], r["prompt_exposure"]): r for r in found.collect()}
+    assert len(got) == 6 and got["a", None]["records"] == 4 and got["a", None]["groups"] == 2 and got["a", "full"]["groups"] is None
+    assert got["a", None]["wrong_high_similarity_groups"] == 1 and abs(got["a", None]["group_consistency"] - 0.45) < 1e-12 and got["b", None]["group_consistency"] == 1.0
+    assert got["a", "full"]["decision_reward"] == 0.5
+    for wanted, passed in ((["b", "a"], True), (["a", "b"], False), (["b"], True), (["b", "c"], False)):
+        assert scoring.order_gate(found, wanted).first()[:] == (["b", "a"], passed)
