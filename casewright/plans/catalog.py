@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casewright.plans import answers, audits, decisions, gating, layouts, panels, rewarding, texts
+from casewright.plans import answers, audits, decisions, gating, layouts, locking, panels, rewarding, texts
 
-FAMILIES = [decisions, answers, layouts, panels, texts, audits, gating, rewarding]
+FAMILIES = [decisions, answers, layouts, panels, texts, audits, gating, rewarding, locking]
 
 
 def queries() -> dict:
