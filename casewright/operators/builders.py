@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import messages as M
-from casewright.operators import layout, rules
+from casewright.operators import layout, requests, rules
 
 EXPOSURES = ["full", "partial", "minimal", "no_skill"]
 #: Parts of the full system text.
@@ -48,28 +48,19 @@ def _picked(values: Sequence, draw: Column) -> Column:
 def generate_samples(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """n samples of the first refund engine: facts drawn by hash, decided, with request text.
 
-    Every tenth sample is a difficult one: conflicting evidence, a used item claimed unused, a
-    high amount, or a quality issue without evidence, in turn.
+    The first seventeen are the difficult cases: goods that are not taken back, a late claim, faults with and without
+    evidence, high amounts, frequent refunds, a used item claimed unused, and so on.
     """
     u = lambda name: layout.unit(str(seed), name, F.col("position"))
-    rows = spark.range(1, n + 1).withColumnRenamed("id", "position")
-    kind = F.when(F.col("position") % 10 == 0, (F.floor(F.col("position") / 10) % 4).cast("int")).otherwise(-1)
-    rows = rows.withColumn("_k", kind).withColumn("product_type", _picked(PRODUCTS, u("product")))
-    claim = F.when(F.col("_k") == 1, "claims_unused_but_used").when(F.col("_k") == 3, "quality_issue").otherwise(_picked(CLAIMS[:6], u("claim")))
-    rows = rows.withColumn("user_claim", claim)
+    rows = spark.range(1, n + 1).withColumnRenamed("id", "position").withColumn("product_type", _picked(PRODUCTS, u("product"))).withColumn("user_claim", _picked(CLAIMS[:6], u("claim")))
     rows = rows.withColumns({
-        "days_since_delivery": F.floor(u("days") * 19).cast("int"), "is_used": (u("used") < 0.25) | (F.col("_k") == 1),
-        "is_resellable": u("sell") < 0.8, "has_quality_issue": F.col("user_claim") == "quality_issue",
-        "has_evidence": (u("evidence") < 0.6) & (F.col("_k") != 3),
-        "order_amount": F.when(F.col("_k") == 2, 2499).otherwise(_picked(AMOUNTS[:5], u("amount"))).cast("int"),
-        "refund_count_30d": F.floor(u("count") * 4).cast("int"), "order_status": F.lit("delivered"),
+        "days_since_delivery": F.floor(u("days") * 19).cast("int"), "is_used": u("used") < 0.25, "is_resellable": u("sell") < 0.8, "has_quality_issue": F.col("user_claim") == "quality_issue", "has_evidence": u("evidence") < 0.6,
+        "order_amount": _picked(AMOUNTS, u("amount")).cast("int"), "refund_count_30d": F.floor(u("count") * 4).cast("int"), "order_status": F.lit("delivered"),
         "is_customized": F.col("product_type") == "customized", "is_virtual": F.col("product_type") == "virtual", "is_fresh": F.col("product_type") == "fresh",
-        "seller_fault": (F.col("user_claim") == "logistics_issue") & (u("fault") < 0.5), "logistics_issue": F.col("user_claim") == "logistics_issue",
-        "evidence_conflict": F.col("_k") == 0, "order_info_conflict": F.lit(False),
+        "seller_fault": (F.col("user_claim") == "logistics_issue") & (u("fault") < 0.5), "logistics_issue": F.col("user_claim") == "logistics_issue", "evidence_conflict": u("conflict") < 0.03, "order_info_conflict": F.lit(False),
     })
-    decided = rules.decide_refund(rows.drop("_k"))
-    ask = F.concat(F.lit("Order of "), F.col("product_type"), F.lit(" goods, "), F.translate("user_claim", "_", " "), F.when(F.col("has_evidence"), ", photos attached").otherwise(""))
-    return decided.select(F.format_string("refund_%06d", "position").alias("sample_id"), "*", ask.alias("user_input"), F.when(F.col("has_evidence"), "photos of the goods").alias("evidence_description"))
+    decided = rules.decide_refund(requests.difficult(rows))
+    return decided.select(F.format_string("refund_%06d", "position").alias("sample_id"), "*", requests.request(requests.drawn(str(seed), F.col("position"))).alias("user_input"), requests.evidence().alias("evidence_description"))
 
 
 FACTS = ["product_type", "days_since_delivery", "is_used", "is_resellable", "has_quality_issue", "has_evidence", "order_amount", "refund_count_30d", "user_claim", "order_status", "is_customized", "is_virtual", "is_fresh", "seller_fault", "logistics_issue", "evidence_conflict", "order_info_conflict"]
@@ -313,20 +304,48 @@ def eval_requests(cases: DataFrame, split: str = "discovery_eval") -> DataFrame:
     return rows.withColumn("pairing_key", F.concat_ws("|", "skill_id", "semantic_case_hash", "prompt_condition", "endpoint"))
 
 
-def factorial_requests(cases: DataFrame, split: str = "discovery_eval") -> DataFrame:
-    """1,152 requests a skill: 64 cases, the eight settings of three components and a canonical prompt, 2 endpoints."""
+#: Factor settings by condition; the last condition has all three, in the user's message. Two conditions are among those of eval_requests.
+FACTORS = ["identity", "schema", "business_rules"]
+SETTINGS = {f"isb_{i}{s}{b}": (bool(i), bool(s), bool(b)) for i in (1, 0) for s in (1, 0) for b in (1, 0)}
+PLACED, BRIDGES = "isb_111_user_placement", ["isb_111", "isb_110"]
+
+
+def _factorial(cases: DataFrame, conditions: Sequence[str]) -> DataFrame:
+    """cases under conditions at both endpoints, with factor levels, placement, messages and their hashes. An empty system text is
+    left out; the placed condition has one message, prompt and facts."""
     spark = cases.sparkSession
-    settings = [(f"c{k}", bool(k & 1), bool(k & 2), bool(k & 4)) for k in range(8)] + [("canonical", None, None, None)]
-    dim = F.broadcast(spark.createDataFrame(settings, "condition string, identity boolean, schema boolean, business_rules boolean"))
-    ends = F.broadcast(spark.createDataFrame([(e,) for e in ENDPOINTS], "endpoint string"))
-    rows = cases.where(F.col("split") == split).crossJoin(dim).crossJoin(ends)
-    levels = F.when(F.col("identity").isNotNull(), F.struct("identity", "schema", "business_rules"))
+    rows = [(c, *SETTINGS.get(c, (None,) * 3), e) for c in conditions for e in ENDPOINTS]
+    dim = F.broadcast(spark.createDataFrame(rows, f"condition string, {', '.join(f'{f} boolean' for f in FACTORS)}, endpoint string"))
+    placed = F.col("condition") == PLACED
+    levels = F.when(~placed, F.struct(*FACTORS))
     parts = [("identity", F.concat(F.lit("You decide cases of "), F.col("skill_id"))), ("schema", F.lit("Answer as JSON")), ("business_rules", F.lit("Apply the rules in order"))]
     everything = F.concat_ws("\n", *(text for _, text in parts))
-    system = F.when(levels.isNull(), everything).otherwise(M.composed(parts, F.struct("identity", "schema", "business_rules")))
-    built = M.build(system, F.col("fields"))
-    out = rows.withColumn("factor_levels", levels).withColumn("messages", built).drop("identity", "schema", "business_rules")
-    return out.withColumn("messages_sha256", F.sha2(F.to_json("messages"), 256))
+    built = F.when(placed, M.build(None, F.concat(everything, F.lit("\n\n"), F.col("fields")))).otherwise(M.build(M.composed(parts, F.struct(*FACTORS)), F.col("fields")))
+    out = cases.crossJoin(dim).withColumns({"factor_levels": levels, "messages": built, "placement": F.when(placed, "user").otherwise("system"), "pairing_key": F.concat_ws("|", "skill_id", "semantic_case_hash", "condition", "endpoint")})
+    return out.drop(*FACTORS).withColumns({"record_id": F.sha2("pairing_key", 256), "messages_sha256": F.sha2(F.to_json("messages"), 256)})
+
+
+def _only(cases: DataFrame, split: str, count: int | None) -> DataFrame:
+    """cases, which must all be of one split and count a skill."""
+    per = cases.groupBy("skill_id").agg(F.count("*").alias("n"), F.bool_and(F.col("split") == split).alias("own")).collect()
+    if strange := [r["skill_id"] for r in per if not r["own"]]:
+        raise PermissionError(f"{strange}: cases of another split than {split}")
+    if wrong := {r["skill_id"]: r["n"] for r in per if count is not None and r["n"] != count}:
+        raise ValueError(f"{count} cases a skill are asked for, not {wrong}")
+    return cases
+
+
+def factorial_requests(cases: DataFrame, split: str = "discovery_eval", count: int | None = 64) -> DataFrame:
+    """1,152 requests a skill: 64 cases of a split, the eight settings of three components and all of them placed in the user's
+    message, at 2 endpoints. count None takes any number of cases."""
+    return _factorial(_only(cases.where(F.col("split") == split), split, count), [*SETTINGS, PLACED])
+
+
+def smoke_requests(cases: DataFrame, count: int | None = 2) -> DataFrame:
+    """Requests of exactly two validation cases a skill under the conditions that no earlier request has; raises PermissionError
+    if any case is of another split."""
+    new = [c for c in [*SETTINGS, PLACED] if c not in BRIDGES]
+    return _factorial(_only(cases, "validation", count), new).withColumn("split", F.lit("validation_smoke"))
 
 
 def bundle_errors(cases: DataFrame, arms: DataFrame, requests: DataFrame, splits: Mapping[str, int] = SPLITS) -> DataFrame:

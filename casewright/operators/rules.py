@@ -12,6 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.operators import requests
+
 HIGH_VALUE = 1000
 FREQUENT_REFUNDS = 3
 
@@ -184,6 +186,20 @@ REFUND_BASE = [
 MISSING = "(days_since_delivery IS NULL OR order_status IS NULL OR order_status NOT IN ('delivered', 'not_delivered', 'closed'))"
 
 
+def refund_base() -> Column:
+    """struct(decision, code) of the first base rule that holds; needs intent."""
+    chain = None
+    for rule in REFUND_BASE:
+        outcome = F.struct(F.lit(rule.decision).alias("decision"), F.lit(rule.code).alias("code"))
+        chain = F.when(F.expr(rule.when), outcome) if chain is None else chain.when(F.expr(rule.when), outcome)
+    return chain
+
+
+def explain_refund(facts: DataFrame) -> DataFrame:
+    """decide_refund with explanation, the reason in words."""
+    return requests.explained(decide_refund(facts), refund_base(), MISSING)
+
+
 def decide_refund(facts: DataFrame) -> DataFrame:
     """facts with intent, decision, risk_level, need_human and reason_codes of the first refund engine.
 
@@ -192,10 +208,6 @@ def decide_refund(facts: DataFrame) -> DataFrame:
     """
     intents = F.create_map(*[F.lit(x) for pair in INTENTS.items() for x in pair])
     out = facts.withColumn("intent", F.coalesce(F.try_element_at(intents, F.col("user_claim")), F.lit("refund_request")))
-    chain = None
-    for rule in REFUND_BASE:
-        outcome = F.struct(F.lit(rule.decision).alias("decision"), F.lit(rule.code).alias("code"))
-        chain = F.when(F.expr(rule.when), outcome) if chain is None else chain.when(F.expr(rule.when), outcome)
     order_conflict = F.expr("order_info_conflict OR (coalesce(user_claim, '') = 'claims_unused_but_used' AND is_used)")
     risks = F.array_compact(F.array(
         F.when(F.col("evidence_conflict"), "evidence_conflict"),
@@ -203,7 +215,7 @@ def decide_refund(facts: DataFrame) -> DataFrame:
         F.when(F.col("order_amount") >= HIGH_VALUE, "high_value_order"),
         F.when(F.col("refund_count_30d") >= FREQUENT_REFUNDS, "frequent_refund_user"),
     ))
-    out = out.withColumn("_base", chain).withColumn("_risks", risks).withColumn("_missing", F.expr(MISSING))
+    out = out.withColumn("_base", refund_base()).withColumn("_risks", risks).withColumn("_missing", F.expr(MISSING))
     risky = F.size("_risks") > 0
     severe = F.arrays_overlap("_risks", F.array(F.lit("evidence_conflict"), F.lit("order_info_conflict"))) | (F.size("_risks") >= 2)
     asks = F.col("_missing") | (~risky & (F.col("_base.decision") == "request_more_evidence"))

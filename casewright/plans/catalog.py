@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casewright.plans import answers, audits, decisions, gating, layouts, locking, panels, rewarding, texts
+from casewright.plans import answers, audits, decisions, gating, layouts, locking, panels, rewarding, texts, wording
 
-FAMILIES = [decisions, answers, layouts, panels, texts, audits, gating, rewarding, locking]
+FAMILIES = [decisions, answers, layouts, panels, texts, audits, gating, rewarding, locking, wording]
 
 
 def queries() -> dict:
