@@ -70,13 +70,13 @@ def sketch(name: str) -> Column:
 def written(digest: Column, cells: Column) -> Column:
     """A fingerprint as text: the hash of the text, then count, digests and checks of each cell, in hex."""
     number = lambda value, width: F.lpad(F.hex(value), width, "0")
-    return F.lower(F.concat(number(digest, 16), F.array_join(F.transform(cells, lambda x: F.concat(number(x["cnt"], 4), number(x["id"], 16), number(x["chk"], 8))), "")))
+    return F.lower(F.concat(number(digest, 16), F.array_join(F.transform(cells, lambda x: F.concat(number(x["cnt"], 8), number(x["id"], 16), number(x["chk"], 8))), "")))
 
 
 def cells_of(fingerprint: str) -> Column:
     """The cells of a written fingerprint."""
-    at = lambda first, size: f"conv(substr({fingerprint}, 17 + 28 * c + {first}, {size}), 16, -10)"
-    return F.expr(f"transform(sequence(0, {3 * SMALL - 1}), c -> named_struct('cnt', cast({at(0, 4)} as bigint), 'id', cast({at(4, 16)} as bigint), 'chk', cast({at(20, 8)} as bigint)))")
+    at = lambda first, size: f"conv(substr({fingerprint}, 17 + 32 * c + {first}, {size}), 16, -10)"
+    return F.expr(f"transform(sequence(0, {3 * SMALL - 1}), c -> named_struct('cnt', cast({at(0, 8)} as bigint), 'id', cast({at(8, 16)} as bigint), 'chk', cast({at(24, 8)} as bigint)))")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:

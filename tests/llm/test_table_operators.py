@@ -254,3 +254,11 @@ def test_url_oracle(spark):
     assert sorted(names) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
     assert got.where(F.col("blocked")).count() >= 0
+
+
+def test_written_sketches_hold_large_counts(spark):
+    """A cell of 70,000 digests, and one of the most that eight digits hold, are read back as they were written."""
+    counts = [70_000, (1 << 32) - 1] + [0] * (3 * iblt.SMALL - 2)
+    cells = spark.createDataFrame([(7, [(n, -n, n % 1000) for n in counts])], "digest long, cells array<struct<cnt: long, id: long, chk: long>>")
+    back = cells.select(iblt.written(F.col("digest"), F.col("cells")).alias("fingerprint")).select(iblt.cells_of("fingerprint").alias("cells")).first()["cells"]
+    assert [(c["cnt"], c["id"], c["chk"]) for c in back] == [(n, -n, n % 1000) for n in counts]
