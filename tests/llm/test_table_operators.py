@@ -253,7 +253,7 @@ def test_url_oracle(spark):
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
-    assert got.where(F.col("blocked")).count() >= 0
+    assert {r["blocked"] for r in got.select("blocked").distinct().collect()} == {True, False}
 
 
 def test_written_sketches_hold_large_counts(spark):
