@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import scoring
-from casewright.operators import builders
+from casewright.operators import builders, layout, locks, probes
 from casewright.plans import analysis
 from casewright.sources import files
 
@@ -45,6 +45,10 @@ def _parser() -> argparse.ArgumentParser:
     command("analyze", ("--predictions", str), ("--output", str), ("--draws", int), draws=10_000)
     command("vectors", ("--records", str), ("--output", str))
     command("scan", ("--root", str))
+    command("probe", ("--records", str), ("--cases", str), ("--most", int), ("--output", str), cases="", most=None)
+    command("checkpoints", ("--root", str), ("--checkpoint", list), ("--exposures", int), ("--output", str), exposures=len(probes.EXPOSURES))
+    command("lock", ("--cases", str), ("--output", str))
+    command("smoke", ("--cases", str), ("--output", str))
     return top
 
 
@@ -108,6 +112,21 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> int:
         case "vectors":
             tables = analysis.vector_summary(files.read_jsonl(spark, a.records, RECORDS))
             files.write_text(spark, files.report("Vectors", tables), a.output)
+        case "probe":
+            rows = spark.read.json(a.records)
+            listed = spark.createDataFrame(list(enumerate(a.cases.split(","))), "place long, case_id string") if a.cases else None
+            files.write_jsonl(probes.select_probe(rows, listed, a.most), a.output, "position")
+        case "checkpoints":
+            expected = {name: int(n) for name, _, n in (x.partition("=") for x in a.checkpoint)}
+            rows = files.read_checkpoints(spark, a.root, expected, RECORDS, a.exposures, summaries=True)
+            files.write_text(spark, files.report("Checkpoints", analysis.vector_summary(rows)), a.output)
+        case "lock":
+            cases = spark.read.json(a.cases).withColumn("slot", F.col("slot") + 1)
+            files.write_jsonl(locks.split_manifest(cases, "fields"), a.output)
+        case "smoke":
+            cases = spark.read.json(files.reject_protected(a.cases)).where("split = 'validation'")
+            first = layout.ranked(cases, [F.col("slot")], ["skill_id"], "_place").where("_place <= 2").drop("_place")
+            files.write_jsonl(builders.smoke_requests(first), a.output)
         case "scan":
             found = files.scan_release(spark, a.root).collect()
             print(*(f"{r['path']}:{r['line']}: {r['finding']}" for r in found), sep="\n")
