@@ -128,16 +128,10 @@ STAGES = [[("full", 3), ("partial", 1)], [("partial", 1), ("minimal", 1)], [("mi
 def stage_vector(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """(position, _e): three stages of n / 3, exposures in each by share and hash order."""
     size = n // 3
-    quotas = []
-    for k, shares in enumerate(STAGES):
-        whole = sum(w for _, w in shares)
-        quotas += [(k, value, size * w // whole) for value, w in shares]
-    upto, rows = 0, []
-    for k, value, count in quotas:
-        rows.append((k, value, upto + 1, upto + count))
-        upto += count
-    listed = spark.createDataFrame(rows, "stage int, _e string, low bigint, high bigint").withColumn("slot", F.explode(F.sequence("low", "high")))
-    inside = layout.ranked(listed, [layout.hash_key(str(seed), F.col("stage"), F.col("slot")), F.col("slot")], ["stage"], "_r")
+    quotas = [(value, size * w // sum(w for _, w in shares)) for shares in STAGES for value, w in shares]
+    slots = spark.range(1, n + 1).select(F.col("id").alias("slot"), F.floor((F.col("id") - 1) / size).cast("int").alias("stage"), layout.quota_value(F.col("id"), quotas).alias("_e"))
+    hashed = layout.hash_key(str(seed), F.col("stage"), F.col("slot"))
+    inside = layout.bucket_ranked(slots, F.substring(hashed, 1, layout.DIGITS), [hashed, F.col("slot")], "_r", ["stage"])
     return inside.select((F.col("stage") * size + F.col("_r")).cast("bigint").alias("position"), "_e")
 
 
@@ -150,30 +144,42 @@ def causal_variants(samples: DataFrame, n: int, seed: int) -> dict[str, DataFram
     return {name: records(layout.zipped(samples, v), F.col("_e"), True).drop("_e") for name, v in (("uniform_staged", staged), ("uniform_shuffled", shuffled))}
 
 
-def replay_stages(samples: DataFrame, size: int, seed: int, hard: float = 0.2) -> DataFrame:
-    """Three stages of size records; each keeps a fraction of hard cases and its own exposure weights."""
-    weights = [{"full": 6, "partial": 2, "minimal": 1, "no_skill": 1}, {"full": 2, "partial": 4, "minimal": 3, "no_skill": 1}, {"full": 1, "partial": 2, "minimal": 3, "no_skill": 4}]
-    pool = samples.withColumn("_hard", F.expr("need_human OR decision = 'request_more_evidence'"))
+#: Weights of exposures by replay stage.
+REPLAY = [{"full": 6, "partial": 2, "minimal": 1, "no_skill": 1}, {"full": 2, "partial": 4, "minimal": 3, "no_skill": 1}, {"full": 1, "partial": 2, "minimal": 3, "no_skill": 4}]
+
+
+def replay_layout(pool: DataFrame, size: int, seed: int, hard: float = 0.2) -> DataFrame:
+    """The columns of pool (sample_id, hard, ...) with stage, copy, position and prompt_exposure: three stages of size rows.
+
+    Every stage draws a fraction of hard rows (half to even) and the rest from the others, each repeated only where
+    there are too few, in its own hash order, and has its own shares of exposures. A pool without rows of a kind
+    that is asked for raises ValueError.
+    """
     want = round(size * hard)
+    counts = {r["hard"]: r["count"] for r in pool.groupBy("hard").count().collect()}
+    if absent := [flag for flag, count in ((True, want), (False, size - want)) if count and not counts.get(flag)]:
+        raise ValueError(f"no rows with hard in {absent} to draw from")
     out = None
-    counts = {r["_hard"]: r["count"] for r in pool.groupBy("_hard").count().collect()}
-    for k, shares in enumerate(weights):
-        parts = []
+    for k, shares in enumerate(REPLAY):
+        stage = None
         for flag, count in ((True, want), (False, size - want)):
-            have = counts.get(flag, 0)
-            if have and count:
-                drawn = layout.sample_with_repeats(pool.where(F.col("_hard") == flag), f"{seed}|{k}", "sample_id", have, count)
-                parts.append(drawn if "copy" in drawn.columns else drawn.withColumn("copy", F.lit(1)))
-        stage = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        stage = stage.withColumn("_id", F.concat_ws("|", "sample_id", "copy")).drop("position")
+            if count:
+                drawn = layout.sample_with_repeats(pool.where(F.col("hard") == flag), f"{seed}|{k}", "sample_id", counts[flag], count)
+                stage = drawn if stage is None else stage.unionByName(drawn)
+        stage = stage.withColumn("_id", F.concat_ws("|", "sample_id", "copy"))
         placed = layout.hash_ranked(stage, f"{seed}|place|{k}", "_id")
         exposure = layout.quota_value(F.col("position"), list(layout.largest_remainder(size, shares).items()))
-        done = records(placed.withColumn("stage", F.lit(f"stage{k + 1}")), exposure, True).drop("_id", "_hard", "copy")
-        done = done.withColumn("position", F.col("position") + k * size)
+        done = placed.withColumns({"prompt_exposure": exposure, "stage": F.lit(f"stage{k + 1}"), "position": F.col("position") + k * size}).drop("_id")
         out = done if out is None else out.unionByName(done)
     return out
 
 
+def replay_stages(samples: DataFrame, size: int, seed: int, hard: float = 0.2) -> DataFrame:
+    """Training records of a replay_layout; hard cases are those that a person or more evidence has to decide."""
+    pool = samples.drop("position").withColumn("hard", F.expr("need_human OR decision = 'request_more_evidence'"))
+    return records(replay_layout(pool, size, seed, hard), F.col("prompt_exposure"), True).drop("hard", "copy")
+
+
 CATEGORIES = [("conflict", 0.40), ("high_value", 0.20), ("no_evidence", 0.15), ("special_goods", 0.15), ("logistics", 0.10)]
 
 

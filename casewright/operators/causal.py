@@ -22,7 +22,7 @@ def shuffled_repeats(df: DataFrame, seed: str, key: str, n: int, k: int) -> Data
         raise ValueError("there is nothing to draw from")
     times = max(1, -(-k // n))
     rows = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("_id", F.concat_ws("|", F.col(key).cast("string"), F.col("copy").cast("string")))
-    placed = layout.hash_ranked(rows, seed, "_id", digits=layout.bucket_digits(n * times))
+    placed = layout.hash_ranked(rows, seed, "_id")
     return placed.where(F.col("position") <= k).drop("_id")
 
 
@@ -36,7 +36,7 @@ def causal_layout(samples: DataFrame, n: int, per_method: int, seed: int) -> Dat
         raise ValueError("the number of records must be divisible by 12")
     spark, ids = samples.sparkSession, samples.select("sample_id")
     slots = spark.range(1, per_method + 1).select(F.col("id").alias("slot"), layout.quota_value(F.col("id"), [(e, per_method // 4) for e in builders.EXPOSURES]).alias("prompt_exposure"))
-    mixed = layout.hash_ranked(slots, f"{seed}|mix", "slot", digits=layout.bucket_digits(per_method)).select("position", "prompt_exposure")
+    mixed = layout.hash_ranked(slots, f"{seed}|mix", "slot").select("position", "prompt_exposure")
     names = ["variant", "position", "stage", "sample_id", "copy", "prompt_exposure"]
     random = layout.zipped(shuffled_repeats(ids, f"{seed}|random", "sample_id", n, per_method), mixed)
     out = random.withColumns({"variant": F.lit("balanced_random"), "stage": F.lit(None).cast("string")}).select(names)

@@ -1,8 +1,8 @@
 """Deterministic orders, quotas, samples and deduplication.
 
 Every shuffle is an order by SHA-256 of seed and key, so a layout is the same on any cluster.
-Ranks over a whole table are taken in buckets of the hash's leading digits: each bucket is sorted
-in its own task, and offsets come from the table of bucket counts.
+Ranks over a whole table are taken in buckets of the hash's leading digits, or of ranges of a key: each
+bucket is sorted in its own task, and offsets come from the table of bucket counts.
 """
 
 from __future__ import annotations
@@ -32,26 +32,35 @@ def ranked(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name:
 BLOCK_ROWS = 50_000
 
 
-def bucket_digits(rows: int) -> int:
-    """How many leading hex digits of a hash split this many rows into buckets of BLOCK_ROWS or fewer."""
-    digits = 2
-    while rows > BLOCK_ROWS * 16**digits and digits < 8:
-        digits += 1
-    return digits
+#: Leading hex digits of a hash that make a bucket: of 10^11 rows one has some 1.5 million, and no job has to count first.
+DIGITS = 4
 
 
-def hash_ranked(df: DataFrame, seed: str, key: str, name: str = "position", by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
-    """df with its row number in the order of hash and key, over the whole table or within by.
+def bucket_ranked(df: DataFrame, bucket: Column, order: Sequence[Column | str], name: str = "position", by: Sequence[str] = (), counted: DataFrame | None = None) -> DataFrame:
+    """df with its row number by order, over the whole table or within by; bucket must not fall as order rises.
 
-    Buckets of the hash's leading digits are ranked in tasks of their own; there are as many as the
-    table's size asks for, and the table of their counts gives the offsets.
+    Buckets are ranked in tasks of their own, offsets come from the table of their counts. counted has rows with the
+    same columns by and bucket, if they can be had by less work than df itself.
     """
-    digits = bucket_digits(df.count()) if digits is None else digits
-    hashed = df.withColumn("_h", hash_key(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, digits))
-    counts = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
+    counts = (df if counted is None else counted).groupBy(*by, bucket.alias("_b")).agg(F.count("*").alias("_n"))
     offsets = counts.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
-    return hashed.withColumn("_r", inside).join(offsets, [*by, "_b"]).withColumn(name, F.col("_before") + F.col("_r")).drop("_h", "_b", "_r", "_before")
+    same = F.col("l._b").eqNullSafe(F.col("o._b"))
+    for c in by:
+        same &= F.col(f"l.`{c}`").eqNullSafe(F.col(f"o.`{c}`"))
+    met = df.withColumn("_b", bucket).withColumn("_r", inside).alias("l").join(offsets.alias("o"), same)
+    return met.select(*(F.col(f"l.`{c}`") for c in df.columns), (F.col("o._before") + F.col("l._r")).alias(name))
+
+
+def hash_ranked(df: DataFrame, seed: str, key: str, name: str = "position", by: Sequence[str] = (), digits: int = DIGITS, counted: DataFrame | None = None) -> DataFrame:
+    """df with its row number in the order of hash and key, in buckets of the hash's leading digits."""
+    hashed = hash_key(seed, F.col(key))
+    return bucket_ranked(df, F.substring(hashed, 1, digits), [hashed, key], name, by, counted)
+
+
+def key_ranked(df: DataFrame, key: str, name: str = "position", by: Sequence[str] = (), width: int = BLOCK_ROWS) -> DataFrame:
+    """df with its row number in the order of an integer key (nulls first), in buckets of width values of the key."""
+    return bucket_ranked(df, F.floor(F.col(key) / width), [key], name, by)
 
 
 def first_wins(df: DataFrame, key: str, position: str) -> DataFrame:
@@ -97,10 +106,8 @@ def sample_exactly(df: DataFrame, seed: str, key: str, k: int) -> DataFrame:
 
 
 def sample_with_repeats(df: DataFrame, seed: str, key: str, n: int, k: int) -> DataFrame:
-    """k rows of n: without replacement if k <= n, else every row floor or ceil of k / n times."""
-    if k <= n:
-        return sample_exactly(df, seed, key, k)
-    many = hash_ranked(df, seed, key, "_place").withColumn("_times", F.lit(k // n) + (F.col("_place") <= k % n).cast("int"))
+    """k rows of df's n with copy from 1: without replacement if k <= n, else every row floor or ceil of k / n times."""
+    many = hash_ranked(df, seed, key, "_place").withColumn("_times", F.lit(k // n) + (F.col("_place") <= k % n).cast("int")).where("_times > 0")
     return many.select(*df.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("copy"))
 
 

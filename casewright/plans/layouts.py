@@ -43,9 +43,8 @@ def hash_rank_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
         chain = F.when(F.col("segment") == segment, pick) if chain is None else chain.when(F.col("segment") == segment, pick)
     named = placed.withColumn("prompt_exposure", chain)
     named = named.withColumn("record_id", layout.hash_key("v1", F.col("id"), F.col("segment"), F.col("prompt_exposure")))
-    digits = layout.bucket_digits(rows.count())
-    staged = layout.hash_ranked(named, "within", "record_id", "staged_position", ["segment"], digits)
-    return layout.hash_ranked(staged, "mix", "record_id", "mixed_position", digits=digits).select("id", "segment", "prompt_exposure", "staged_position", "mixed_position")
+    staged = layout.hash_ranked(named, "within", "record_id", "staged_position", ["segment"])
+    return layout.hash_ranked(staged, "mix", "record_id", "mixed_position", counted=named).select("id", "segment", "prompt_exposure", "staged_position", "mixed_position")
 
 
 PHASES = [(0.3, [("full", 0.8), ("partial", 0.2)]), (0.7, [("full", 0.2), ("partial", 0.5), ("minimal", 0.3)]), (1.1, [("partial", 0.2), ("minimal", 0.4), ("no_skill", 0.4)])]
@@ -132,7 +131,7 @@ def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cyclic_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes dealt in turn over the customers of a nation."""
     codes = F.array(*map(F.lit, ["alpha", "beta", "gamma"]))
-    rows = layout.ranked(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), [F.col("c_custkey")], ["c_nationkey"])
+    rows = layout.key_ranked(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", by=["c_nationkey"])
     return rows.select("c_custkey", F.element_at(codes, ((F.col("position") - 1) % 3 + 1).cast("int")).alias("code"))
 
 

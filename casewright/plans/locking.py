@@ -47,7 +47,14 @@ def causal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal.variant_summary(causal_sets(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (split_manifest, split_audit, causal_sets, causal_summary)}
+def replay_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replay stages over the orders; hard are the few urgent ones that are open in part, which have to be repeated."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.expr("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").alias("hard"))
+    found = builders.replay_layout(rows, rows.count() // 30 * 10, SEED)
+    return found.select("stage", "position", "sample_id", "hard", "copy", "prompt_exposure")
+
+
+QUERIES = {f.__name__: f for f in (split_manifest, split_audit, causal_sets, causal_summary, replay_sets)}
 
 _cases_sql = f"""SELECT o_orderstatus AS skill_id, ({SPLITS!r})[o_orderkey % 10 + 1] AS split, o_orderkey + 1 AS slot, sha256('case|' || o_orderkey) AS semantic_case_hash, sha256('facts|' || o_custkey) AS facts_hash, 'Order ' || o_orderkey AS user_input FROM orders"""
 _spoiled_sql = f"""SELECT * REPLACE (CASE WHEN split = 'confirmation' AND skill_id = 'F' AND slot % 5 = 4 THEN user_input || '!' ELSE user_input END AS user_input,
@@ -81,7 +88,16 @@ SELECT 'balanced_random' AS variant, position, NULL AS stage, sample_id, copy::I
 UNION ALL SELECT 'balanced_staged_' || stage, position, stage, sample_id, copy::INT, prompt_exposure FROM staged
 UNION ALL SELECT 'balanced_staged_all', position + k * (n // 3), stage, sample_id, copy::INT, prompt_exposure FROM staged, s"""
 
+#: Cumulative tenths of exposures by replay stage.
+_tenths = " ".join(f"WHEN k = {k} AND (position - 1) * 10 < {sum(list(w.values())[:i + 1])} * size THEN '{e}'" for k, w in enumerate(builders.REPLAY) for i, e in enumerate(w))
+
 ORACLES = {
+    "replay_sets": f"""WITH p AS (SELECT o_orderkey AS sample_id, o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AS hard FROM orders),
+ d AS (SELECT k, sample_id, hard, size, CASE WHEN hard THEN size // 5 ELSE size - size // 5 END AS want, count(*) OVER (PARTITION BY k, hard) AS n, row_number() OVER (PARTITION BY k, hard ORDER BY sha256('{SEED}|' || k || '|' || sample_id), sample_id) AS r
+  FROM p CROSS JOIN (SELECT unnest(range(3)) AS k) CROSS JOIN (SELECT count(*) // 30 * 10 AS size FROM orders)),
+ c AS (SELECT k, sample_id, hard, size, unnest(range(1, want // n + (r <= want % n)::INT + 1)) AS copy FROM d),
+ o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sha256('{SEED}|place|' || k || '|' || sample_id || '|' || copy), sample_id || '|' || copy) AS position FROM c)
+SELECT 'stage' || (k + 1) AS stage, position + k * size AS position, sample_id, hard, copy, CASE {_tenths} END AS prompt_exposure FROM o""",
     "split_manifest": _manifest(_cases_sql),
     "split_audit": f"""WITH a AS ({_manifest(_cases_sql)}), b AS ({_manifest(_spoiled_sql)}) SELECT skill_id, split, unnest(list_filter([CASE WHEN a.cases <> b.cases THEN 'cases' END, CASE WHEN a.case_sha256 <> b.case_sha256 THEN 'case_sha256' END,
  CASE WHEN a.facts_sha256 <> b.facts_sha256 THEN 'facts_sha256' END, CASE WHEN a.text_sha256 <> b.text_sha256 THEN 'text_sha256' END], lambda x: x IS NOT NULL)) AS problem FROM a JOIN b USING (skill_id, split)""",

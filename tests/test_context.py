@@ -48,3 +48,18 @@ def test_spans_and_token_hashes(spark):
     assert [r[0] for r in df.select(messages.span_inside(*map(F.col, "abcd"))).collect()] == [True, False, False, False, False]
     tokens = spark.createDataFrame([([1, 2],), ([12],)], "t array<int>").select(layout.token_hash(F.col("t"))).collect()
     assert tokens[0][0] != tokens[1][0] and tokens[0][0] == pytest.importorskip("hashlib").sha256(b"[1,2]").hexdigest()
+
+
+def test_registered_texts_and_key_subsets(spark):
+    skills = {"refund": registries.Skill(["check facts"], ["facts"], ["a"])}
+    stored = registries.registry(spark, skills, "v1")
+    rows = spark.createDataFrame([(1, "refund", "minimal"), (2, "refund", "full")], "id int, skill_id string, exposure string")
+    texts = {r["id"]: r["system"] for r in registries.with_entries(rows, stored, "prompt", "skill_id", "exposure", "system").collect()}
+    assert texts == {1: registries.prompts_of("refund", skills["refund"])["minimal"], 2: registries.prompts_of("refund", skills["refund"])["full"]}
+    for strange in ((3, "refund", "other"), (4, None, "full")):
+        more = rows.union(spark.createDataFrame([strange], rows.schema))
+        with pytest.raises(Exception, match="no prompt for"):
+            registries.with_entries(more, stored, "prompt", "skill_id", "exposure", "system").collect()
+    facts = spark.createDataFrame([({"b": "1", "x": "2", "a": None},), ({},), (None,)], "m map<string,string>")
+    got = [r[0] for r in facts.select(F.to_json(context.key_subset(F.col("m"), ["a", "b", "c"]), {"ignoreNullFields": "false"})).collect()]
+    assert got == ['{"a":null,"b":"1"}', "{}", None]

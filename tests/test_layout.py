@@ -21,12 +21,37 @@ def test_hash_rank_is_a_permutation(spark):
     assert builders.same_multiset(df, again)
 
 
+def test_ranks_within_and_by_key(spark):
+    df = spark.createDataFrame([(k % 3 or None, k * 7 % 101, k) for k in range(90)], "g int, k long, _r int")
+    for got in (layout.hash_ranked(df, "s", "k", by=["g"]), layout.key_ranked(df, "k", by=["g"], width=10)):
+        rows = got.collect()
+        assert got.columns == ["g", "k", "_r", "position"] and len(rows) == 90
+        for g in (None, 1, 2):
+            assert sorted(r["position"] for r in rows if r["g"] == g) == list(range(1, 31))
+    own = sorted((r for r in rows if r["g"] == 1), key=lambda r: r["k"])
+    assert [r["position"] for r in own] == list(range(1, 31))
+    assert layout.hash_ranked(df.where("false"), "s", "k").isEmpty()
+
+
+def test_replay_repeats_only_what_is_rare(spark):
+    pool = spark.range(40).select(F.col("id").alias("sample_id"), (F.col("id") < 2).alias("hard"))
+    rows = builders.replay_layout(pool, 20, 1).collect()
+    for k in range(3):
+        stage = [r for r in rows if r["stage"] == f"stage{k + 1}"]
+        assert sorted(r["position"] for r in stage) == list(range(20 * k + 1, 20 * k + 21))
+        assert sorted(r["copy"] for r in stage if r["hard"]) == [1, 1, 2, 2] and {r["copy"] for r in stage if not r["hard"]} == {1}
+    with pytest.raises(ValueError, match="to draw from"):
+        builders.replay_layout(pool.where("hard"), 20, 1)
+
+
 def test_wins_and_samples(spark):
     df = spark.createDataFrame([("a", 3, "z"), ("a", 1, "x"), ("b", 2, "y")], "k string, p int, v string")
     assert {r["v"] for r in layout.first_wins(df, "k", "p").collect()} == {"x", "y"}
     assert {r["v"] for r in layout.last_wins(df, "k", "p").collect()} == {"z", "y"}
     many = layout.sample_with_repeats(spark.range(10), "s", "id", 10, 25).groupBy("id").count().collect()
     assert sum(r["count"] for r in many) == 25 and {r["count"] for r in many} == {2, 3}
+    few = layout.sample_with_repeats(spark.range(10), "s", "id", 10, 4).collect()
+    assert len({r["id"] for r in few}) == 4 == len(few) and {r["copy"] for r in few} == {1}
 
 
 def test_zip_wants_equal_lengths(spark):
