@@ -2,15 +2,16 @@
 
 Reference points are vectors of a bounded sample, thinned so that no two are close (a crowd of near
 copies gets one, not many); there are about as many as the root of the number of vectors, from
-LEAST_PIVOTS to MOST_PIVOTS. Every vector is described by its NEAREST nearest ones in order. The
-inverted lists are those of pairs of reference points: a vector stands, within its label, in the list
-of every pair among its nearest of which at least one is among the LEAD first. So two vectors meet if
-they share two reference points that are near enough the front of both orders, and as pairs outnumber
-the vectors, a list stays short however many vectors there are. A pair of vectors that meets in
-several lists counts in the first one.
+LEAST_PIVOTS to MOST_PIVOTS. Every vector is described by its nearest ones in order, NEAREST of
+LEAST_PIVOTS and one more for each time that the number of reference points doubles. The inverted
+lists are those of pairs of reference points: a vector stands, within its label, in the list of every
+pair among its nearest of which at least one is among the first (LEAD, and one more every three times
+that the number doubles). So two vectors meet if they share two reference points that are near enough
+the front of both orders, and as pairs outnumber the vectors, a list stays short however many vectors
+there are. A pair of vectors that meets in several lists counts in the first one.
 
-At a cosine of exactly 0.93 the lists of 512 reference points held 98 % of planted pairs, those of
-2,048 about 96 %; of the links of the tables, which are closer, all.
+At a cosine of exactly 0.93 the lists hold 98 to 99 % of planted pairs of 64 random components, from
+256 to 16,384 reference points (15 to 50 lists a vector); of the links of the tables, which are closer, all.
 
 Lists over BLOCK vectors are cut into blocks, and pairs of blocks are separate tasks that return a
 link count and a local root a vector: cosines are verified in double precision but never listed.
@@ -44,8 +45,6 @@ TASK_ROWS = 20_000
 PAIRS = 20_000
 #: A vector that one row in HOT equals is told by a broadcast of at most HOT rows.
 HOT = 1000
-#: Places in the order of the nearest that make a list.
-PLACES = [(i, j) for i in range(LEAD) for j in range(i + 1, NEAREST)]
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -78,13 +77,22 @@ def thinned(vectors: np.ndarray, most: int, apart: float = APART) -> np.ndarray:
     return out[:most]
 
 
+def places(pivots: int) -> list[tuple[int, int]]:
+    """Which two places in the order of the nearest make a list. Orders of more reference points agree less, so
+    more places are taken."""
+    doubled = max(0, int(np.ceil(np.log2(pivots / LEAST_PIVOTS))))
+    nearest = min(pivots, NEAREST + doubled)
+    return [(i, j) for i in range(LEAD + -(-doubled // 3)) for j in range(i + 1, nearest)] or [(0, 0)]
+
+
 def list_keys(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The lists of each vector, in ascending order: pairs of its nearest reference points."""
-    near = vectors @ pivots.T
-    count = min(NEAREST, len(pivots))
-    first = np.argsort(-near, axis=1, kind="stable")[:, :count].astype(np.int64)
-    places = [(i, j) for i, j in PLACES if j < count] or [(0, 0)]
-    a, b = (first[:, [p[k] for p in places]] for k in (0, 1))
+    away, chosen = -(vectors @ pivots.T), places(len(pivots))
+    count = max(j for _, j in chosen) + 1
+    first = np.sort(np.argpartition(away, count - 1, axis=1)[:, :count], axis=1).astype(np.int64)
+    order = np.argsort(np.take_along_axis(away, first, axis=1), axis=1, kind="stable")
+    first = np.take_along_axis(first, order, axis=1)
+    a, b = (first[:, [p[k] for p in chosen]] for k in (0, 1))
     keys = np.minimum(a, b) << 32 | np.maximum(a, b)
     keys.sort(axis=1)
     return keys
@@ -179,7 +187,7 @@ def pivot_links(classes: DataFrame, cosine: float = COSINE, pivots: int | None =
     paired = blocked.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     paired = paired.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     # Lists of one block share tasks of about TASK_ROWS rows, a block pair of a longer one is a task.
-    shared = F.pmod(F.xxhash64("label", "list"), F.lit(max(1, -(-count * len(PLACES) // TASK_ROWS))))
+    shared = F.pmod(F.xxhash64("label", "list"), F.lit(max(1, -(-count * len(places(len(points))) // TASK_ROWS))))
     paired = paired.withColumn("task", F.when(F.col("blocks") == 1, shared).otherwise(-1 - F.abs(F.xxhash64("label", "list") / 2).cast("long")))
     task = ["width", "task", "left", "right"]
     return paired.select(*task, "label", "list", "block", "key", "many", "embedding", "lists").groupBy(*task).applyInArrow(_verified(cosine), "key long, links long, root long")

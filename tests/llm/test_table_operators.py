@@ -181,7 +181,7 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_dup_vectors(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("count, least", [(256, 0.97), (512, 0.96), (2048, 0.9)])
+@pytest.mark.parametrize("count, least", [(256, 0.975), (512, 0.975), (2048, 0.975), (8192, 0.975), (16384, 0.975)])
 def test_recall_of_the_index(count, least):
     """Pairs at exactly the threshold share a list, however many reference points there are."""
     r = np.random.default_rng(0)
