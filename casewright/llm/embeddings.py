@@ -10,7 +10,7 @@ that the number doubles). So two vectors meet if they share two reference points
 the front of both orders, and as pairs outnumber the vectors, a list stays short however many vectors
 there are. A pair of vectors that meets in several lists counts in the first one.
 
-At a cosine of exactly 0.93 the lists hold 98 to 99 % of planted pairs of 64 random components, from
+At a cosine of exactly 0.93 the lists hold 99 % of planted pairs of 32 to 128 random components, from
 256 to 16,384 reference points (15 to 50 lists a vector); of the links of the tables, which are closer, all.
 
 Lists over BLOCK vectors are cut into blocks, and pairs of blocks are separate tasks that return a
