@@ -21,6 +21,24 @@ def documents(spark, rows):
 # ---- licences ----
 
 
+def test_license_threshold_is_calibrated(spark):
+    """Words of notices in other sentences are not confirmed, other wordings of notices are; no sample is needed for it."""
+    others = [
+        "The terms of the agreement were subject to review by the public.", "Permission is hereby asked to use the hall, free of charge, to any person who comes.",
+        "A copy of the letter was found along with this program of the evening.", "The source code and the binary forms were compared, with or without a fault.",
+        "All rights and duties are reserved for members of the public domain council.", "This work is free for visitors, without warranty that the doors open.",
+    ]
+    notices = [
+        "The code is available under the terms of the MIT License.", "Redistribution in source and binary forms is permitted provided that the following conditions are met by you.",
+        "This article is licensed under a Creative Commons Attribution 4.0 International License by its authors.", "Copyright 2023 Some Firm Ltd. All rights reserved.",
+    ]
+    docs = documents(spark, [(i, t) for i, t in enumerate(others + notices)])
+    for sample in (docs, docs.where("false")):
+        model = licenses.train(sample)
+        assert 0.1 < model.threshold < 0.99
+        assert {r["doc_id"] for r in licenses.scan(docs, model).where("confirmed").collect()} == set(range(len(others), len(others + notices)))
+
+
 def test_licenses(spark):
     plain = "the quick brown fox is under the table of all rights and left"
     rows = [(k, f"{plain} {k}\nother words under the tree") for k in range(60)]
