@@ -1,13 +1,16 @@
 """Ranked lexical search over document shards.
 
-A shard holds some thousand documents in ascending order of doc_id and their postings by term, in CSR form:
-sorted terms, where each term's postings begin, row numbers and precomputed integer impacts. Impacts need the
-number of documents and their mean length, so one pass over the texts counts these before the shards are made;
-shards are written to the shared folder and serve any number of queries. Terms are kept whole, not hashed.
+A shard holds up to SHARD_DOCS documents in ascending order of doc_id and their postings by term: row numbers and
+precomputed integer impacts. Impacts need the number of documents and their mean length, so one pass over the texts
+counts these before the shards are made. The index is a table with one row a shard and term, of at most SHARD_DOCS
+postings, and one row a shard with its doc_ids; it is written to the shared folder and serves any number of queries.
+So no reader or writer holds more than a few such rows at a time, whatever a partition holds. Terms are kept
+whole, not hashed.
 
 A search takes the queries in blocks of at most BLOCK_TERMS terms (one long query may be a block of its own).
-For each block the terms' document counts are summed over the shards; then every task adds the weighted
-impacts of a query's terms, term at a time, into one dense array a shard. The top k of a shard are found by
+Rows of a block's terms are picked by a broadcast join; their lengths give the terms' document counts. They are
+dealt by shard, and every task adds, a shard at a time, the weighted impacts of a query's terms, term at a time, into one
+dense array. The top k of a shard are found by
 argpartition; of documents with the least score that still belongs to them those of the lowest row number are
 taken, which are those of the smallest doc_id. A task merges the top k of its shards, and the rows of all tasks
 (at most k a query and task) are ranked per query, first within PARTS parts.
@@ -36,7 +39,7 @@ from casewright.llm.shared import slices, staged, table, text_arrays
 TERM_BYTES = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
 FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in TERM_BYTES else 0x20 for b in range(256))
 #: A shard ends at so many documents or postings, whichever comes first; a longer document is one by itself.
-SHARD_DOCS, SHARD_POSTINGS = 8192, 1 << 20
+SHARD_DOCS, SHARD_POSTINGS = 2048, 1 << 18
 BLOCK_TERMS = 1 << 18
 PARTS = 32
 
@@ -106,8 +109,29 @@ def _shard_batches(size: tuple[int, int], kind: pa.DataType):
     return run
 
 
+def _index_batches(size: tuple[int, int], kind: pa.DataType):
+    """Rows of the index: a shard's doc_ids (without a term), then each term's postings."""
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, shard in enumerate(_shard_batches(size, kind)(batches)):
+            ids, terms, starts, rows, impacts = (_lists(shard, name, 0) for name in shard.schema.names)
+            n = len(terms)
+            number = lambda count: pa.array(np.full(count, first + k, np.int64))  # noqa: E731, B023
+            nothing = lambda t, count: pa.nulls(count, t)
+            ints = pa.list_(pa.int32())
+            names = ["shard", "term", "ids", "rows", "impacts"]
+            whole = pa.array([ids.to_pylist()], pa.list_(kind))
+            yield pa.record_batch([number(1), nothing(pa.binary(), 1), whole, nothing(ints, 1), nothing(ints, 1)], names)
+            of = lambda values: pa.ListArray.from_arrays(starts, values)  # noqa: E731, B023
+            yield pa.record_batch([number(n), terms, nothing(pa.list_(kind), n), of(rows), of(impacts)], names)
+
+    return run
+
+
 class Index:
-    """Shards of documents as a table, with the number of documents and terms that their impacts rest on."""
+    """Rows of shards as a table, with the number of documents and terms that their impacts rest on."""
 
     def __init__(self, shards: DataFrame, docs: int, total: int):
         self.shards, self.docs, self.total = shards, docs, total
@@ -119,8 +143,8 @@ def index(docs: DataFrame) -> Index:
 
     size = corpus_size(docs)
     key = docs.schema["doc_id"].dataType
-    schema = f"ids array<{key.simpleString()}>, terms array<binary>, starts array<int>, rows array<int>, impacts array<int>"
-    shards = docs.select("doc_id", "text").mapInArrow(_shard_batches(size, to_arrow_type(key)), schema)
+    schema = f"shard long, term binary, ids array<{key.simpleString()}>, rows array<int>, impacts array<int>"
+    shards = docs.select("doc_id", "text").mapInArrow(_index_batches(size, to_arrow_type(key)), schema)
     return Index(staged(shards, "lexical-shards"), *size)
 
 
@@ -128,28 +152,6 @@ def _lists(batch: pa.RecordBatch, name: str, i: int) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))[i].values
 
 
-def _places(batch: pa.RecordBatch, i: int, asked: list[bytes]) -> np.ndarray:
-    """Place of each asked term among the shard's terms, -1 where it has none."""
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.index_in(pa.array(asked, pa.binary()), value_set=_lists(batch, "terms", i)), -1).to_numpy(zero_copy_only=False)
-
-
-def _df_batches(asked):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(asked.value), np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                at = _places(batch, i, asked.value)
-                starts = _lists(batch, "starts", i).to_numpy()
-                there = at >= 0
-                df[there] += starts[at[there] + 1] - starts[at[there]]
-        some = np.nonzero(df)[0]
-        yield pa.record_batch([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], ["term", "df"])
-
-    return run
-
-
 def top(scores: np.ndarray, k: int) -> np.ndarray:
     """Rows of the k highest scores above 0, of equal ones those of lowest number; highest first."""
     some = np.nonzero(scores)[0]
@@ -161,28 +163,24 @@ def top(scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((some, -scores[some]))]
 
 
-def _search_batches(asked, queries, k: int, kind: pa.DataType):
-    """queries: for each query the places of its terms in asked, and their weights."""
+def _search_batches(queries, k: int, kind: pa.DataType):
+    """queries: for each query the places of its terms, and their weights. Batches (shard, place, ids, rows, impacts) are in
+    order of shard and place; a shard's doc_ids come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list] = [[] for _ in queries.value]
         rank = lambda found: (-found[0], found[1] is None, found[1] if found[1] is not None else 0)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                at = _places(batch, i, asked.value)
-                starts, rows, impacts = (_lists(batch, name, i).to_numpy() for name in ("starts", "rows", "impacts"))
-                ids = _lists(batch, "ids", i)
-                impacts = impacts.astype(np.int64)
-                for q, (of, weights) in enumerate(queries.value):
-                    scores = np.zeros(len(ids), np.int64)
-                    for t, w in zip(at[of].tolist(), weights.tolist()):
-                        if t >= 0 and w:
-                            a, b = starts[t], starts[t + 1]
-                            scores[rows[a:b]] += w * impacts[a:b]
-                    for r in top(scores, k).tolist():
-                        best[q].append((int(scores[r]), ids[r].as_py()))
-                    if len(best[q]) > k:
-                        best[q] = sorted(best[q], key=rank)[:k]
+        for ids, postings in _by_shard(batches):
+            for q, (of, weights) in enumerate(queries.value):
+                scores = np.zeros(len(ids), np.int64)
+                for t, w in zip(of.tolist(), weights.tolist()):
+                    if w and t in postings:
+                        rows, impacts = postings[t]
+                        scores[rows] += w * impacts
+                for r in top(scores, k).tolist():
+                    best[q].append((int(scores[r]), ids[r].as_py()))
+                if len(best[q]) > k:
+                    best[q] = sorted(best[q], key=rank)[:k]
         found = [(q, s, d) for q, rows in enumerate(best) for s, d in rows]
         columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[2] for f in found], kind), pa.array([f[1] for f in found], pa.int64())]
         yield pa.record_batch(columns, ["query", "doc_id", "score"])
@@ -190,6 +188,26 @@ def _search_batches(asked, queries, k: int, kind: pa.DataType):
     return run
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]]]]:
+    """(doc_ids, rows and impacts by the term's place) of one shard after the other."""
+    at, ids, postings = None, None, {}
+    for batch in batches:
+        shard, place = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        rows, impacts = batch.column(3), batch.column(4)
+        for i, (s, p) in enumerate(zip(shard, place)):
+            if s != at:
+                if postings:
+                    yield ids, postings
+                at, postings = s, {}
+            if p < 0:
+                ids = batch.column(2)[i].values
+            else:
+                # Copies, so that a batch is not kept for a few of its rows.
+                postings[p] = rows[i].values.to_numpy().copy(), impacts[i].values.to_numpy().astype(np.int64)
+    if postings:
+        yield ids, postings
+
+
 def _query_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [sorted(term_counts(x.as_py())) for x in text_arrays(batch, "text")]
@@ -223,15 +241,17 @@ def search(found: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     for block in _blocks(queries):
         names = sorted({t for _, of in block for t in of})
         place = {t: i for i, t in enumerate(names)}
-        asked = spark.sparkContext.broadcast(names)
+        asked = F.broadcast(spark.createDataFrame(list(enumerate(names)), "place long, term binary"))
+        postings = found.shards.select("shard", "term", "rows", "impacts").join(asked, "term")
         df = np.zeros(len(names), np.int64)
-        counted = found.shards.select("terms", "starts").mapInArrow(_df_batches(asked), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-        for r in counted.toLocalIterator():
-            df[r["term"]] = r["df"]
+        for r in postings.groupBy("place").agg(F.sum(F.size("rows")).alias("df")).toLocalIterator():
+            df[r["place"]] = r["df"]
         weight = np.array([math.floor(1000 * math.log((2 * found.docs + 2) / (2 * n + 1))) if n else 0 for n in df.tolist()], np.int64)
         places = [np.array([place[t] for t in of], np.int64) for _, of in block]
         told = spark.sparkContext.broadcast([(p, weight[p]) for p in places])
-        hits = found.shards.mapInArrow(_search_batches(asked, told, k, to_arrow_type(key)), f"query long, doc_id {key.simpleString()}, score long")
+        owners = found.shards.where("term IS NULL").select("shard", F.lit(-1).cast("long").alias("place"), "ids", F.lit(None).cast("array<int>").alias("rows"), F.lit(None).cast("array<int>").alias("impacts"))
+        dealt = owners.unionByName(postings.drop("term"), allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "place")
+        hits = dealt.mapInArrow(_search_batches(told, k, to_arrow_type(key)), f"query long, doc_id {key.simpleString()}, score long")
         best = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
         parts = hits.withColumn("part", F.spark_partition_id() % PARTS)
         few = parts.withColumn("r", F.row_number().over(Window.partitionBy("query", "part").orderBy(*best))).where(F.col("r") <= k)

@@ -94,6 +94,18 @@ def test_shards_of_any_size(monkeypatch, n_docs, postings):
     assert df == Counter(t for _, c in counted for t in c)
 
 
+def test_rows_of_the_index_are_small(spark):
+    """However many documents a partition holds, no row of the index holds more than one term's postings of one shard."""
+    d = spark.range(5000).selectExpr("id AS doc_id", "concat('one two three four ', id % 7) AS text").coalesce(1)
+    shards = lexical.index(d).shards
+    lists = [c for c, t in shards.dtypes if t.startswith("array")]
+    longest = shards.selectExpr(*(f"max(size({c}))" for c in lists)).first()
+    assert max(longest) <= lexical.SHARD_DOCS
+    q = spark.createDataFrame([(1, "one 3")], "item_id bigint, text string")
+    best = [r["doc_id"] for r in lexical.search(lexical.index(d), q, 4).orderBy("rank").collect()]
+    assert best == [3, 10, 17, 24]
+
+
 def test_top_takes_ties_in_order():
     r = np.random.default_rng(1)
     for n in (0, 1, 10, 400):
