@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.functions import messages, textjson
+from casewright.functions import messages, reading, textjson
 
 #: Fixed values, down to HARD_FRAGMENTS: exposure pairs whose answers should agree, and their weights.
 PAIRS = [("full", "partial", 0.40), ("partial", "minimal", 0.30), ("minimal", "no_skill", 0.20), ("full", "no_skill", 0.10)]
@@ -38,12 +38,24 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def read_answers(df: DataFrame, mode: str = "offline") -> DataFrame:
-    """df(prediction, ...) with json_valid, errors, schema_valid and got; online reading tries braces first."""
-    json = textjson.lenient(F.col("prediction")) if mode == "offline" else textjson.braces_first(F.col("prediction"))
+    """df(prediction, ...) with json_valid, errors, schema_valid and got; online reading tries braces first.
+
+    Plain answers are read by batch; what is left null there (odd texts) goes through the columns, which are null and
+    cost little for all others."""
+    plain = F.arrow_udf(reading.offline_batch if mode == "offline" else reading.online_batch, reading.RESULT)
+    out = df.withColumn("_plain", plain(F.col("prediction")))
+    out = read_columns(out.withColumn("_odd", F.when(F.col("_plain").isNull(), F.col("prediction"))), F.col("_odd"), mode)
+    known = F.col("_plain").isNotNull()
+    out = out.withColumns({name: F.when(known, F.col(f"_plain.{name}")).otherwise(F.col(name)) for name in ("errors", "json_valid", "got")})
+    return out.withColumn("schema_valid", F.size("errors") == 0).drop("_plain", "_odd")
+
+
+def read_columns(df: DataFrame, text: Column, mode: str = "offline") -> DataFrame:
+    """df with json_valid, errors and got of any text, by columns alone."""
+    json = textjson.lenient(text) if mode == "offline" else textjson.braces_first(text)
     # One step a column: what is read more than once must not be computed more than once.
     out = df.withColumn("_json", json).withColumn("_fields", textjson.fields(F.col("_json"))).withColumn("_typed", textjson.values(F.col("_fields")))
-    out = out.withColumn("errors", textjson.contract_errors(F.col("_json"), F.col("_fields"), F.col("_typed")))
-    out = out.withColumn("json_valid", F.col("_json").isNotNull()).withColumn("schema_valid", F.size("errors") == 0)
+    out = out.withColumn("errors", textjson.contract_errors(F.col("_json"), F.col("_fields"), F.col("_typed"))).withColumn("json_valid", F.col("_json").isNotNull())
     got = F.struct(*(F.col(f"_typed.{name}") for name in ("decision", "risk_level", "need_human", "reason_codes")))
     return out.withColumn("got", got).drop("_json", "_fields", "_typed")
 
