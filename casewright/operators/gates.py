@@ -103,7 +103,7 @@ def row_errors(panel: DataFrame, skills: Sequence[str], conditions: Sequence[str
     tests: dict[str, Column] = {
         "unexpected_skill": unknown("skill", skills), "unexpected_condition": unknown("condition", conditions), "unexpected_endpoint": unknown("endpoint", endpoints),
         "pairing_key": ~F.col("pairing_key").eqNullSafe(F.col("_key")), "sealed_marker": F.contains(F.lower(F.coalesce("pairing_key", F.lit(""))), F.lit(SEALED)),
-        "parse_flag": differs("parse_failed", F.col("_json").isNull()), "parsed_output": ~canonical(F.col("parsed_output")).eqNullSafe(canonical(F.col("_json"))),
+        "parse_flag": differs("parse_failed", F.col("_json").isNull()), "parsed_output": F.when(F.col("parsed_output").eqNullSafe(F.col("_json")), False).otherwise(~canonical(F.col("parsed_output")).eqNullSafe(canonical(F.col("_json")))),
         "schema_errors": ~F.coalesce("schema_errors", F.array().cast("array<string>")).eqNullSafe(F.col("_errors")), "schema_flag": differs("schema_valid", F.col("_valid")),
         "exact_flag": differs("exact_correct", same["decision"] & same["risk_level"] & same["need_human"]),
         **{f"{f}_flag": differs(f"{f}_correct", same[f]) for f in same},
@@ -126,25 +126,27 @@ def cases(panel: DataFrame, conditions: Sequence[str], endpoints: Sequence[str])
 
 def case_errors(by_case: DataFrame) -> DataFrame:
     """Errors of whole cases: doubled cells, missing or unknown ones, more than one target or family."""
-    key = F.concat_ws("|", "skill", F.col("case").cast("string"))
-    kept = by_case.withColumn("_key", key)
-    doubled = kept.select("_key", F.explode(F.filter("cells", lambda c: c["n"] > 1)).alias("c")).select(F.lit("duplicate_key").alias("gate"), F.concat_ws("|", "_key", "c.cell").alias("subject"), F.col("c.n").cast("string").alias("detail"))
+    # All from one pass: a branch of a union each would make its own shuffle of the panel.
+    error = lambda gate, subject, detail: F.struct(F.lit(gate).alias("gate"), subject.alias("subject"), detail.alias("detail"))
+    kept = by_case.withColumn("_key", F.concat_ws("|", "skill", F.col("case").cast("string")))
     there = F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + c["n"])
-    missing = F.size(F.filter("cells", lambda c: c["n"] == 0))
-    odd = F.col("rows") - there
-    incomplete = kept.where((missing > 0) | (odd > 0)).select(F.lit("incomplete_case"), "_key", F.concat(missing.cast("string"), F.lit(" missing, "), odd.cast("string"), F.lit(" unknown")))
-    several = kept.where(~F.col("t_low").eqNullSafe(F.col("t_high")) | ~F.col("f_low").eqNullSafe(F.col("f_high"))).select(F.lit("target_or_family"), "_key", F.lit(""))
-    return doubled.union(incomplete).union(several)
+    kept = kept.withColumn("_missing", F.size(F.filter("cells", lambda c: c["n"] == 0))).withColumn("_odd", F.col("rows") - there)
+    doubled = F.transform(F.filter("cells", lambda c: c["n"] > 1), lambda c: error("duplicate_key", F.concat_ws("|", F.col("_key"), c["cell"]), c["n"].cast("string")))
+    incomplete = F.when((F.col("_missing") > 0) | (F.col("_odd") > 0), error("incomplete_case", F.col("_key"), F.concat(F.col("_missing").cast("string"), F.lit(" missing, "), F.col("_odd").cast("string"), F.lit(" unknown"))))
+    several = F.when(~F.col("t_low").eqNullSafe(F.col("t_high")) | ~F.col("f_low").eqNullSafe(F.col("f_high")), error("target_or_family", F.col("_key"), F.lit("")))
+    return kept.select(F.explode(F.concat(doubled, F.array_compact(F.array(incomplete, several)))).alias("e")).select("e.*")
 
 
 def panel_facts(panel: DataFrame, by_case: DataFrame, extra: dict[str, Any] | None = None) -> DataFrame:
     """The panel as a manifest named panel: counts, cases by skill, the ordered hash of its pairing keys, and given values."""
     once = F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + (c["n"] > 0).cast("long"))
     names = ["rows", "unique_keys", "cases", "parse_failures", "schema_failures", "exact"]
-    sums = by_case.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in zip(names, (F.col("rows"), once, F.lit(1), F.col("parse_failures"), F.col("schema_failures"), F.col("exact")))))
+    # Sums by skill, of which there are few, make both the totals and the cases of each skill.
+    per = by_case.groupBy("skill").agg(*(F.sum(c).alias(n) for n, c in zip(names, (F.col("rows"), once, F.lit(1), F.col("parse_failures"), F.col("schema_failures"), F.col("exact")))))
+    sums = per.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
     fact = lambda field, value: [F.lit("panel").alias("manifest"), F.lit(None).cast("string").alias("parent"), field.alias("field"), value.alias("value")]
     counts = sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(n).cast("string") for n in names)))).alias("field", "value")).select(*fact(F.col("field"), F.col("value")))
-    skills = by_case.groupBy("skill").agg(F.count("*").alias("n")).select(*fact(F.concat(F.lit("cases_"), "skill"), F.col("n").cast("string")))
+    skills = per.select(*fact(F.concat(F.lit("cases_"), "skill"), F.col("cases").cast("string")))
     hashed = layout.ordered_hash(panel, [], "pairing_key", "position").select(*fact(F.lit("ordered_sha256"), F.concat(F.lit('"'), "h", F.lit('"'))))
     out = counts.union(skills).union(hashed)
     if extra:

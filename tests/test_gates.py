@@ -87,3 +87,9 @@ def test_manifests(spark):
     runs = [{"arm": "a", "steps": 2, "initial": "h"}, {"arm": "b", "steps": "2", "initial": "i"}]
     assert errors(spark, rows(), documents(formal={"runs": runs})) == [("constraint", "formal.runs[1].steps", '"2" is not 2'), ("shared_value", "formal.runs.initial", "2 values")]
     assert ("manifest", "done", "no JSON object") in errors(spark, rows(), [("done", "[1]"), documents()[1]])
+
+
+def test_the_panel_is_grouped_by_case_once_for_all_case_errors(spark):
+    panel = spark.createDataFrame([tuple(r.values()) for r in rows()], DDL)
+    plan = gates.case_errors(gates.cases(panel, CONDITIONS, ENDPOINTS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
