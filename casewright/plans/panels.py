@@ -62,11 +62,7 @@ def validity_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _case_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(skill, case, family, delta) of the balanced construct."""
-    rows = panel(spark, sf_dir)
-    cases = P.by_case(rows, P.BALANCED)
-    delta = F.sum(F.when(F.col("endpoint") == P.STAGED, F.col("score")).otherwise(-F.col("score")))
-    families = rows.groupBy("skill", "case").agg(F.max_by("family", "condition").alias("family"))
-    return cases.groupBy("skill", "case").agg(delta.alias("delta")).join(families, ["skill", "case"])
+    return P.case_deltas(panel(spark, sf_dir), P.BALANCED)
 
 
 def bootstrap_case(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,22 @@ def test_registered_query(spark, monkeypatch):
     want = np.sort(means(values, split(values, 10_000, "boot", 64)))
     got = panels.bootstrap_exact(spark, "/root/testdata/sf0.001").first()
     assert np.allclose([got["mean"], got["ci95_lower"], got["ci95_upper"]], [want.mean(), want[250], want[9750]], atol=2e-6)
+
+
+@pytest.mark.parametrize("cases, draws", [(700, 3000), (40, 50), (3, 1), (60, 200)])
+def test_binomials_are_numpys_numbers(cases, draws):
+    a, b = (bootstrap.generator("t", cases) for _ in "ab")
+    n = bootstrap.generator("n", cases).binomial(4 * cases, 0.25, draws)
+    for left in range(cases, 1, -1):
+        want = a.binomial(n, 1 / left)
+        assert (bootstrap.binomials(b, n, 1 / left) == want).all()
+        n = n - want
+    assert a.random() == b.random()
+    assert (bootstrap.binomials(b, np.full(9, 10**6), 0.25) == a.binomial(np.full(9, 10**6), 0.25)).all()
+
+
+def test_few_bytes_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "LEAF", 8)
+    df = spark.createDataFrame(rows(3000), "skill string, case int, delta double")
+    parts = bootstrap.dealt_leaves(df, "s", "case")[0].rdd.getNumPartitions()
+    assert parts == bootstrap.TASKS * spark.sparkContext.defaultParallelism
