@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.llm.shared import staged
+
 CONTEXTS = ["short", "long"]
 EXPOSURES = ["full", "partial", "minimal", "no_skill"]
 #: Place of a cell that no order names: after all others.
@@ -62,25 +64,27 @@ def select_probe(records: DataFrame, cases: DataFrame | None = None, most: int |
 
     Raises if exposures repeat, the context is unknown, a listed case has no record, a group is not
     complete, or a preflight is more than one case. All groups being of one size, a record's position follows from
-    its case's; only a list's cases are ranked, not its records.
+    its case's; only a list's cases are ranked, not its records. The cases are written to the shared folder once, as
+    each later step reads them.
     """
     if not exposures or len(set(exposures)) != len(exposures):
         raise ValueError("expected exposures must be given, each once")
     if context is not None and context not in CONTEXTS:
         raise ValueError(f"context load must be one of {CONTEXTS}, not {context!r}")
     contexts = CONTEXTS if context is None else [context]
-    chosen = listed_cases(records, cases, most, preflight)
-    if absent := [r["case_id"] for r in chosen.join(records.select("case_id").distinct(), "case_id", "left_anti").limit(5).collect()]:
-        raise ValueError(f"listed cases without a record: {absent}")
+    chosen = staged(listed_cases(records, cases, most, preflight), "probe-cases")
     rows = selected(records, chosen, contexts, exposures)
     if faults := incomplete_groups(rows, chosen, contexts, exposures).limit(5).collect():
+        # A case without a record has incomplete groups, so it is looked for only now.
+        if absent := [r["case_id"] for r in chosen.join(records.select("case_id").distinct(), "case_id", "left_anti").limit(5).collect()]:
+            raise ValueError(f"listed cases without a record: {absent}")
         raise ValueError(f"incomplete groups: {[(r['case_id'], r['context_load'], r['missing'], r['doubled'], r['unexpected']) for r in faults]}")
     if preflight and (n := chosen.count()) > 1:
         raise ValueError(f"a preflight takes one case, not {n}")
     size = len(contexts) * len(exposures)
     first = CONTEXTS.index(contexts[0]) * len(exposures)
-    places = list_ranks(chosen).select("case_id", "case_rank")
-    return rows.join(places, "case_id").withColumn("position", ((F.col("case_rank") - 1) * size + F.col("cell") - first + 1).cast("long")).drop("case_rank")
+    ranked = selected(records, list_ranks(chosen), contexts, exposures)
+    return ranked.withColumn("position", ((F.col("case_rank") - 1) * size + F.col("cell") - first + 1).cast("long")).drop("case_rank")
 
 
 #: Cases that one task ranks (about), and ranges at most.

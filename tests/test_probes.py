@@ -119,3 +119,12 @@ def test_depth_keeps_leaves_bounded(spark):
     assert [hashtree.depth_for(n) for n in (0, 4096, 4097, 65536, 65537, 10**12)] == [0, 0, 1, 1, 2, 7]
     tree = hashtree.hash_tree(spark.range(20_000), [], "id", hashtree.depth_for(20_000, 100))
     assert tree.where("level = 2").agg(F.max("ids")).first()[0] < 150
+
+
+def test_records_are_read_twice_at_most(spark, monkeypatch):
+    """Once to check the groups and once for the result, whatever the list is derived from."""
+    made = records(spark, "dbca")
+    once = made.groupBy("case_id").agg(F.count("*").alias("place")).select("place", "case_id")
+    got = probes.select_probe(made, once)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert [x[0] for x in order(got)][::8] == list("abcd")
