@@ -81,22 +81,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the component's smallest node.
 
-    Each round takes the smallest root among the neighbours and then jumps to that root's own
-    root, so chains shorten exponentially. Only joins and aggregates with partial sums; each
-    round is checkpointed.
+    Each round points every node at the neighbour of the lowest hash (another hash each round, so that no
+    numbering makes long chains), jumps to where that one points, and gives the ends of all edges their new
+    names: edges inside a group vanish, equal ones become one, so later rounds have few. Only joins and
+    aggregates with partial sums; each round is checkpointed.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        step = lower.join(up, "root").select("node", F.least("root", "up").alias("root"), (F.least("root", "up") < F.col("old")).alias("moved"))
-        step = checkpointed(step)
-        labels = step.select("node", "root")
-        if step.where("moved").isEmpty():
-            return labels
+    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels, turn = None, 0
+    while labels is None or not edges.isEmpty():
+        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("hash"), F.col(c).alias("to"))  # noqa: E731, B023
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min(ranked("b")), F.first(ranked("a")))["to"].alias("to"))
+        step = checkpointed(low.join(low.toDF("to", "up"), "to").select(F.col("a").alias("node"), F.col("up").alias("to")))
+        named = edges.join(step.toDF("a", "to_a"), "a").join(step.toDF("b", "to_b"), "b").where("to_a <> to_b")
+        edges = checkpointed(named.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        if labels is None:
+            labels = step
+        else:
+            labels = labels.join(step.toDF("to", "next"), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+        turn += 1
+    roots = labels.groupBy("to").agg(F.min("node").alias("root"))
+    return checkpointed(labels.join(roots, "to").select("node", "root"))
 
 
 def text_arrays(batch: pa.RecordBatch, column: str) -> pa.Array:
