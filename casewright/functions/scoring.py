@@ -136,21 +136,30 @@ def _last_answer(exposure: str) -> Column:
     return F.max_by(F.when(here, F.struct("position", "got", "gold", "schema_valid")), F.when(here, F.col("position")))
 
 
-def _pair_terms(mode: str) -> dict[str, Column]:
-    """Consistency of the four last answers of a sample, in columns named _full, _partial and so on."""
-    total, weight, wrong, pairs = F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0)
-    for left, right, w in PAIRS:
+TERMS = ["available_pairs", "exposure_consistency_reward", "wrong_high_similarity_pairs"]
+
+
+def _with_terms(df: DataFrame, mode: str, here: Column) -> DataFrame:
+    """df with TERMS, the consistency of the four last answers of a sample in columns named _full, _partial and so on.
+    Pairs are compared where here holds, each once; elsewhere none counts as there."""
+    compared = {}
+    for k, (left, right, _) in enumerate(PAIRS):
         a, b = F.col(f"_{left}"), F.col(f"_{right}")
         a_ok = compatible(a["got"], a["gold"], a["schema_valid"])
         b_ok = compatible(b["got"], a["gold"] if mode == "offline" else b["gold"], b["schema_valid"])
-        near = similarity(a["got"], b["got"])
+        pair = F.struct(a_ok.alias("a_ok"), b_ok.alias("b_ok"), similarity(a["got"], b["got"]).alias("near"))
+        compared[f"_pair{k}"] = F.when(here & a.isNotNull() & b.isNotNull(), pair)
+    total, weight, wrong, pairs = F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0)
+    for k, (_, _, w) in enumerate(PAIRS):
+        pair = F.col(f"_pair{k}")
+        a_ok, b_ok, near, there = pair["a_ok"], pair["b_ok"], pair["near"], pair.isNotNull()
         reward = F.when(a_ok & b_ok, near).when(a_ok | b_ok, 0.25 * near).when(near > 0.90, -0.10).otherwise(0.0)
-        there = a.isNotNull() & b.isNotNull()
         total += F.when(there, w * reward).otherwise(0.0)
         weight += F.when(there, w).otherwise(0.0)
         wrong += F.when(there & ~a_ok & ~b_ok & (near > 0.90), 1).otherwise(0)
         pairs += there.cast("int")
-    return {"available_pairs": pairs, "exposure_consistency_reward": F.when(weight > 0, total / weight).otherwise(0.0), "wrong_high_similarity_pairs": wrong}
+    terms = dict(zip(TERMS, (pairs, F.when(weight > 0, total / weight).otherwise(0.0), wrong)))
+    return df.withColumns(compared).withColumns(terms).drop(*compared)
 
 
 def consistency(df: DataFrame, mode: str = "offline") -> DataFrame:
@@ -160,15 +169,18 @@ def consistency(df: DataFrame, mode: str = "offline") -> DataFrame:
     are held to the left side's gold, online each to its own.
     """
     wide = df.where(F.col("prompt_exposure").isin(PAIRED)).groupBy("sample_id").agg(*(_last_answer(e).alias(f"_{e}") for e in PAIRED))
-    return wide.select("sample_id", *(c.alias(name) for name, c in _pair_terms(mode).items()))
+    return _with_terms(wide, mode, F.lit(True)).select("sample_id", *TERMS)
 
 
 def rewards(df: DataFrame, mode: str = "offline") -> DataFrame:
     """df from score_answers (with sample_id, prompt_exposure, position, hard_tags) with reward
-    components and total_reward. Every answer is read once: a window over its sample brings in the
-    consistency term, in one shuffle on sample_id."""
+    components and total_reward. Every answer is read once: windows over its sample bring in the
+    consistency term, compared in the sample's first row alone, in one shuffle on sample_id."""
     sample = Window.partitionBy("sample_id")
-    joined = df.withColumns({f"_{e}": _last_answer(e).over(sample) for e in PAIRED}).withColumns(_pair_terms(mode)).drop(*(f"_{e}" for e in PAIRED))
+    first = F.row_number().over(sample.orderBy("position", "prompt_exposure")) == 1
+    wide = df.withColumn("_one", first).withColumns({f"_{e}": _last_answer(e).over(sample) for e in PAIRED})
+    termed = _with_terms(wide, mode, F.col("_one")).drop(*(f"_{e}" for e in PAIRED))
+    joined = termed.withColumns({name: F.max(F.when(F.col("_one"), F.col(name))).over(sample) for name in TERMS}).drop("_one")
     false_review = F.col("schema_valid") & (F.col("got.decision") == "manual_review") & ~F.col("gold.decision").eqNullSafe(F.lit("manual_review"))
     bonus = hard_case(F.col("gold"), F.col("hard_tags"), mode) & compatible(F.col("got"), F.col("gold"), F.col("schema_valid"))
     out = joined.withColumns({

@@ -128,3 +128,19 @@ def test_reward_summary_and_order(spark):
     assert got["a", "full"]["decision_reward"] == 0.5
     for wanted, passed in ((["b", "a"], True), (["a", "b"], False), (["b"], True), (["b", "c"], False)):
         assert scoring.order_gate(found, wanted).first()[:] == (["b", "a"], passed)
+
+
+def test_answers_of_a_sample_are_compared_in_one_row(spark):
+    """Every row of a sample has the terms that consistency() gives for it; pairs are compared in its first row alone."""
+    right, wrong = ("deny", "low", False, ["a"]), ("allow_refund", "low", False, ["b"])
+    rows = [(s, e, p, got, right, got is not None, ["x"]) for s in range(6) for p, (e, got) in enumerate([("full", right), ("partial", wrong if s % 2 else right), ("minimal", wrong), ("no_skill", None if s % 3 else wrong), ("full", wrong if s == 4 else right), ("other", right)])]
+    rows += [(9, "other", 0, right, right, True, ["x"]), (10, "full", 0, right, None, True, ["x"]), (10, "partial", 0, right, None, True, ["x"])]
+    df = spark.createDataFrame(rows, f"sample_id long, prompt_exposure string, position int, got {scoring.CORE}, gold {scoring.CORE}, schema_valid boolean, hard_tags array<string>")
+    df = scoring.score_answers(df.withColumn("json_valid", F.lit(True)))
+    for mode in ("offline", "online"):
+        done = scoring.rewards(df, mode).select("sample_id", *scoring.TERMS).collect()
+        one = {r[0]: tuple(r)[1:] for r in scoring.consistency(df, mode).collect()}
+        assert len(done) == len(rows) and all(tuple(r)[1:] == one.get(r[0], (0, 0.0, 0)) for r in done)
+        assert len({v for v in one.values()}) > 3
+    plan = scoring.rewards(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN ((_one" in plan
