@@ -75,6 +75,47 @@ def test_unseen_and_wrapped_notices(spark):
     assert {r["lines"] for r in found if r["doc_id"] == 2} == {3} and {r["lines"] for r in found if r["doc_id"] < 2} == {1}
 
 
+def test_license_training_counts_every_line(spark):
+    """All lines of 4,000 distinct texts are counted, with their runs, against brute force; copies count once."""
+    starts = ["of the public", "under the terms", "nothing here", "Released under the MIT License", "this file is old", "to any person"]
+    texts = [f"{starts[k % 6]} {k}\n{starts[k // 6 % 6]}\nother {k}" for k in range(4000)]
+    docs = documents(spark, list(enumerate(texts + texts[:500])))
+    templates = [licenses.bigrams(licenses.words(t)) for ts in licenses.TEMPLATES.values() for t in ts]
+    share = lambda ids, n: max(len(ids & t) / min(n, len(t)) for t in templates)
+    want = {}
+    for text in texts:
+        lines = [licenses.bigrams(licenses.words(p)) for p in text.split("\n")]
+        held = {k: (b & set(licenses.PAIRS), len(licenses.words(p)) + 1) for k, (b, p) in enumerate(zip(lines, text.split("\n"))) if b & set(licenses.PAIRS)}
+        found = list(held.values())
+        for first in range(-2, 3):
+            inside = [held[k] for k in range(first, first + 3) if k in held]
+            if len(inside) > 1:
+                found.append((set().union(*(i for i, _ in inside)), sum(n for _, n in inside)))
+        for ids, n in found:
+            if share(ids, n) < licenses.CONFIRM:
+                key = tuple(sorted(licenses.NUMBER[p] for p in ids))
+                want[key] = want.get(key, 0) + 1
+    rows = licenses.unknown(licenses.candidates(docs)).collect()
+    assert {tuple(r["ids"]): r["train"] + r["held"] for r in rows if not r["hard"]} == want
+    assert sum(want.values()) > 4000 and any(r["hard"] for r in rows) and licenses.lines_of(docs) == 12_000
+
+
+def test_license_threshold_of_all_counts():
+    counts = {100_000: 4_000, 500_000: 5_990, 700_123: 7, 700_124: 4, 900_000: 6}
+
+    def counted(low, high, parts):
+        out, width = {}, (high - low) // parts
+        for at, n in counts.items():
+            if low <= at < high:
+                out[(at - low) // width] = out.get((at - low) // width, 0) + n
+        return out
+
+    none = licenses.np.zeros(0)
+    assert licenses._threshold(counted, none, [], 10_007) == 0.700124
+    assert licenses._threshold(counted, licenses.np.array([0.95]), [1], 10_007) == 0.700125
+    assert licenses._threshold(counted, licenses.np.array([0.95]), [20], 10_007) == 0.950001
+
+
 def test_license_pairs_agree(spark):
     texts = ["A b, c.", "  v. 2.0. x ", "", "MIT", "a...b ..c"]
     df = spark.createDataFrame([(t,) for t in texts], "p string")
