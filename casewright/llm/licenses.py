@@ -4,8 +4,8 @@ The classes are licence families and `unknown`. Features are the word pairs that
 templates below (binary, so a paragraph is a sparse vector). A softmax regression with an L1
 penalty is trained on the templates, on variants of them with words left out, and, as unknown, on all
 lines, and runs of three lines, of all distinct texts, and on all plain lines with a few words of
-a notice put beside theirs. Paragraphs with the same features are one row with a count, so every step
-of the training is one aggregate over the distinct ones, and its result as large as the model. The acceptance
+a notice put beside theirs. Paragraphs with the same features are one row with a count; every step
+of the training sums over all distinct ones, by one aggregate as large as the model where they are more than LOCAL. The acceptance
 threshold is calibrated on the unknown paragraphs kept from training (half of them, by hash), all of them:
 at most FALSE of either kind would pass it. An accepted paragraph is confirmed if it shares CONFIRM of
 the pairs of a template of that family, or of its own pairs.
@@ -42,6 +42,8 @@ PLAIN = 0.2
 SPLIT = "[^a-z0-9]+"
 #: Steps of the training, their size, and the penalty.
 STEPS, RATE, PENALTY = 60, 1.5, 2e-5
+#: So many distinct features are summed by the driver in each step of the training; more are summed by the tasks.
+LOCAL = 20_000
 #: The threshold is a whole number of these.
 GRAIN = 1_000_000
 
@@ -201,12 +203,11 @@ def unknown(found: DataFrame) -> DataFrame:
 
 def _scores(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
     """rows (ids, ...) with z (a logit a family), top and mass: the probability of family k is exp(z[k] - top) / mass."""
-    def logit(k: int) -> Column:
-        # One constant, as thousands of literals take longer to plan than the rows to score.
-        row = F.split(F.lit(",".join(repr(float(v)) for v in [*weights[:, k], bias[k]])), ",").cast("array<double>")
-        return F.aggregate("ids", F.get(row, F.lit(len(weights))), lambda a, i: a + F.get(row, i))
-
-    scored = rows.withColumn("z", F.array(*(logit(k) for k in range(len(FAMILIES)))))
+    # A row of their own, as plans with thousands of constants are slow and fill the driver's memory.
+    table = np.vstack([weights, bias]).T.tolist()
+    row = F.broadcast(rows.sparkSession.createDataFrame([(table,)], "weights array<array<double>>"))
+    logit = lambda k: F.aggregate("ids", F.col("weights")[k][len(weights)], lambda a, i: a + F.get(F.col("weights")[k], i))
+    scored = rows.crossJoin(row).withColumn("z", F.array(*(logit(k) for k in range(len(FAMILIES))))).drop("weights")
     return scored.withColumn("top", F.array_max("z")).withColumn("mass", F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
 
 
@@ -220,6 +221,26 @@ def _expected(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> np.ndar
     return out
 
 
+def _summed(rows: DataFrame):
+    """Gives (weights, bias) -> _expected of rows, which are read once if they are LOCAL or fewer."""
+    if len(few := rows.limit(LOCAL + 1).collect()) > LOCAL:
+        return lambda weights, bias: _expected(rows, weights, bias)
+    listed = [[*r["ids"], len(PAIRS)] for r in few]
+    size = np.array([len(ids) for ids in listed], np.int64)
+    ids, starts, share = np.array([i for one in listed for i in one], np.int64), np.cumsum(size) - size, np.array([r["share"] for r in few])
+
+    def expected(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(PAIRS) + 1, len(FAMILIES)))
+        if few:
+            z = np.add.reduceat(np.vstack([weights, bias])[ids], starts, axis=0)
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p *= (share / p.sum(axis=1))[:, None]
+            np.add.at(out, ids, np.repeat(p, size, axis=0))
+        return out
+
+    return expected
+
+
 def _probabilities(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     z = x @ weights + bias
     p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -257,13 +278,12 @@ def fit(found: DataFrame, paragraphs: int) -> Model:
     if sums:
         for id_, share in shares.select(F.explode(F.array_append("ids", F.lit(len(PAIRS)))).alias("id"), "share").groupBy("id").agg(F.sum("share")).collect():
             target[id_, 0] += share
+    unknown_sums = _summed(shares)
     v, ahead, t = np.zeros_like(target), np.zeros_like(target), 1.0
     for _ in range(STEPS):
         w, b = ahead[:-1], ahead[-1]
         p = _probabilities(x, w, b) * weight[:, None]
-        expected = np.vstack([x.T @ p, p.sum(axis=0)])
-        if sums:
-            expected += _expected(shares, w, b)
+        expected = np.vstack([x.T @ p, p.sum(axis=0)]) + unknown_sums(w, b)
         new = ahead - RATE * (expected - target)
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - RATE * PENALTY, 0)
         # Momentum, begun again where it leads away.

@@ -100,6 +100,18 @@ def test_license_training_counts_every_line(spark):
     assert sum(want.values()) > 4000 and any(r["hard"] for r in rows) and licenses.lines_of(docs) == 12_000
 
 
+def test_license_sums_agree_in_the_driver_and_in_tasks(spark, monkeypatch):
+    rng = licenses.np.random.default_rng(1)
+    rows = [(sorted(map(int, rng.choice(len(licenses.PAIRS), rng.integers(0, 6), replace=False))), float(rng.random())) for _ in range(50)]
+    df = spark.createDataFrame(rows, "ids array<int>, share double")
+    w, b = rng.normal(size=(len(licenses.PAIRS), len(licenses.FAMILIES))), rng.normal(size=len(licenses.FAMILIES))
+    here = licenses._summed(df)(w, b)
+    monkeypatch.setattr(licenses, "LOCAL", 10)
+    there = licenses._summed(df)(w, b)
+    assert licenses.np.allclose(here, there, atol=1e-12) and abs(here[-1].sum() - sum(s for _, s in rows)) < 1e-9
+    assert not licenses._summed(df.where("false"))(w, b).any()
+
+
 def test_license_threshold_of_all_counts():
     counts = {100_000: 4_000, 500_000: 5_990, 700_123: 7, 700_124: 4, 900_000: 6}
 
