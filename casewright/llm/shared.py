@@ -78,6 +78,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df for a join that deals both sides out by their key, however small df seems. Spark judges a table by its
+    compressed files, a fifteenth of the rows in memory where values repeat, and would build it whole in the driver."""
+    return df.hint("merge")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the component's smallest node.
 
@@ -92,16 +98,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ranked = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("hash"), F.col(c).alias("to"))  # noqa: E731, B023
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min(ranked("b")), F.first(ranked("a")))["to"].alias("to"))
-        step = checkpointed(low.join(low.toDF("to", "up"), "to").select(F.col("a").alias("node"), F.col("up").alias("to")))
-        named = edges.join(step.toDF("a", "to_a"), "a").join(step.toDF("b", "to_b"), "b").where("to_a <> to_b")
+        step = checkpointed(low.join(dealt(low.toDF("to", "up")), "to").select(F.col("a").alias("node"), F.col("up").alias("to")))
+        named = edges.join(dealt(step.toDF("a", "to_a")), "a").join(dealt(step.toDF("b", "to_b")), "b").where("to_a <> to_b")
         edges = checkpointed(named.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
         if labels is None:
             labels = step
         else:
-            labels = labels.join(step.toDF("to", "next"), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+            labels = labels.join(dealt(step.toDF("to", "next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
         turn += 1
     roots = labels.groupBy("to").agg(F.min("node").alias("root"))
-    return checkpointed(labels.join(roots, "to").select("node", "root"))
+    return checkpointed(labels.join(dealt(roots), "to").select("node", "root"))
 
 
 def text_arrays(batch: pa.RecordBatch, column: str) -> pa.Array:
